@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import bpe
+from kairoscope.llm import bpe, quality_crf, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,41 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(_table(spark, sf_dir, "documents")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a WARC record for every page and reads all of them back through the index."""
+    return warc.archive_roundtrip(_table(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges the url of every page."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document, having learned from the labels outside the held-out fifth."""
+    return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_warc": op5_warc,
+    "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
+    "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest
+  FROM pages
+), q AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to, url
+FROM q
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_warc": _WARC_SQL,
+}
