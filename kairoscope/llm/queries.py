@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import bpe, quality_crf, url_filter, warc
+from kairoscope.llm import bpe, decontaminate, quality_crf, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(_table(spark, sf_dir, "documents")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap."""
+    return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a WARC record for every page and reads all of them back through the index."""
     return warc.archive_roundtrip(_table(spark, sf_dir, "pages"))
@@ -36,6 +41,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_warc": op5_warc,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
@@ -56,5 +62,6 @@ FROM q
 """
 
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate.oracle_sql(),
     "op5_warc": _WARC_SQL,
 }
