@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import bpe, decontaminate, quality_crf, url_filter, warc
+from kairoscope.llm import bpe, decontaminate, quality_crf, url_filter, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and their likeness."""
+    return winnow.digest(winnow.edited_against_next(_table(spark, sf_dir, "documents")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a WARC record for every page and reads all of them back through the index."""
     return warc.archive_roundtrip(_table(spark, sf_dir, "pages"))
@@ -42,6 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_winnow": op4_winnow,
     "op5_warc": op5_warc,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
