@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import bpe, decontaminate, quality_crf, url_filter, warc, winnow
+from kairoscope.llm import bpe, decontaminate, jaccard_join, quality_crf, url_filter, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 5-word shingles."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_winnow": op4_winnow,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _WARC_SQL = """
