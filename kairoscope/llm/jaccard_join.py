@@ -15,6 +15,9 @@ Equal sets become one representative before tokens are exchanged. Of the documen
 entry, first all are compared with the smallest; then only those pairs whose members are still in
 different components. So no link between different texts is lost and a large group costs a star.
 
+Tokens keep 48 bits of their hash: two unequal ones of one pair of documents agree with a
+probability below 1e-8.
+
 Null, empty and wordless texts have no tokens and no links. Rows without an id are left out of the
 components (their own is null). Rows that repeat an id count as one more text of that id.
 """
@@ -22,7 +25,6 @@ components (their own is null). Rows that repeat an id count as one more text of
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,30 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
+from kairoscope.llm.postings import by_document, group_column, id_rows, send_tokens, shared_tokens, sizes
 from kairoscope.llm.shingles import mix, shingle_set
 from kairoscope.session import materialise
 
 #: Per cent of the union that the intersection has to reach.
 PERCENT = 75
-#: Tokens that a task gathers before it sends them; bytes of text for each bucket of tokens.
-BATCH_TOKENS, BUCKET_BYTES = 1_200_000, 6 << 20
 #: Document frequencies from which two and three tokens make an index entry, for documents of 2**5 tokens and more.
 PAIRS_FROM, TRIPLES_FROM, COMBINED_LEVEL = 16, 1024, 5
 #: Rows below which a table is sent to all executors (24 bytes a row).
 BROADCAST_ROWS = 1_000_000
-#: Tokens keep 48 bits: two unequal tokens of one pair of documents agree with a probability below 1e-8.
-_DROP = np.uint64(16)
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers in the least width that holds them."""
-    top = int(x.max()) if len(x) else 0
-    code = "H" if top < 1 << 16 else "I" if top < 1 << 32 else "Q"
-    return code.encode() + x.astype(f"<u{struct.calcsize(code)}").tobytes()
-
-
-def _wide(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{struct.calcsize(chr(blob[0]))}", offset=1).astype(np.int64)
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,101 +55,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=["doc", "n", "sig"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, sig binary")
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-
-
-def _send_tokens(rows: DataFrame, buckets: int) -> DataFrame:
-    """bucket, first, deltas, base, docs: sorted tokens of many documents with their documents; of equal sets in a task, the smallest id's."""
-
-    def flush(held: dict[bytes, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([s for _, s in held.values()])
-        owners = np.repeat(np.array([d for d, _ in held.values()], np.int64), [len(s) for _, s in held.values()])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order] >> _DROP, owners[order]
-        at = _bucket_of(tokens, buckets)
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(starts[1:], len(at))
-        base = owners.min()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(at[starts], pa.int64()),
-                pa.array(tokens[starts].astype(np.int64), pa.int64()),
-                pa.array([_narrow(np.diff(tokens[a:b], prepend=tokens[a])) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                pa.array(np.full(len(starts), base), pa.int64()),
-                pa.array([_narrow(owners[a:b] - base) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-            ],
-            names=["bucket", "first", "deltas", "base", "docs"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, np.ndarray]] = {}
-        size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = shingle_set(text.as_py())
-                if not len(own):
-                    continue
-                sig = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                if sig in held:
-                    held[sig] = min(doc, held[sig][0]), own
-                    continue
-                held[sig] = doc, own
-                size += len(own)
-                if size >= BATCH_TOKENS:
-                    yield from flush(held)
-                    held, size = {}, 0
-        if held:
-            yield from flush(held)
-
-    return rows.where("doc IS NOT NULL").mapInArrow(run, "bucket long, first long, deltas binary, base long, docs binary")
-
-
-def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
-    """group, docs, tokens, frequencies: the tokens that at least two documents have, dealt out by document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        tokens, owners = [], []
-        for first, deltas, base, docs in zip(*(table.column(c) for c in ("first", "deltas", "base", "docs")), strict=True):
-            tokens.append(np.cumsum(_wide(deltas.as_py())) + first.as_py())
-            owners.append(_wide(docs.as_py()) + base.as_py())
-        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order], owners[order]
-        starts = np.flatnonzero(np.diff(tokens, prepend=-1))
-        count = np.diff(np.append(starts, len(tokens)))
-        often = np.repeat(count, count)
-        keep = often > 1
-        tokens, owners, often = tokens[keep], owners[keep], np.minimum(often[keep], 65_535)
-        group = _group_of(owners, groups)
-        order = np.argsort(group, kind="stable")
-        tokens, owners, often, group = tokens[order], owners[order], often[order], group[order]
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        ends = np.append(starts[1:], len(group))
-        spans = list(zip(starts, ends, strict=True))
-        return pa.table(
-            {
-                "group": pa.array(group[starts], pa.int64()),
-                "docs": pa.array([owners[a:b].astype("<i8").tobytes() if owners[a:b].max() >= 1 << 32 or owners[a:b].min() < 0 else _narrow(owners[a:b]) for a, b in spans], pa.binary()),
-                "wide": pa.array([bool(owners[a:b].max() >= 1 << 32 or owners[a:b].min() < 0) for a, b in spans], pa.bool_()),
-                "low": pa.array([(tokens[a:b] & 0xFFFFFFFF).astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                "high": pa.array([(tokens[a:b] >> 32).astype("<u2").tobytes() for a, b in spans], pa.binary()),
-                "often": pa.array([_narrow(often[a:b]) for a, b in spans], pa.binary()),
-            }
-        )
-
-    return sent.groupBy("bucket").applyInArrow(run, "group long, docs binary, wide boolean, low binary, high binary, often binary")
-
-
-def _group_of(docs: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(docs.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    return id_rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, sig binary")
 
 
 def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray | None:
@@ -212,30 +106,18 @@ def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PER
     return np.unique(np.concatenate(found))
 
 
-def _candidates(shared: DataFrame, heads: DataFrame, groups: int, percent: int) -> DataFrame:
+def _candidates(shared: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """doc, n, tokens, entries of every representative that may have a partner."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs = [np.frombuffer(d.as_py(), "<i8") if w.as_py() else _wide(d.as_py()) for d, w in zip(left.column("docs"), left.column("wide"), strict=True)]
+        sizes = dict(zip(right.column("doc").to_pylist(), right.column("n").to_pylist(), strict=True))
         out: dict[str, list] = {"doc": [], "n": [], "tokens": [], "entries": []}
-        if docs:
-            docs = np.concatenate(docs)
-            tokens = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in left.column("low")]).astype(np.int64) | np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in left.column("high")]).astype(np.int64) << 32
-            often = np.concatenate([_wide(x.as_py()) for x in left.column("often")])
-            order = np.argsort(docs, kind="stable")
-            docs, tokens, often = docs[order], tokens[order], often[order]
-            starts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1))
-            ends = np.append(starts[1:], len(docs))
-            sizes = dict(zip(right.column("doc").to_pylist(), right.column("n").to_pylist(), strict=True))
-            for a, b in zip(starts, ends, strict=True):
-                doc = int(docs[a])
-                if doc in sizes:
-                    entries = signatures(sizes[doc], tokens[a:b], often[a:b], percent)
-                    if entries is not None:
-                        out["doc"].append(doc)
-                        out["n"].append(sizes[doc])
-                        out["tokens"].append(tokens[a:b])
-                        out["entries"].append(entries.astype(np.int64))
+        for doc, tokens, often in by_document(left):
+            if doc in sizes:
+                entries = signatures(sizes[doc], tokens, often, percent)
+                if entries is not None:
+                    for name, x in zip(out, (doc, sizes[doc], tokens, entries.astype(np.int64)), strict=True):
+                        out[name].append(x)
         return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64())), "entries": pa.array(out["entries"], pa.list_(pa.int64()))})
 
     return shared.groupBy("group").cogroup(heads.groupBy("group")).applyInArrow(run, "doc long, n long, tokens array<long>, entries array<long>")
@@ -257,15 +139,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Membership (doc, n, head: the smallest id with the same set) and links (a, b) between heads that connect all that is linked."""
-    rows = _rows(docs, id_col, text_col)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4, -(-total // BUCKET_BYTES))
+    rows = id_rows(docs, id_col, text_col)
+    buckets, groups = sizes(rows)
     sets = token_sets(docs, id_col, text_col)
     heads = sets.where("sig IS NOT NULL AND doc IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("head"))
     members = materialise(sets.join(heads, "sig", "left").select("doc", "n", F.coalesce("head", "doc").alias("head")), "members")
-    shared = _shared_tokens(_send_tokens(rows, buckets), buckets)
-    head_rows = _with_group(members.where("doc = head AND n > 0").select("doc", "n").groupBy("doc").agg(F.max("n").alias("n")), buckets)
-    found = materialise(_candidates(shared, head_rows, buckets, percent), "candidates")
+    shared = shared_tokens(send_tokens(rows, shingle_set, buckets), groups)
+    head_rows = members.where("doc = head AND n > 0").groupBy("doc").agg(F.max("n").alias("n")).withColumn("group", group_column(F.col("doc"), groups))
+    found = materialise(_candidates(shared, head_rows, percent), "candidates")
     sets = found.select("doc", "n", "tokens")
     entries = found.select("doc", "n", F.explode("entries").alias("entry"))
     hubs = entries.groupBy("entry").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1").select("entry", "hub")
@@ -284,17 +165,6 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return members, links.union(materialise(_linked(rest, sets, percent), "links"))
 
 
-def _with_group(rows: DataFrame, groups: int) -> DataFrame:
-    """Adds the group that _group_of() gives each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_group_of(docs, groups), pa.int64())], names=["doc", "n", "group"])
-
-    return rows.mapInArrow(run, "doc long, n long, group long")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles, component_id for every row of ``docs``."""
     members, links = jaccard_links(docs, id_col, text_col, percent)
