@@ -6,6 +6,7 @@ have and deals it out by document. A token is six bytes on its way, whatever it
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,14 @@ def wide(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, f"<u{struct.calcsize(chr(blob[0]))}", offset=1).astype(np.int64)
 
 
+def runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(sorted_):
+        return []
+    starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])).tolist()
+    return list(zip(starts, [*starts[1:], len(sorted_)], strict=True))
+
+
 def id_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc long, text binary; null texts are empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
@@ -50,10 +59,10 @@ def group_column(doc: Column, groups: int) -> Column:
     return F.pmod(doc, F.lit(groups)).cast("long")
 
 
-def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int) -> DataFrame:
-    """Sorted tokens (the upper 48 of 64 bits) of many documents with their documents; of equal texts in a task, only the smallest id's.
+def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int, by_text: bool = False) -> DataFrame:
+    """Sorted tokens (the upper 48 of 64 bits) of many documents with their documents; of equal ones in a task, only the smallest id's.
 
-    ``tokens_of`` gives the distinct tokens of a text.
+    ``tokens_of`` gives the distinct tokens of a text; documents are equal if these are, or with ``by_text`` if their texts are.
     """
 
     def flush(held: dict[bytes, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +90,11 @@ def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], bucke
         size = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = tokens_of(text.as_py())
+                data = text.as_py()
+                own = tokens_of(data)
                 if not len(own):
                     continue
-                key = own.tobytes() if len(own) < 4 else hash_bytes(own)
+                key = hashlib.blake2b(data if by_text else own.tobytes(), digest_size=16).digest()
                 if key in held:
                     held[key] = min(doc, held[key][0]), own
                     continue
@@ -99,12 +109,6 @@ def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], bucke
     return rows.where("doc IS NOT NULL").mapInArrow(run, TOKEN_SCHEMA)
 
 
-def hash_bytes(x: np.ndarray) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-
-
 def shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
     """The tokens that at least two documents have, with their numbers of documents (65,535 stands for more), dealt out by document."""
 
@@ -124,12 +128,11 @@ def shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
         group = owners % groups
         order = np.argsort(group, kind="stable")
         tokens, owners, often, group = tokens[order], owners[order], often[order], group[order]
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        spans = list(zip(starts, np.append(starts[1:], len(group)), strict=True))
+        spans = runs(group)
         far = [bool(owners[a:b].max() >= 1 << 32 or owners[a:b].min() < 0) for a, b in spans]
         return pa.table(
             {
-                "group": pa.array(group[starts], pa.int64()),
+                "group": pa.array([group[a] for a, _ in spans], pa.int64()),
                 "docs": pa.array([owners[a:b].astype("<i8").tobytes() if f else narrow(owners[a:b]) for (a, b), f in zip(spans, far, strict=True)], pa.binary()),
                 "wide": pa.array(far, pa.bool_()),
                 "low": pa.array([(tokens[a:b] & 0xFFFFFFFF).astype("<u4").tobytes() for a, b in spans], pa.binary()),
@@ -143,6 +146,7 @@ def shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
 
 def by_document(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Document, its shared tokens and their numbers of documents, from the rows of one group."""
+    table = table.filter(table.column("docs").is_valid())
     if not table.num_rows:
         return
     docs = np.concatenate([np.frombuffer(d.as_py(), "<i8") if w.as_py() else wide(d.as_py()) for d, w in zip(table.column("docs"), table.column("wide"), strict=True)])
@@ -151,8 +155,5 @@ def by_document(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     often = np.concatenate([wide(x.as_py()) for x in table.column("often")])
     order = np.argsort(docs, kind="stable")
     docs, tokens, often = docs[order], (low | high << 32)[order], often[order]
-    if not len(docs):
-        return
-    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    for a, b in zip(starts, np.append(starts[1:], len(docs)), strict=True):
+    for a, b in runs(docs):
         yield int(docs[a]), tokens[a:b], often[a:b]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kairoscope.llm import bpe, decontaminate, jaccard_join, quality_crf, url_filter, warc, winnow
+from kairoscope.llm import bpe, decontaminate, jaccard_join, quality_crf, suffix_dedup, url_filter, warc, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 50-byte strings of earlier documents."""
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges the url of every page."""
     return url_filter.judge(_table(spark, sf_dir, "pages"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_winnow": op4_winnow,
     "op5_warc": op5_warc,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
