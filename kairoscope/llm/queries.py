@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kairoscope.llm import bpe, decontaminate, jaccard_join, quality_crf, suffix_dedup, url_filter, warc, winnow
+from kairoscope.llm import bpe, compaction, decontaminate, jaccard_join, lm_score, quality_crf, suffix_dedup, url_filter, warc, winnow
+from kairoscope.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,30 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(_table(spark, sf_dir, "documents")))
 
 
+#: Of 16 arrivals, each but the first is about half as large as the one before; the file size that merging aims at.
+ARRIVALS, OP1_TARGET = 16, 64 << 20
+
+
+def op1_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends all documents as arrivals of many sizes, compacts, and reads the last version."""
+    docs = _table(spark, sf_dir, "documents")
+    # The number of leading zeros of a hash of the id halves from one arrival to the next.
+    arrival = F.least(F.lit(ARRIVALS - 1), F.lit(31) - F.floor(F.log2(F.greatest(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).bitwiseAND((1 << 31) - 1), F.lit(1)).cast("double")))).cast("int")
+    table = compaction.ShardedTable(spark, scratch_path(spark, "sharded"), OP1_TARGET)
+    table.append(docs.withColumn("arrival", arrival), "arrival")
+    table.compact()
+    table.vacuum()
+    rows = table.read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document against those that are labelled good."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1")
+    rows = lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    return rows.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that overlap."""
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -56,6 +82,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_compaction": op1_compaction,
+    "op2_lm_score": op2_lm_score,
     "op3_decontaminate": op3_decontaminate,
     "op4_winnow": op4_winnow,
     "op5_warc": op5_warc,
@@ -80,6 +108,8 @@ FROM q
 """
 
 ORACLES: dict[str, str] = {
+    "op1_compaction": "SELECT doc_id, lang, source, n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "op2_lm_score": lm_score.oracle_sql(),
     "op3_decontaminate": decontaminate.oracle_sql(),
     "op5_warc": _WARC_SQL,
 }
