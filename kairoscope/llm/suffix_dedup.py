@@ -184,8 +184,8 @@ def _decide(table: pa.Table, groups: int, length: int) -> pa.Table:
     return pa.table({"group": pa.array([group[a] for a, _ in spans], pa.int64()), "docs": pa.array([docs[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()), "starts": pa.array([narrow(starts[a:b]) for a, b in spans], pa.binary()), "lengths": pa.array([narrow(lengths[a:b]) for a, b in spans], pa.binary())})
 
 
-def _cut(texts: pa.Table, ranges: pa.Table, length: int) -> pa.Table:
-    """Every document without its ranges."""
+def _cut(texts: pa.Table, ranges: pa.Table, length: int, whole_characters: bool) -> pa.Table:
+    """Every document without its ranges; with ``whole_characters`` also without what is left of a cut character."""
     docs, starts, ends = (np.zeros(0, np.int64),) * 3
     copies = _copies_in(ranges)
     ranges = ranges.filter(ranges.column("docs").is_valid())
@@ -212,23 +212,33 @@ def _cut(texts: pa.Table, ranges: pa.Table, length: int) -> pa.Table:
             removed = int(gone.sum())
             spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            if whole_characters:
+                kept = kept.decode("utf-8", "ignore").encode()
         for name, x in zip(out, (kept, n, removed, spans), strict=True):
             out[name].append(x)
-    return pa.table({"doc": texts.column("doc")} | {k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()})
+    carried = {"carried": texts.column("carried")} if "carried" in texts.column_names else {}
+    return pa.table({"doc": texts.column("doc")} | {k: pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()} | carried)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``id_col``, kept (the remaining bytes), n_bytes, n_removed and n_spans for every row with an id."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+    """``id_col``, kept (the remaining bytes), n_bytes, n_removed and n_spans for every row with an id.
+
+    ``carry`` names other columns that come along in a struct ``carried``.
+    """
     rows = id_rows(docs, id_col, text_col).where("doc IS NOT NULL")
     buckets, groups = sizes(rows)
     shards = max(4, buckets * 6 // 4)
     copies = materialise(_copies(rows, groups), "copies")
     shared = shared_tokens(send_tokens(rows, _tokens, buckets, by_text=True), groups).unionByName(copies, allowMissingColumns=True)
+    schema = _CLEANED
+    if carry:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.struct(*carry).alias("carried")).where("doc IS NOT NULL")
+        schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
     texts = rows.withColumn("group", group_column(F.col("doc"), groups)).groupBy("group")
     segments = texts.cogroup(shared.groupBy("group")).applyInArrow(lambda t, s: _segments(t, s, shards, length), _SEGMENTS)
     ranges = segments.groupBy("shard").applyInArrow(lambda t: _decide(t, groups, length), _RANGES)
     ranges = ranges.unionByName(copies, allowMissingColumns=True)
-    cleaned = texts.cogroup(ranges.groupBy("group")).applyInArrow(lambda t, r: _cut(t, r, length), _CLEANED)
+    cleaned = texts.cogroup(ranges.groupBy("group")).applyInArrow(lambda t, r: _cut(t, r, length, whole_characters), schema)
     return cleaned.withColumnRenamed("doc", id_col)
 
 
