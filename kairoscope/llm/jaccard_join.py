@@ -1,19 +1,21 @@
 """Exact Jaccard join on word shingles by token-combination prefixes.
 
 Tokens are the shingles. All tokens are counted, and every document orders its own by document
-frequency, rare ones first. A document of n tokens may lack at most t = n - ceil(0.75 n) of them in
-any partner, so of a prefix that survives the loss of any t tokens something is shared: tokens of
-the rare class count singly, tokens of a frequent class of order k in groups, of which any k make
-a combination, so m of them survive m - k losses. The prefix is extended until that exceeds t, and
-indexed by its rare tokens and its combinations. Documents that share an index entry are compared
+frequency, rare ones first. For each class of partner sizes, a document of n tokens may lack at most
+t of them in a partner (from the least overlap that 0.75 asks of the two sizes), so of a prefix that
+survives the loss of any t tokens something is shared: tokens of the rare class count singly,
+tokens of a frequent class of order k in groups, of which any k make a combination, so m of them
+survive m - k losses. The prefix is extended until that exceeds t, and indexed, under both size
+classes, by its rare tokens and its combinations. Documents that share an index entry are compared
 by their whole sets.
 
 A token that no other document has can only be lost. Documents with more than t of these have no
 partner, which settles most documents with neither their text nor their prefix leaving the task.
 
 Equal sets become one representative before tokens are exchanged. Of the documents that share an
-entry, first all are compared with the smallest; then only those pairs whose members are still in
-different components. So no link between different texts is lost and a large group costs a star.
+entry, first all are compared with one central member; then only those pairs whose members are
+still in different components and which the overlaps with the centre do not rule out. So no link
+between different texts is lost, and a large group costs a star.
 
 Tokens keep 48 bits of their hash: two unequal ones of one pair of documents agree with a
 probability below 1e-8.
@@ -25,12 +27,13 @@ components (their own is null). Rows that repeat an id count as one more text of
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
@@ -40,8 +43,8 @@ from kairoscope.session import materialise
 
 #: Per cent of the union that the intersection has to reach.
 PERCENT = 75
-#: Document frequencies from which two and three tokens make an index entry, for documents of 2**5 tokens and more.
-PAIRS_FROM, TRIPLES_FROM, COMBINED_LEVEL = 16, 1024, 5
+#: Document frequencies from which two and three tokens make an index entry, where both documents have at least so many tokens.
+PAIRS_FROM, TRIPLES_FROM, COMBINED_FROM = 16, 1024, 32
 #: Rows below which a table is sent to all executors (24 bytes a row).
 BROADCAST_ROWS = 1_000_000
 
@@ -58,25 +61,44 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, sig binary")
 
 
+#: First sizes of the size classes, each about a tenth larger than the one before.
+_STARTS = [1]
+
+
+def class_start(number: int) -> int:
+    while len(_STARTS) <= number:
+        _STARTS.append(max(_STARTS[-1] + 1, _STARTS[-1] * 11 // 10))
+    return _STARTS[number]
+
+
+def size_class(n: int) -> int:
+    while _STARTS[-1] <= n:
+        class_start(len(_STARTS))
+    return bisect_right(_STARTS, n) - 1
+
+
 def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray | None:
     """Index entries of a set of n tokens, of which ``tokens`` are shared; None where no partner can exist.
 
     ``tokens`` are in no order; ``often`` are their document frequencies.
     """
-    least = -(-percent * n // 100)
-    lost = n - least
     alone = n - len(tokens)
-    if alone > lost:
-        return None
     order = np.lexsort((tokens, often))
     tokens, often = tokens[order], often[order]
-    need = lost + 1 - alone
+    smallest, largest = -(-percent * n // 100), 100 * n // percent
+    own_class = size_class(n)
     found = []
-    # A partner has between `least` and n / share tokens; pairs meet at the level of either.
-    for level in range(least.bit_length() - 1, (100 * n // percent).bit_length()):
-        groups = max(1, (1 << level) // 16)
+    for other in range(size_class(smallest), size_class(largest) + 1):
+        least = max(smallest, class_start(other))
+        lost = n - -(-percent * (n + least) // (100 + percent))  # what n may lack in the smallest partner of this class
+        if alone > lost:
+            continue
+        need = lost + 1 - alone
+        pair = min(own_class, other) << 16 | max(own_class, other)
+        base = class_start(min(own_class, other))
+        groups = max(1, base // 16)
         order_of = np.ones(len(tokens), np.int64)
-        if level >= COMBINED_LEVEL:
+        if base >= COMBINED_FROM:
             order_of += (often >= PAIRS_FROM).astype(np.int64) + (often >= TRIPLES_FROM)
         kind = np.where(order_of > 1, order_of * groups + tokens % groups, 0)
         by_kind = np.argsort(kind, kind="stable")
@@ -88,7 +110,7 @@ def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PER
         if total[-1] < need:
             raise ValueError("a prefix cannot be extended far enough")
         end = int(np.searchsorted(total, need)) + 1
-        mark = np.uint64((level << 8) * 0x9E3779B97F4A7C15 % (1 << 64))
+        mark = np.uint64((pair + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         own = tokens[:end].astype(np.uint64)
         found.append(mix(own[order_of[:end] == 1] ^ mark))
         members: dict[int, list[int]] = {}
@@ -103,7 +125,7 @@ def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PER
                 for i in range(size + 1):
                     h = mix(h * np.uint64(0x100000001B3) + block[:, i])
                 found.append(h)
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate(found)) if found else None
 
 
 def _candidates(shared: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -127,14 +149,12 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are near enough."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb and the number of tokens that the whole sets share."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = right.join(_small(pairs), "b").join(left, "a")
-    both = both.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -148,21 +168,63 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     head_rows = members.where("doc = head AND n > 0").groupBy("doc").agg(F.max("n").alias("n")).withColumn("group", group_column(F.col("doc"), groups))
     found = materialise(_candidates(shared, head_rows, percent), "candidates")
     sets = found.select("doc", "n", "tokens")
-    entries = found.select("doc", "n", F.explode("entries").alias("entry"))
-    hubs = entries.groupBy("entry").agg(F.min("doc").alias("hub"), F.count("*").alias("members")).where("members > 1").select("entry", "hub")
-    indexed = materialise(entries.join(hubs, "entry"), "entries")
-    stars = materialise(indexed.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "stars")
-    links = materialise(_linked(stars, sets, percent), "links")
-    # What a star has joined needs no further look; only entries that still hold several components do.
-    parts = connected_components(links)
-    owned = indexed.join(parts, F.col("doc") == F.col("node"), "left").select("entry", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    split = owned.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("entry")
-    open_rows = materialise(owned.join(split, "entry"), "open")
+    entries = found.select("doc", "n", F.size("tokens").alias("s"), F.explode("entries").alias("entry"))
+    often = entries.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1").select("entry")
+    indexed = materialise(entries.join(often, "entry"), "entries")
+    # All members of an entry are compared with its centre, the one of which least is unshared; the entries of a
+    # group of copies mostly have the same one.
+    centre = F.struct((F.col("s") / F.col("n")).alias("r"), (-F.col("doc")).alias("d"))
+    hubs = indexed.groupBy("entry").agg(F.max_by("doc", centre).alias("hub"))
+    stars = indexed.join(hubs, "entry").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = materialise(_overlaps(materialise(stars, "stars"), sets), "overlaps")
+    links = materialise(stars.where(_is_link(percent)).select("a", "b"), "links")
+    # Only entries that still hold several components have more to tell, and of them only pairs that their
+    # overlaps with a common centre do not rule out.
+    fans = stars.groupBy("a").agg(F.count("*").alias("fans"))
+    to_hub = stars.join(fans, "a").groupBy("b").agg(F.max(F.struct("fans", (-F.col("a")).alias("d"), "shared")).alias("top")).select(F.col("b").alias("doc"), (-F.col("top.d")).alias("hub"), F.col("top.shared").alias("in_hub"))
+    open_rows = materialise(_still_open(indexed, links).join(to_hub, "doc", "left"), "open")
+    same_hub = F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))
+    possible = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & _near("x.", "y.", percent)
+    enough_inside = _reaches(F.least("x.in_hub", "y.in_hub"), percent)
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    near = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
-    rest = x.join(y, (F.col("x.entry") == F.col("y.entry")) & near).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
-    return members, links.union(materialise(_linked(rest, sets, percent), "links"))
+    rest = x.join(y, (F.col("x.entry") == F.col("y.entry")) & possible & (~same_hub | enough_inside)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    # Two sets that share too little within their common centre have to share a token outside of it.
+    outside = _outside_centre(open_rows.drop("entry").where("hub IS NOT NULL").distinct(), sets)
+    x, y = outside.alias("x"), outside.alias("y")
+    most = F.least("x.in_hub", "y.in_hub") + F.least(F.col("x.s") - F.col("x.in_hub"), F.col("y.s") - F.col("y.in_hub"))
+    by_token = x.join(y, (F.col("x.token") == F.col("y.token")) & same_hub & possible & ~enough_inside & _reaches(most, percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    rest = materialise(rest.union(by_token).distinct(), "rest")
+    rest = materialise(_overlaps(rest, sets), "overlaps")
+    return members, links.union(rest.where(_is_link(percent)).select("a", "b"))
+
+
+def _outside_centre(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` once for each shared token that their centre lacks."""
+    own = sets.select("doc", F.col("tokens").alias("own"))
+    centres = sets.select(F.col("doc").alias("hub"), F.col("tokens").alias("centre"))
+    return rows.join(own, "doc").join(centres, "hub").withColumn("token", F.explode(F.array_except("own", "centre"))).drop("own", "centre")
+
+
+def _reaches(shared: Column, percent: int) -> Column:
+    """Whether two sets x and y with so many tokens in common are linked."""
+    return (100 + percent) * shared >= percent * (F.col("x.n") + F.col("y.n"))
+
+
+def _is_link(percent: int) -> Column:
+    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether the sizes (n), and the numbers of tokens that are shared with anyone (s), allow a link at all."""
+    n = F.col(f"{x}n") + F.col(f"{y}n")
+    return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & ((100 + percent) * F.least(f"{x}s", f"{y}s") >= percent * n)
+
+
+def _still_open(indexed: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of the entries that hold several components of the links so far."""
+    owned = indexed.join(connected_components(links), F.col("doc") == F.col("node"), "left").select("entry", "doc", "n", "s", F.coalesce("component", "doc").alias("part"))
+    split = owned.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("entry")
+    return owned.join(split, "entry")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
