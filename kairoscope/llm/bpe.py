@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 200_000
-PAIR_ENTRIES = 1_000_000
+MEMO_ENTRIES = 60_000
+PAIR_ENTRIES = 200_000
 OUT_ROWS = 1_000
 SHORT = 48
 
@@ -213,6 +213,11 @@ class PrefixEncoder:
                     found += self._plain(part)
         return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
+    def forget(self) -> None:
+        """Empties the memos; the worker may have other work next."""
+        for memo in (self.memo, self.older, self.first, self.prefixes, self.pairs):
+            memo.clear()
+
     def decode_bytes(self, ids) -> bytes:
         text = self.text
         return b"".join([text[i] for i in ids])
@@ -249,6 +254,7 @@ def encode_decode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     ends.append(ends[-1] + len(own) // 4)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        model.forget()
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded string")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens that a task gathers before it sends them; bytes of text for each bucket of tokens and for each group of documents.
-BATCH_TOKENS, BUCKET_BYTES, GROUP_ROWS = 1_200_000, 6 << 20, 50_000
+#: Tokens that a task gathers before it sends them; bytes of text for each bucket of tokens; bytes and rows for each group of documents.
+BATCH_TOKENS, BUCKET_BYTES, GROUP_BYTES, GROUP_ROWS = 1_200_000, 6 << 20, 4 << 20, 50_000
 TOKEN_SCHEMA = "bucket long, first long, deltas binary, base long, docs binary"
 SHARED_SCHEMA = "group long, docs binary, wide boolean, low binary, high binary, often binary"
 
@@ -49,7 +49,7 @@ def sizes(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
     """Buckets for tokens and groups of documents, both in proportion to the input. Groups are a prime number, so that ids with a stride spread too."""
     total, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(4, -(-total // bucket_bytes))
-    groups = max(5, -(-total // (2 * bucket_bytes)), -(-count // GROUP_ROWS))
+    groups = max(5, -(-total // GROUP_BYTES), -(-count // GROUP_ROWS))
     while any(groups % p == 0 for p in range(2, int(groups**0.5) + 1)):
         groups += 1
     return buckets, groups

@@ -27,10 +27,8 @@ from kairoscope.llm.postings import by_document, group_column, id_rows, narrow,
 from kairoscope.session import materialise
 
 LENGTH, ANCHOR = 50, 24
-#: Bytes of text for each shard; the share of it that really comes is smaller.
-SHARD_BYTES = 4 << 20
 #: Bytes of segments that one sort takes; a shard with more is sorted in parts that hold all of an anchor.
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 _SEGMENTS = "shard long, anchors binary, bytes binary, lengths binary, counts binary, docs binary, starts binary"
 _RANGES = "group long, docs binary, starts binary, lengths binary"
 _CLEANED = "doc long, kept binary, n_bytes long, n_removed long, n_spans long"
@@ -227,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = id_rows(docs, id_col, text_col).where("doc IS NOT NULL")
     buckets, groups = sizes(rows)
-    shards = max(4, buckets * 6 // 4)
+    shards = max(4, 2 * buckets)
     copies = materialise(_copies(rows, groups), "copies")
     shared = shared_tokens(send_tokens(rows, _tokens, buckets, by_text=True), groups).unionByName(copies, allowMissingColumns=True)
     schema = _CLEANED
