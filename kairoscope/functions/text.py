@@ -107,7 +107,7 @@ def rel_path(c: Column) -> Column:
 def split_message(c: Column) -> Column:
     """Subject (first line) and body of a commit message."""
     lines = F.split(F.coalesce(c, F.lit("")), "\n")
-    body = F.trim(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n"))
+    body = F.regexp_replace(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "\n"), r"^\s+|\s+$", "")
     return F.struct(F.trim(F.element_at(lines, 1)).alias("subject"), F.when(F.size(lines) > 1, body).otherwise("").alias("body"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,34 +18,31 @@ def latest_burst(events: DataFrame, key: str, ts: str, idle_seconds: float) -> D
     return rows.where("__gaps = 0").drop("__gap", "__gaps")
 
 
-def accepted(times: list[int], wait: int) -> list[bool]:
-    """Whether each sorted moment is ``wait`` or more after the last accepted one."""
-    last, out = None, []
-    for t in times:
-        ok = last is None or t - last >= wait
-        last = t if ok else last
-        out.append(ok)
-    return out
-
-
-def debounce(events: DataFrame, keys: list[str], ts: str, wait_seconds: float, block_events: int = 200_000) -> DataFrame:
+def debounce(events: DataFrame, keys: list[str], ts: str, wait_seconds: float) -> DataFrame:
     """The events that are ``wait_seconds`` or more after the last accepted one of their key.
 
-    Events split where a gap alone makes the next one accepted whatever came before; each such run is
-    one group, so a hot key does not become one task unless it never pauses.
+    A gap of that length makes the next event accepted whatever came before, so each key splits into
+    runs between such gaps, and runs are dealt out one by one: a hot key is one task's only while it
+    never pauses. A task reads its sorted runs as a stream and remembers one moment.
     """
     order = Window.partitionBy(*keys).orderBy(ts, "event_id")
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
     wait = int(wait_seconds * 1e6)
-    rows = events.withColumn("__us", us)
+    rows = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
     rows = rows.withColumn("__new", F.coalesce(F.col("__us") - F.lag("__us").over(order) >= wait, F.lit(True)).cast("int"))
     rows = rows.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["__us", "event_id"])
-        return group[accepted(group["__us"].tolist(), wait)]
-
-    return rows.groupBy(*keys, "__run").applyInPandas(run, rows.schema).drop("__us", "__new", "__run")
+    rows = rows.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__us", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last = None, 0
+        for batch in batches:
+            keep = []
+            for *key, us in zip(*(batch[c].tolist() for c in [*keys, "__run", "__us"]), strict=True):
+                ok = key != of or us - last >= wait
+                of, last = key, us if ok else last
+                keep.append(ok)
+            yield batch[keep]
+
+    return rows.mapInPandas(run, rows.schema).drop("__us", "__new", "__run")
 
 
 def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:

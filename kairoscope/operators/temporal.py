@@ -94,18 +94,20 @@ def split_expired(edges: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
 
 def prune_group(edges: pd.DataFrame, rounds: int) -> pd.DataFrame:
     """One project, subject and predicate: in each round all but the dominant edge lose half; weak or contradicted ones go."""
-    edges = edges.assign(archived=False)
+    last = lambda x: (x is None or pd.isna(x), x if x is not None and not pd.isna(x) else 0)
+    base = (edges.support * edges.confidence).tolist()
+    ties = [(o, f, last(t)) for o, f, t in zip(edges.object, edges.valid_from, edges.valid_to, strict=True)]
+    relevance, against, archived = edges.relevance.tolist(), edges.contradictions.tolist(), [False] * len(edges)
     for _ in range(rounds):
-        live = edges[~edges.archived]
+        live = [i for i, gone in enumerate(archived) if not gone]
         if len(live) < 2:
             break
-        strength = live.support * live.confidence * live.relevance
-        order = live.assign(strength=strength).sort_values(["strength", "object", "valid_from", "valid_to"], ascending=[False, True, True, True], na_position="last").index
-        losers = order[1:]
-        edges.loc[losers, "relevance"] = edges.loc[losers, "relevance"] * 0.5
-        gone = [i for i in losers if edges.loc[i, "relevance"] < PRUNE_RELEVANCE or edges.loc[i, "contradictions"] > 0]
-        edges.loc[gone, "archived"] = True
-    return edges
+        first = min(live, key=lambda i: (-base[i] * relevance[i], ties[i]))
+        for i in live:
+            if i != first:
+                relevance[i] *= 0.5
+                archived[i] = relevance[i] < PRUNE_RELEVANCE or against[i] > 0
+    return edges.assign(relevance=relevance, archived=archived)
 
 
 def mdl_prune(edges: DataFrame, observations: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from kairoscope.functions import text as T
 from kairoscope.functions import vector as V
 from kairoscope.operators import conversation, evaluation, events, graph, memory, retrieval, temporal
 from kairoscope.plans import mapping as M
+from kairoscope.streaming import turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,9 +144,9 @@ def dominant_project(spark, sf_dir):
 @query(f"""WITH {M.TURNS_SQL}, n AS (SELECT *, lag(content) OVER w AS before, lead(content) OVER w AS after FROM t WINDOW w AS (PARTITION BY session_id ORDER BY turn_index))
 SELECT session_id, turn_index, coalesce(sha256(before), '') AS before_hash, coalesce(sha256(after), '') AS after_hash FROM n WHERE contains(lower(content), 'the')""")
 def turn_context_window(spark, sf_dir):
-    turns = M.turns(spark, sf_dir)
-    hits = turns.where(T.contains_ignoring_case(F.col("content"), F.lit("the"))).select("session_id", "turn_index")
-    rows = conversation.context_window(hits, turns)
+    all_turns = M.turns(spark, sf_dir)
+    hits = all_turns.where(T.contains_ignoring_case(F.col("content"), F.lit("the"))).select("session_id", "turn_index")
+    rows = conversation.context_window(hits, all_turns)
     digest = lambda c: F.coalesce(F.sha2(F.col(c).cast("binary"), 256), F.lit(""))
     return rows.select("session_id", "turn_index", digest("before").alias("before_hash"), digest("after").alias("after_hash"))
 
@@ -468,6 +469,12 @@ def cdc_signature_dedupe(spark, sf_dir):
     return events.dedupe_changes(replayed, "event_type", ["event_id"], ["user_id", "ts", "value", "props"], "replay").select("event_id", "user_id", "replay")
 
 
+@query(f"WITH {M.TURNS_SQL} SELECT session_id, turn_index, (row_number() OVER (PARTITION BY session_id ORDER BY turn_index) - 1)::INT AS number FROM t")
+def stream_turn_numbering(spark, sf_dir):
+    """The conversations as a stream that ends, numbered by keyed state."""
+    return turns.number_table(spark, f"{sf_dir}/conversations.parquet")
+
+
 # Commits and files
 
 
@@ -492,11 +499,11 @@ def commit_context(spark, sf_dir):
 
 
 @query(f"""WITH {_DENSE}, {_BM25}, u AS (SELECT vec_id AS id, score, 'dense' AS source FROM (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 40) UNION SELECT doc_id, score, 'lexical' FROM ranked WHERE item_id = 0 AND rank <= 40)
-SELECT id, round(max(score), 6) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY id ORDER BY max(score) DESC, id LIMIT 20""")
+SELECT id, max(score) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY id ORDER BY max(score) DESC, id LIMIT 20""")
 def memory_entity_search(spark, sf_dir):
     dense = _dense(spark, sf_dir, 40).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
     lexical = _lexical_for_first(spark, sf_dir, 40).select(F.col("doc_id").alias("id"), "score")
-    return memory.search(dense, lexical, "id", 20).withColumn("score", F.round("score", 6))
+    return memory.search(dense, lexical, "id", 20)
 
 
 @query("""WITH r AS (SELECT DISTINCT c_custkey::VARCHAR AS source, o_orderstatus AS type, o_orderpriority AS target FROM orders JOIN customer ON c_custkey = o_custkey)
