@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.postings import release
+
 MEMO_ENTRIES = 60_000
 PAIR_ENTRIES = 200_000
 OUT_ROWS = 1_000
@@ -255,6 +257,7 @@ def encode_decode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
         model.forget()
+        release()
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(run, f"id {id_type}, ids array<int>, decoded string")

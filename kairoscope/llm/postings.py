@@ -6,6 +6,7 @@ have and deals it out by document. A token is six bytes on its way, whatever it
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
@@ -21,6 +22,15 @@ TOKEN_SCHEMA = "bucket long, first long, deltas binary, base long, docs binary"
 SHARED_SCHEMA = "group long, docs binary, wide boolean, low binary, high binary, often binary"
 
 
+def release() -> None:
+    """Gives free memory back to the system: workers outlive their tasks, and several share an executor's allowance."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Non-negative integers in the least width that holds them."""
     top = int(x.max()) if len(x) else 0
@@ -105,6 +115,8 @@ def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], bucke
                     held, size = {}, 0
         if held:
             yield from flush(held)
+        del held
+        release()
 
     return rows.where("doc IS NOT NULL").mapInArrow(run, TOKEN_SCHEMA)
 
@@ -113,6 +125,7 @@ def shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
     """The tokens that at least two documents have, with their numbers of documents (65,535 stands for more), dealt out by document."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         tokens, owners = [], []
         for first, deltas, base, docs in zip(*(table.column(c) for c in ("first", "deltas", "base", "docs")), strict=True):
             tokens.append(np.cumsum(wide(deltas.as_py())) + first.as_py())

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from kairoscope.llm import shingles
 from kairoscope.llm.induced_sort import share_prefix, suffix_order
-from kairoscope.llm.postings import by_document, group_column, id_rows, narrow, runs, send_tokens, shared_tokens, sizes, wide
+from kairoscope.llm.postings import by_document, group_column, id_rows, narrow, release, runs, send_tokens, shared_tokens, sizes, wide
 from kairoscope.session import materialise
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of segments that one sort takes; a shard with more is sorted in parts that hold all of an anchor.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
+#: Starts that are looked at together when ranges are made.
+STARTS_AT_ONCE = 500_000
 _SEGMENTS = "shard long, anchors binary, bytes binary, lengths binary, counts binary, docs binary, starts binary"
 _RANGES = "group long, docs binary, starts binary, lengths binary"
 _CLEANED = "doc long, kept binary, n_bytes long, n_removed long, n_spans long"
@@ -82,6 +84,7 @@ def _copies_in(table: pa.Table) -> set[int]:
 
 def _segments(texts: pa.Table, shared: pa.Table, shards: int, length: int) -> pa.Table:
     """Each distinct segment of one group of documents once, with all its documents and starts."""
+    release()
     known = {doc: np.sort(tokens) for doc, tokens, _ in by_document(shared)}
     found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
     copies = _copies_in(shared)
@@ -126,6 +129,7 @@ def smallest_owner(text: np.ndarray, valid: np.ndarray, owner: np.ndarray, lengt
 
 def _decide(table: pa.Table, groups: int, length: int) -> pa.Table:
     """The ranges of starts that a smaller document has too."""
+    release()
     bytes_, lengths, counts, docs, starts, own = [], [], [], [], [], []
     for row in zip(*(table.column(c) for c in ("bytes", "lengths", "counts", "docs", "starts", "anchors")), strict=True):
         raw, n, c, d, s, a = (x.as_py() for x in row)
@@ -160,8 +164,12 @@ def _decide(table: pa.Table, groups: int, length: int) -> pa.Table:
         strings = n - length + 1
         place_of = np.repeat(np.arange(len(part)), counts[part])
         places = np.repeat(first_place[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(counts[part].sum())
-        for a in range(0, len(places), 200_000):
-            s, p = place_of[a : a + 200_000], places[a : a + 200_000]
+        ahead = np.cumsum(strings[place_of])
+        a = 0
+        while a < len(places):
+            b = max(a + 1, int(np.searchsorted(ahead, (ahead[a - 1] if a else 0) + STARTS_AT_ONCE, side="right")))
+            s, p = place_of[a:b], places[a:b]
+            a = b
             k = strings[s]
             offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             drop = least[np.repeat(base[s], k) + offset] < np.repeat(docs[p], k)
@@ -184,6 +192,7 @@ def _decide(table: pa.Table, groups: int, length: int) -> pa.Table:
 
 def _cut(texts: pa.Table, ranges: pa.Table, length: int, whole_characters: bool) -> pa.Table:
     """Every document without its ranges; with ``whole_characters`` also without what is left of a cut character."""
+    release()
     docs, starts, ends = (np.zeros(0, np.int64),) * 3
     copies = _copies_in(ranges)
     ranges = ranges.filter(ranges.column("docs").is_valid())
