@@ -1,14 +1,17 @@
 """Cross-entropy difference: how much nearer a document is to a target than to the whole corpus.
 
-Two bigram models, one of the target and one of the background, share one vocabulary: the ``size``
-most frequent words of the background (ties by the word), all others being one unknown word. Both
-models mix, with the same weight, a bigram estimate with an add-one unigram estimate; the
-background's counts are scaled to the target's number of words, so that both are matched in size
-and smoothing. Counts cover every text whole. A document's score is its mean loss per word under the
-target less that under the background; low scores are near the target.
-
-The words are counted by Spark over all texts. The models, two tables of (size + 1)**2 numbers
-whatever the input, are sent to the executors (16 MiB at the default).
+Two bigram models, one of the target and one of the background, share one vocabulary: every word of
+the background, and one unknown word. Both models mix, with the same weight, a bigram estimate with
+an add-one unigram estimate; the background's counts are scaled to the target's number of words, so
+that both are matched in size and smoothing. Counts cover every text whole. A document's score is
+its mean loss per word under the target less that under the background; low scores are near the
+target.
+
+The models are never gathered in one place. A bigram's loss is a term of the pair and its second
+word, less one of its first word alone; so each word of each text is sent, with the word before it,
+to the bucket of that word, where all counts that it needs are found, and only the sums of each text
+go on. Words that make up more than one in ``HOT`` are spread over the buckets by their pairs, and
+their own counts (at most ``HOT`` of them) are sent to the executors. Words travel as 64-bit hashes.
 
 Words are lower-cased runs without white space. Null and empty texts have no words and null losses.
 Repeated rows keep their rows and count as often. Without any target word the target model is uniform.
@@ -17,134 +20,205 @@ Repeated rows keep their rows and count as often. Without any target word the ta
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The cap on the vocabulary in oracle_sql(); the operator has none unless a caller gives a size.
 VOCABULARY = 1_000
 #: The weight of the unigram estimate, in words, against a bigram's count.
 BACKOFF = 20.0
 #: Distinct words that a task holds before it sends their counts.
 HELD_WORDS = 200_000
+#: Words of text that a task holds before it sends them to their buckets, and words of a bucket.
+HELD_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
+HOT = 4096
 BROADCAST_ROWS = 1_000_000
-_LOWER = {i: i + 32 for i in range(65, 91)}
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: Stand for the start of a text and for every word outside the vocabulary.
+_START, _UNKNOWN = 0, 1
 
 
-def words(text: str) -> list[str]:
-    """A-Z lower-cased; white space is what separates words in ASCII."""
-    return text.translate(_LOWER).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+def words(text: bytes) -> list[bytes]:
+    """Of UTF-8: A-Z lower-cased; white space is what separates words in ASCII."""
+    return text.translate(_LOWER).split()
 
 
-def _ids(text: str, index: dict[str, int], unknown: int) -> np.ndarray:
-    get = index.get
-    return np.array([get(w, unknown) for w in words(text) if w], np.int64)
+def word_hash(word: bytes) -> int:
+    return max(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"), 2)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n over all texts; each task adds up its own words first."""
+    """word, its numbers in all texts and in the target (n, t), and at the end of one (n_last, t_last); each task adds up its own words first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        held: Counter[str] = Counter()
+        held: dict[bool, Counter[bytes]] = {False: Counter(), True: Counter()}
+        last: dict[bool, Counter[bytes]] = {False: Counter(), True: Counter()}
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for target, found in held.items():
+                ends = last[target]
+                columns = [pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([ends[w] for w in found], pa.int64()), pa.array([target] * len(found), pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "n_last", "target"])
+                found.clear()
+                ends.clear()
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(words(text))
-                if len(held) >= HELD_WORDS:
-                    yield flush()
-                    held.clear()
-        yield flush()
+            for text, target in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w := words(text):
+                    held[target].update(w)
+                    last[target][w[-1]] += 1
+                    if len(held[target]) >= HELD_WORDS:
+                        yield from flush()
+        yield from flush()
 
-    return rows.select("text").mapInArrow(run, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = rows.select("text", "target").mapInArrow(run, "word string, n long, n_last long, target boolean")
+    of = lambda c: F.sum(F.when(F.col("target"), F.col(c)).otherwise(0))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), of("n").alias("t"), F.sum("n_last").alias("n_last"), of("n_last").alias("t_last"))
 
 
-@dataclass
-class MatchedModels:
-    """The shared vocabulary and the loss tables (first word by second; the last row starts a text)."""
+def _packed(values: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct values, and the place of each among them."""
+    table, at = np.unique(values, return_inverse=True)
+    return table.tobytes(), at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32).tobytes()
 
-    vocabulary: list[str]
-    target: np.ndarray
-    background: np.ndarray
 
+def _unpacked(tables: list[bytes], places: list[bytes], sizes: list[int]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(t, np.uint64)[np.frombuffer(p, f"u{len(p) // n}")] for t, p, n in zip(tables, places, sizes, strict=True)])
 
-def _losses(bigrams: np.ndarray, backoff: float) -> np.ndarray:
-    """-log2 of the mixed estimate, from counts of (first, second)."""
-    unigrams = bigrams.sum(0)
-    unigram = (unigrams + 1) / (unigrams.sum() + len(unigrams))
-    return -np.log2((bigrams + backoff * unigram[None, :]) / (bigrams.sum(1, keepdims=True) + backoff))
 
+def _bucketed(rows: DataFrame, buckets: int, hot: np.ndarray, vocabulary: set[int] | None) -> DataFrame:
+    """The words of rows (key, text, target), packed: bucket; word, word before and key of the text; flags (1: target, 2: last)."""
+    shared = rows.sparkSession.sparkContext.broadcast((hot, vocabulary))
+    names = ["bucket", "x", "xi", "a", "ai", "k", "ki", "flags"]
 
-def train(rows: DataFrame, size: int = VOCABULARY, backoff: float = BACKOFF) -> MatchedModels:
-    """From rows (text string, target boolean). All rows are the background; those of the target also the target."""
-    top = word_counts(rows).orderBy(F.desc("n"), "word").limit(size).collect()
-    vocabulary = [r.word for r in top]
-    shared = rows.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
-    unknown, width = len(vocabulary), len(vocabulary) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, vocabulary = shared.value
+        hashes: list[int] = []
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {False: np.zeros((width + 1) * width, np.int64), True: np.zeros((width + 1) * width, np.int64)}
-        for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                ids = _ids(text, shared.value, unknown)
-                if len(ids):
-                    pairs = np.append(width, ids[:-1]) * width + ids
-                    key, n = np.unique(pairs, return_counts=True)
-                    found[bool(target)][key] += n
-        for target, table in found.items():
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at], pa.int64()), pa.array(np.full(len(at), target), pa.bool_())], names=["pair", "n", "target"])
-
-    pairs = rows.select("text", "target").mapInArrow(count, "pair long, n long, target boolean").groupBy("pair").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).alias("t"))
-    counts = pairs.toPandas()  # at most (size + 2) * (size + 1) rows
-    background, target = np.zeros((width + 1) * width), np.zeros((width + 1) * width)
-    background[counts["pair"].to_numpy(np.int64)] = counts["n"]
-    target[counts["pair"].to_numpy(np.int64)] = counts["t"]
-    background, target = background.reshape(-1, width), target.reshape(-1, width)
-    if background.sum():
-        background *= target.sum() / background.sum()
-    return MatchedModels(vocabulary, _losses(target, backoff), _losses(background, backoff))
-
-
-def score_rows(rows: DataFrame, models: MatchedModels, id_col: str = "id") -> DataFrame:
-    """``id_col``, n_words, target_loss, background_loss and score for rows with that column and text."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
-    id_type = rows.schema[id_col].dataType.simpleString()
+        class Places(dict):
+            def __missing__(self, word: bytes) -> int:
+                found = word_hash(word)
+                hashes.append(found if vocabulary is None or found in vocabulary else _UNKNOWN)
+                self[word] = len(hashes) - 1
+                return len(hashes) - 1
+
+        places, ids, keys, targets = Places(), [], [], []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            table, sizes = np.array(hashes, np.uint64), np.array([len(i) for i in ids])
+            x = table[np.concatenate(ids)]
+            ends = np.cumsum(sizes)
+            a = np.empty_like(x)
+            a[1:] = x[:-1]
+            a[ends - sizes] = _START
+            flags = np.repeat(np.array(targets, np.uint8), sizes)
+            flags[ends - 1] |= 2
+            key = np.repeat(np.array(keys, np.int64).view(np.uint64), sizes)
+            spread = np.where(np.isin(table, hot)[np.concatenate(ids)], (x ^ (a * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(8), x)
+            bucket = (spread % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            x, a, key, flags, bucket = x[order], a[order], key[order], flags[order], bucket[order]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            out = [(int(bucket[i]), *_packed(x[i:j]), *_packed(a[i:j]), *_packed(key[i:j]), flags[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        index, unknown, start = {w: i for i, w in enumerate(models.vocabulary)}, len(models.vocabulary), len(models.vocabulary) + 1
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
-                ids = _ids(text, index, unknown)
-                if len(ids):
-                    before = np.append(start, ids[:-1])
-                    t, b = float(models.target[before, ids].mean()), float(models.background[before, ids].mean())
-                    out.append((len(ids), t, b, t - b))
-                else:
-                    out.append((0, None, None, None))
-            columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=["id", "n_words", "target_loss", "background_loss", "score"])
-
-    return rows.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {id_type}, n_words long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> DataFrame:
+            for key, text, target in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if w := words(text):
+                    ids.append(np.fromiter(map(places.__getitem__, w), np.int32, len(w)))
+                    keys.append(key)
+                    targets.append(target)
+                    held += len(w)
+                    if held >= HELD_TOKENS:
+                        yield flush()
+                        held = 0
+                        ids.clear()
+                        keys.clear()
+                        targets.clear()
+                        if len(places) >= HELD_WORDS:
+                            places.clear()
+                            hashes.clear()
+        if held:
+            yield flush()
+
+    return rows.select("key", "text", "target").mapInArrow(run, "bucket long, x binary, xi binary, a binary, ai binary, k binary, ki binary, flags binary")
+
+
+def text_losses(rows: DataFrame, size: int | None = None, backoff: float = BACKOFF) -> DataFrame:
+    """key, n_words, target_loss and background_loss for the texts with words of rows (key long, text string, target boolean).
+
+    All rows are the background; those of the target also the target. The key stands for the text:
+    rows with the same key have the same one. ``size``: only so many most frequent words (ties by the
+    word) are the vocabulary, all others being the unknown word.
+    """
+    from kairoscope.session import materialise
+
+    counts = materialise(word_counts(rows), "word-counts")
+    total = counts.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "n_last", "t_last")]).first()
+    vocabulary = None
+    if size is not None and size < total.words:
+        vocabulary = {word_hash(r.word.encode()) for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()}
+    frequent = [] if vocabulary is not None else counts.where(F.col("n") * HOT > F.lit(total.n)).collect()  # at most HOT rows
+    frequent = sorted((word_hash(r.word.encode()), r.n, r.t, r.n_last, r.t_last) for r in frequent)
+    hot = np.array([f[0] for f in frequent], np.uint64)
+    hot_counts = np.array([f[1:] for f in frequent], np.float64).reshape(-1, 4)
+    n = (total.words if vocabulary is None else len(vocabulary)) + 1
+    scale = total.t / total.n if total.n else 0.0
+    all_n, all_t, texts_n, texts_t = total.n, total.t, total.n_last, total.t_last  # a text with words has one last word
+    shared = rows.sparkSession.sparkContext.broadcast((hot, hot_counts))
+
+    def run(block: pa.Table) -> pa.Table:
+        hot, hot_counts = shared.value
+        column = lambda c: block.column(c).to_pylist()
+        flags = [np.frombuffer(f, np.uint8) for f in column("flags")]
+        sizes = [len(f) for f in flags]
+        x, a, key = (_unpacked(column(c), column(f"{c}i"), sizes) for c in ("x", "a", "k"))
+        flags = np.concatenate(flags)
+        target, last, start = (flags & 1).astype(np.float64), flags & 2 > 0, a == _START
+        word, xi = np.unique(x, return_inverse=True)
+        of = lambda w: np.bincount(xi, w, len(word))
+        own = np.stack([of(None), of(target), of(last), of(last * target)], 1).astype(np.float64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+            found = hot[at] == word
+            own[found] = hot_counts[at[found]]
+        before, ai = np.unique(a, return_inverse=True)
+        pair, pi = np.unique(xi.astype(np.int64) * len(before) + ai, return_inverse=True)
+        second = pair // len(before)
+        unigram_t, unigram_b = (own[:, 1] + 1) / (all_t + n), (own[:, 0] * scale + 1) / (all_n * scale + n)
+        pair_t = -np.log2(np.bincount(pi, target) + backoff * unigram_t[second])
+        pair_b = -np.log2(np.bincount(pi) * scale + backoff * unigram_b[second])
+        first_t, first_b = np.log2(own[:, 1] - own[:, 3] + backoff), np.log2((own[:, 0] - own[:, 2]) * scale + backoff)
+        loss_t = pair_t[pi] + np.where(last, 0.0, first_t[xi]) + np.where(start, np.log2(texts_t + backoff), 0.0)
+        loss_b = pair_b[pi] + np.where(last, 0.0, first_b[xi]) + np.where(start, np.log2(texts_n * scale + backoff), 0.0)
+        text, ki = np.unique(key, return_inverse=True)
+        sums = [np.bincount(ki, w, len(text)) for w in (None, start, loss_t, loss_b)]
+        return pa.table({"key": text.view(np.int64), "n": sums[0].astype(np.int64), "copies": sums[1].astype(np.int64), "t": sums[2], "b": sums[3]})
+
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total.n // BUCKET_TOKENS))
+    parts = _bucketed(rows, buckets, hot, vocabulary).groupBy("bucket").applyInArrow(run, "key long, n long, copies long, t double, b double")
+    sums = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "copies", "t", "b")])
+    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_words"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss"))
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
     """Scores every row of ``docs``; the rows whose id is in ``target_ids`` are the target."""
     # Up to BROADCAST_ROWS ids (16 bytes each) go to all executors, so that no text moves; more of them are joined by a shuffle.
     chosen = target_ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     rows = texts.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    return score_rows(texts, train(rows, size)).withColumnRenamed("id", id_col)
+    scored = texts.select("id", "key").join(text_losses(rows, size), "key", "left")
+    return scored.select(F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def oracle_sql(size: int = VOCABULARY, backoff: float = BACKOFF) -> str:
