@@ -6,9 +6,12 @@ benchmark; each hit gives a diagonal (document position minus item position), on
 item is compared word by word. A document is contaminated by an item if some stretch of
 ``window`` item words (all words of a shorter item) has at least ``share`` equal words there.
 
+Every pattern that the default window and share accept holds a seed of ``SEEDS``, as a test
+enumerates: items of more than ``SHORT`` words are searched for by the first masks, shorter ones by
+the masks of their number of words, which documents are seeded with only where such items exist.
+
 Words are lower-cased runs without white space and ASCII punctuation. Null and empty texts have
-none and are never reported, nor are rows without an id. Items with fewer words than the shortest
-mask spans cannot be seeded and are not searched for. Repeated rows give one row per pair of ids.
+none and are never reported, nor are rows without an id. Repeated rows give one row per pair of ids.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from pyspark.sql import functions as F
 
 from kairoscope.session import materialise
 
-#: Hashed word positions; both find every stretch in which only each fourth word, or rarer, is replaced.
+#: Hashed word positions of the search: a mask, and the fewest and most words of the items that it is for (None: any more).
+SHORT = 8
+SEEDS = (((0, 1, 2, 4), SHORT + 1, None), ((0, 3, 4, 5), SHORT + 1, None), ((0,), 1, 1), ((0, 1), 2, 2), ((0, 1, 2), 3, SHORT), ((0, 1, 3), 4, SHORT), ((0, 2, 3), 4, 4))
+#: The masks that oracle_sql() seeds with; sparser than what the share accepts, so it may miss overlaps that the search finds.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 7))
 WINDOW, SHARE = 20, 0.75
 #: Rows below which a table is sent to all executors (24 bytes a row); larger ones are shuffled.
@@ -30,40 +36,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SPLIT), "")
 
 
-def seeds(hashes: Column, masks: tuple[tuple[int, ...], ...] = MASKS) -> Column:
-    """The seeds at all positions, mask after mask, as one array."""
-
-    def of(number: int, mask: tuple[int, ...]) -> Column:
-        span = max(mask) + 1
-        starts = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span))
-        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.xxhash64(F.lit(number), *[F.get(hashes, i + o) for o in mask]))
-
-    return F.concat(*[of(n, m) for n, m in enumerate(masks)])
+def _exploded(rows: DataFrame, key: str, chosen: tuple[tuple[int, tuple[int, ...], Column], ...]) -> DataFrame:
+    """key, seed, position at all positions; chosen: number, mask and which rows it is for."""
+    size, empty = F.size("hashes"), F.array().cast("array<struct<seed:bigint,position:int>>")
 
+    def of(number: int, mask: tuple[int, ...], rows_for: Column) -> Column:
+        starts = F.when(rows_for & (size > max(mask)), F.sequence(F.lit(0), size - max(mask) - 1))
+        found = F.transform(starts, lambda i: F.struct(F.xxhash64(F.lit(number), *[F.get(F.col("hashes"), i + o) for o in mask]).alias("seed"), i.alias("position")))
+        return F.coalesce(found, empty)
 
-def _exploded(rows: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """key, seed, position."""
-    count = [F.greatest(F.size("hashes") - max(m), F.lit(0)) for m in masks]
-    position, before = F.col("at"), F.lit(0)
-    for n in range(1, len(masks)):
-        before = before + F.col(f"n{n - 1}")
-        position = F.when(F.col("at") >= before, F.col("at") - before).otherwise(position)
-    counts = [c.alias(f"n{n}") for n, c in enumerate(count)]
-    return rows.select(key, *counts, F.posexplode(seeds(F.col("hashes"), masks)).alias("at", "seed")).select(key, "seed", position.alias("position"))
+    return rows.select(key, F.explode(F.concat(*[of(*c) for c in chosen])).alias("at")).select(key, "at.seed", "at.position")
 
 
 def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", masks: tuple[tuple[tuple[int, ...], int, int | None], ...] = SEEDS, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each document and item that overlap: ids, start (first word of the diagonal), window, matched, n_equal."""
     hashed = hashed_of("text")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     items = benchmark.select(F.col(item_col).alias("item"), hashed_of(text_col).alias("hashes")).where("item IS NOT NULL")
-    item_seeds = _small(_exploded(items, "item", masks).withColumnRenamed("position", "item_position"), broadcast_rows)
+    size = F.size("hashes")
+    sizes = [r.n for r in items.select(F.least(size, F.lit(SHORT + 1)).alias("n")).distinct().collect()]
+    used = [(i, m, least, most) for i, (m, least, most) in enumerate(masks) if any(least <= n and (most is None or n <= most) for n in sizes)]
+    if not used:
+        used = [(0, *masks[0])]
+    item_seeds = _small(_exploded(items, "item", tuple((i, m, (size >= least) & (size <= (most or 1 << 30))) for i, m, least, most in used)).withColumnRenamed("position", "item_position"), broadcast_rows)
     hits = (
-        _exploded(texts.select("doc", hashed.alias("hashes")), "doc", masks)
+        _exploded(texts.select("doc", hashed.alias("hashes")), "doc", tuple((i, m, F.lit(True)) for i, m, *_ in used))
         .join(item_seeds, "seed")
         .select("doc", "item", (F.col("position") - F.col("item_position")).alias("diagonal"))
         .distinct()

@@ -1,12 +1,14 @@
 """Whole jobs: nothing of the input, the vocabulary or the accepted overlaps is left out."""
 
 import random
+from itertools import combinations
+from math import ceil
 
 import duckdb
 import pandas as pd
 import pytest
 
-from kairoscope.llm import lm_score
+from kairoscope.llm import decontaminate, lm_score
 
 TEXTS = "doc_id long, text string"
 
@@ -36,3 +38,39 @@ def test_lm_scores_with_every_word(spark, monkeypatch, size):
         assert [got[i].target_loss, got[i].background_loss, got[i].score] == (losses if n == 0 else pytest.approx(losses, abs=2e-6))
     if size is None:
         assert abs(got[300].score - got[301].score) > 0.01  # they differ in a rare word only, which the target has from 300
+
+
+def test_every_accepted_pattern_has_a_seed():
+    for n in range(1, decontaminate.WINDOW + 1):
+        masks = [m for m, least, most in decontaminate.SEEDS if least <= n and (most is None or n <= most)]
+        spots = [{i + o for o in m} for m in masks for i in range(n - max(m))]
+        for replaced in combinations(range(n), n - ceil(n * decontaminate.SHARE)):
+            assert any(not spot & set(replaced) for spot in spots), (n, replaced)
+
+
+def test_overlaps_against_all_diagonals(spark):
+    r = random.Random(11)
+    # Each item has words of its own, so that a hit can only be where it was put.
+    items = [(n, [f"i{n}x{i}" for i in range(n)]) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 14, 15, 16, 17, 18, 19, 20, 33)]
+    docs = [(0, ["clean", "words"]), (1, [])]
+    puts = {n: [r.sample(range(min(n, 20)), r.randint(0, min(n, 20) // 4 + 1)) for _ in range(12)] for n, _ in items}
+    puts[15].append([5, 8, 13])
+    puts[20].append([3, 6, 9, 12, 15])
+    for n, item in items:
+        for replaced in puts[n]:
+            words = [f"z{r.randrange(99)}" if i in replaced else w for i, w in enumerate(item)]
+            docs.append((len(docs), ["a"] * r.randint(0, 3) + words + ["b"] * r.randint(0, 3)))
+    want = {}
+    for d, have in docs:
+        for n, item in items:
+            window, found = min(n, decontaminate.WINDOW), []
+            for diagonal in range(-n, len(have) + 1):
+                equal = [0 <= j + diagonal < len(have) and have[j + diagonal] == w for j, w in enumerate(item)]
+                found.append((max(sum(equal[s : s + window]) for s in range(n - window + 1)), sum(equal), -diagonal))
+            matched, n_equal, back = max(found)
+            if matched >= ceil(window * decontaminate.SHARE):
+                want[d, n] = (-back, window, matched, n_equal)
+    table = lambda rows, schema: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], schema)
+    got = decontaminate.find_overlaps(table(docs, TEXTS), table(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (x.start, x.window, x.matched, x.n_equal) for x in got} == want
+    assert {n for _, n in want} == {n for n, _ in items}
