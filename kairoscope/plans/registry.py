@@ -481,7 +481,7 @@ def stream_turn_numbering(spark, sf_dir):
 @query("""SELECT l_partkey AS file, o_orderkey AS commit_id, c_name AS author, count(*) AS changes, sum(l_quantity) AS additions FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE l_partkey < 20 GROUP BY 1, 2, 3""")
 def file_history(spark, sf_dir):
     l, o, c = (M.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    rows = l.where("l_partkey < 20").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.groupBy(F.col("l_partkey").alias("file"), F.col("o_orderkey").alias("commit_id"), F.col("c_name").alias("author")).agg(F.count("*").alias("changes"), F.sum("l_quantity").alias("additions"))
 
 

@@ -1,0 +1,31 @@
+"""Registered queries over the whole of their tables: their SQL without what it leaves out."""
+
+import duckdb
+import pytest
+from test_registry import SF, TABLES, normal, pytestmark  # noqa: F401
+
+from kairoscope.plans import registry
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def check(spark, sql, name, *without):
+    """``without``: what the registered SQL has, and what the whole job has in its place."""
+    text = registry.ORACLES[name]
+    for a, b in without:
+        text = text.replace(a, b)
+    want = sql.execute(text)
+    names, rows = [d[0] for d in want.description], want.fetchall()
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    assert normal(got.collect(), got.columns) == normal(rows, names)
+
+
+def test_history_of_every_file(spark, sql):
+    check(spark, sql, "file_history", (" WHERE l_partkey < 20", ""))
