@@ -126,7 +126,7 @@ p AS (SELECT doc_id, score, unnest(w) AS name, unnest(range(len(w))) AS pos FROM
 s AS (SELECT lower(name) AS key, round(sum(score / (pos + 1)), 9) AS weight, min(doc_id) AS first, arg_min(name, doc_id * 10 + pos) AS name FROM p GROUP BY lower(name))
 SELECT name, 'word' AS type, weight FROM s ORDER BY weight DESC, first, key LIMIT 5""")
 def seed_entities(spark, sf_dir):
-    docs = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), (1.0 / (F.col("doc_id") + 1)).alias("score"), F.transform(F.slice(T.words(F.col("text")), 1, 3), lambda w: F.struct(w.alias("name"), F.lit("word").alias("type"))).alias("entities"))
+    docs = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), (1.0 / (F.col("doc_id") + 1)).alias("score"), F.transform(T.words(F.col("text")), lambda w: F.struct(w.alias("name"), F.lit("word").alias("type"))).alias("entities"))
     return retrieval.seed_entities(docs, 5).select("name", "type", "weight")
 
 
@@ -183,7 +183,8 @@ s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(md,
 SELECT doc_id, len(parts)::INT AS total, sha256(array_to_string(parts, '|')) AS hash FROM s""")
 def chunk_headers(spark, sf_dir):
     text = F.col("text")
-    md = F.concat(F.lit("# top\nintro\n## a\n"), F.substring(text, 1, 200), F.lit("\n### b\n#### deep\n"), F.substring(text, 201, 100))
+    half = F.floor(F.length(text) / 2).cast("int")
+    md = F.concat(F.lit("# top\nintro\n## a\n"), F.substring(text, F.lit(1), half), F.lit("\n### b\n#### deep\n"), F.substring(text, half + 1, F.length(text)))
     rows = M.table(spark, sf_dir, "documents").select("doc_id", T.header_sections(md).alias("parts"))
     return rows.select("doc_id", F.size("parts").alias("total"), F.sha2(F.array_join("parts", "|").cast("binary"), 256).alias("hash"))
 

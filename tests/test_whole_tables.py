@@ -29,3 +29,11 @@ def check(spark, sql, name, *without):
 
 def test_history_of_every_file(spark, sql):
     check(spark, sql, "file_history", (" WHERE l_partkey < 20", ""))
+
+
+def test_sections_of_whole_texts(spark, sql):
+    check(spark, sql, "chunk_headers", ("substr(text, 1, 200)", "substr(text, 1, length(text) // 2)"), ("substr(text, 201, 100)", "substr(text, length(text) // 2 + 1)"))
+
+
+def test_entities_of_whole_texts(spark, sql):
+    check(spark, sql, "seed_entities", ("[1:3]", ""), ("doc_id * 10 + pos", "doc_id * 100000 + pos"))
