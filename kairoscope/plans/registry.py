@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import ids
@@ -285,13 +285,19 @@ def transition_weights(spark, sf_dir):
     return _weighted(spark, sf_dir).select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("weight", 9).alias("weight"), F.round("total", 6).alias("total"))
 
 
+def _node(kind: str, column: str):
+    """A node's key: its project, kind and number."""
+    return F.concat(F.col("project_id").cast("string"), F.lit(f":{kind}"), F.col(column).cast("string"))
+
+
 def _walk(edges: DataFrame) -> DataFrame:
-    """Directed edges of project 0 between subjects and objects as nodes."""
-    return edges.where("project_id = 0").select(F.concat(F.lit("s"), F.col("subject").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("object").cast("string")).alias("dst"), *[c for c in ("weight",) if c in edges.columns])
+    """Directed edges between subjects and objects as nodes, each project's apart from the others'."""
+    return edges.select(_node("s", "subject").alias("src"), _node("o", "object").alias("dst"), *[c for c in ("weight",) if c in edges.columns])
 
 
 def _walk_seeds(edges: DataFrame) -> DataFrame:
-    return edges.where("project_id = 0").groupBy().agg(F.min("subject").alias("s")).select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("node"))
+    """The first subject of each project."""
+    return edges.groupBy("project_id").agg(F.min("subject").alias("s")).select(_node("s", "s").alias("node"))
 
 
 _WALK = "y AS (SELECT DISTINCT 's' || subject AS src, 'o' || object AS dst FROM e WHERE project_id = 0), b AS (SELECT src AS node, dst AS next FROM y UNION SELECT dst, src FROM y), h0 AS (SELECT 's' || min(subject) AS node FROM e WHERE project_id = 0)"
@@ -323,15 +329,21 @@ def _ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int
 sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN r12 a ON a.node = 's' || subject JOIN r12 b ON b.node = 'o' || object WHERE project_id = 0)
 SELECT subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, subject, object, predicate, valid_from, sc.valid_to NULLS LAST LIMIT 50""")
 def temporal_ppr(spark, sf_dir):
-    rows = _weighted(spark, sf_dir).where("project_id = 0")
+    """The 50 best edges of each project by a walk in that project."""
+    rows = _weighted(spark, sf_dir)
     walk = _walk(rows)
-    ranks = graph.pagerank(walk, walk.select(F.col("src").alias("node")).distinct(), 0.15, False, tolerance=None)
+    seeds = rows.select("project_id", _node("s", "subject").alias("node")).distinct()
+    ranks = graph.pagerank(walk, seeds.select("node"), 0.15, False, tolerance=None)
     a = ranks.select(F.col("node").alias("an"), F.col("rank").alias("ar"))
     b = ranks.select(F.col("node").alias("bn"), F.col("rank").alias("br"))
-    scored = rows.join(a, F.concat(F.lit("s"), F.col("subject").cast("string")) == F.col("an")).join(b, F.concat(F.lit("o"), F.col("object").cast("string")) == F.col("bn"))
-    scored = scored.withColumn("score", F.round(F.greatest("ar", "br") * F.col("weight") / F.col("total"), 12))
-    top = scored.orderBy(F.desc("score"), "subject", "object", "predicate", "valid_from", F.asc_nulls_last("valid_to")).limit(50)
-    return top.select("subject", "predicate", "object", "valid_from", F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("score", 9).alias("score"))
+    # The walks do not meet, so that a project's ranks are those of a walk of its own but for its share of all seeds.
+    own = seeds.groupBy("project_id").agg(F.count("*").alias("own"))
+    shares = own.crossJoin(own.agg(F.sum("own").alias("all"))).select("project_id", (F.col("all") / F.col("own")).alias("times"))
+    scored = rows.join(a, _node("s", "subject") == F.col("an")).join(b, _node("o", "object") == F.col("bn")).join(shares, "project_id")
+    scored = scored.withColumn("score", F.round(F.greatest("ar", "br") * F.col("times") * F.col("weight") / F.col("total"), 12))
+    order = Window.partitionBy("project_id").orderBy(F.desc("score"), "subject", "object", "predicate", "valid_from", F.asc_nulls_last("valid_to"))
+    top = scored.withColumn("place", F.row_number().over(order)).where("place <= 50")
+    return top.select("project_id", "subject", "predicate", "object", "valid_from", F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {M.COARSE_SQL}, {M.EDGES_SQL}, p AS (SELECT project_id, predicate, count(*) AS n, sum(support) AS s FROM e GROUP BY project_id, predicate), q AS (SELECT project_id, count(DISTINCT node) AS nodes FROM (SELECT project_id, 's:' || subject AS node FROM e UNION ALL SELECT project_id, 'o:' || object FROM e) GROUP BY project_id) SELECT project_id, sum(n)::BIGINT AS edges, sum(s)::BIGINT AS evidence, string_agg(predicate || '=' || n, ',' ORDER BY predicate || '=' || n) AS by_predicate, any_value(nodes) AS nodes FROM p JOIN q USING (project_id) GROUP BY project_id")
@@ -424,7 +436,7 @@ def call_target_cascade(spark, sf_dir):
 a AS (SELECT count(*) AS edges, count(*) FILTER (confidence >= 0.9) AS confident, count(DISTINCT caller) AS with_calls, round(avg(confidence), 9) AS mean_confidence FROM e)
 SELECT edges, confident::BIGINT AS confident, with_calls, mean_confidence, functions, round(with_calls / functions, 9) AS covered, round(confident / edges, 9) AS confident_share FROM a, f""")
 def call_diagnostics(spark, sf_dir):
-    l = M.table(spark, sf_dir, "lineitem").where("l_quantity > 25")
+    l = M.table(spark, sf_dir, "lineitem")
     edges = l.select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"), (1 - F.col("l_discount")).alias("confidence")).distinct()
     return graph.call_diagnostics(edges, M.table(spark, sf_dir, "supplier"))
 

@@ -37,3 +37,28 @@ def test_sections_of_whole_texts(spark, sql):
 
 def test_entities_of_whole_texts(spark, sql):
     check(spark, sql, "seed_entities", ("[1:3]", ""), ("doc_id * 10 + pos", "doc_id * 100000 + pos"))
+
+
+def test_diagnostics_of_all_calls(spark, sql):
+    check(spark, sql, "call_diagnostics", (" WHERE l_quantity > 25", ""))
+
+
+def of_projects(sql, name):
+    """The rows of the registered SQL with each project's number in place of 0, and that number."""
+    for (p,) in sql.execute("SELECT DISTINCT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey").fetchall():
+        found = sql.execute(registry.ORACLES[name].replace("project_id = 0", f"project_id = {p}"))
+        names = [d[0] for d in found.description]
+        yield from ((p, dict(zip(names, r, strict=True))) for r in found.fetchall())
+
+
+def test_neighbourhood_in_every_project(spark, sql):
+    want = [(f"{p}:{r['node']}", r["hop"]) for p, r in of_projects(sql, "temporal_neighborhood") if r["node"]]
+    got = registry.QUERIES["temporal_neighborhood"](spark, SF).select("node", "hop").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({n.split(":")[0] for n, _ in want}) > 1
+
+
+def test_ranks_in_every_project(spark, sql):
+    names = ["subject", "predicate", "object", "valid_from", "valid_to", "score"]
+    want = normal([(p, *(r[c] for c in names)) for p, r in of_projects(sql, "temporal_ppr")], ["project_id", *names])
+    got = registry.QUERIES["temporal_ppr"](spark, SF).select("project_id", *names).collect()
+    assert normal(got, ["project_id", *names]) == want and len({r.project_id for r in got}) > 1
