@@ -9,15 +9,18 @@ Old shards stay until ``vacuum``, and files of failed attempts are in no manifes
 
 The manifest itself is a Parquet table (file, bytes, rows), so its size is no matter for the driver
 beyond the list of files that any scan holds there. Rows, nulls, repeats and column names are kept
-as they are; appending an empty table commits a version without new shards.
+as they are; appending an empty table commits a version without new shards. The columns of the first
+append are kept beside the manifest, so that a table without shards is read as an empty one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TARGET_BYTES = 128 << 20
 FACTOR, MIN_RUN = 4, 4
@@ -62,7 +65,10 @@ class ShardedTable:
         """The rows of a version."""
         files = [r.file for r in self.entries(version).select("file").collect()]
         if not files:
-            raise ValueError("the table has no shard yet")
+            if not self._files.exists(self._at("schema")):
+                raise ValueError("the table has no shard yet")
+            kept = self.spark.read.text(f"{self.path}/schema").first()[0]
+            return self.spark.createDataFrame([], StructType.fromJson(json.loads(kept)))
         return self.spark.read.parquet(*files)
 
     def _commit(self, entries: DataFrame, base: int) -> bool:
@@ -91,17 +97,41 @@ class ShardedTable:
     def append(self, arrivals: DataFrame, batch: str | None = None) -> int:
         """Writes ``arrivals`` as they are partitioned, one small shard a task (with ``batch``: and value of that column), and commits them."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        self._keep_schema(arrivals)
         if batch:
             arrivals.withColumn("__batch", F.col(batch)).write.option("compression", "zstd").partitionBy("__batch").parquet(folder)
         else:
             arrivals.write.option("compression", "zstd").parquet(folder)
-        new = self._written([folder])
+        new = self._written([folder]) if self._has_files(folder) else self.spark.createDataFrame([], _ENTRIES)
         for _ in range(RETRIES):
             base = self.version()
             if self._commit(self.entries(base).union(new), base):
                 return base + 1
         raise CommitConflict(self.path)
 
+    def _keep_schema(self, arrivals: DataFrame) -> None:
+        """Writes the columns of the first append; of two at once, one stays."""
+        if self._files.exists(self._at("schema")):
+            return
+        draft = f"draft-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(arrivals.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/{draft}")
+        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self._context.rename(self._at(draft), self._at("schema"), options)
+        except Exception:
+            if not self._files.exists(self._at("schema")):
+                raise
+        finally:
+            self._files.delete(self._at(draft), True)
+
+    def _has_files(self, folder: str) -> bool:
+        """Without rows, a write by batch leaves no file that a schema could be read from."""
+        found = self._files.listFiles(self.spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+        while found.hasNext():
+            if found.next().getPath().getName().startswith("part-"):
+                return True
+        return False
+
     def tiers(self, version: int | None = None) -> DataFrame:
         """The entries below the target with their tier: the power of FACTOR that their size reaches."""
         small = self.entries(version).where(F.col("bytes") < 0.75 * self.target)
@@ -109,11 +139,11 @@ class ShardedTable:
 
     def compact(self) -> int:
         """Merges the runs of similar size, tier by tier from the smallest, until none is due; the number of merges."""
-        merges = 0
+        merges, settled = 0, -1
         while True:
             base = self.version()
             tiers = self.tiers(base)
-            due = tiers.groupBy("tier").agg(F.count("*").alias("n")).where(f"n >= {MIN_RUN}").agg(F.min("tier")).first()[0]
+            due = tiers.groupBy("tier").agg(F.count("*").alias("n")).where(f"n >= {MIN_RUN} and tier > {settled}").agg(F.min("tier")).first()[0]
             if due is None:
                 return merges
             chosen = tiers.where(F.col("tier") == due)
@@ -124,7 +154,7 @@ class ShardedTable:
             if self._commit(self.entries(base).join(gone, "file", "left_anti").select("file", "bytes", "rows").union(self._written([folder])), base):
                 merges += 1
                 if len(files) <= self._count([folder]):
-                    return merges  # nothing became fewer: the tier is as merged as its sizes allow
+                    settled = due  # nothing became fewer: the tier is as merged as its sizes allow; the higher ones may be due
             # Another writer was first: the merged files stay unnamed, and the loop looks at the newer version.
 
     def _count(self, folders: list[str]) -> int:

@@ -7,8 +7,10 @@ from math import ceil
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from kairoscope.llm import decontaminate, lm_score
+from kairoscope.llm import compaction, decontaminate, lm_score
+from kairoscope.session import scratch_path
 
 TEXTS = "doc_id long, text string"
 
@@ -74,3 +76,38 @@ def test_overlaps_against_all_diagonals(spark):
     got = decontaminate.find_overlaps(table(docs, TEXTS), table(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id): (x.start, x.window, x.matched, x.n_equal) for x in got} == want
     assert {n for _, n in want} == {n for n, _ in items}
+
+
+def test_compaction_goes_on_behind_a_settled_tier(spark, monkeypatch):
+    t = compaction.ShardedTable(spark, scratch_path(spark, "settled"), target_bytes=2_000_000)
+    docs = spark.range(60_000).selectExpr("id", "sha2(cast(id as string), 512) AS v")
+    for _ in range(4):
+        t.append(spark.range(10).selectExpr("id", "cast(id as string) AS v").coalesce(1))
+    for k in range(4):
+        t.append(docs.where(f"id % 4 = {k}").repartition(1))
+    assert t.tiers().select("tier").distinct().count() == 2
+    merge = t._merge
+    low = {r.file for r in t.tiers().orderBy("tier").limit(4).collect()}
+
+    def kept_apart(files, total, folder):
+        """The lower tier stays as many files as before."""
+        if set(files) == low:
+            spark.read.parquet(*files).repartition(4).write.parquet(folder)
+        else:
+            merge(files, total, folder)
+
+    monkeypatch.setattr(t, "_merge", kept_apart)
+    assert t.compact() == 2
+    assert t.read().count() == 60_040 and t.entries().where("rows > 1000").count() < 4
+
+
+def test_compaction_of_an_empty_table(spark):
+    for batch in (None, "k"):
+        t = compaction.ShardedTable(spark, scratch_path(spark, "empty"))
+        rows = spark.range(5).withColumn("k", F.lit(1))
+        assert t.append(rows.limit(0), batch) == 1
+        assert t.compact() == 0
+        t.vacuum()
+        assert t.read().columns == ["id", "k"] and t.read().count() == 0
+        t.append(rows, batch)
+        assert t.read().count() == 5 and t.read(1).count() == 0
