@@ -121,9 +121,9 @@ def as_of_filter(spark, sf_dir):
     return retrieval.as_of(rows, "ingested_at", "2024-01-15T12")
 
 
-@query("""WITH r AS (SELECT doc_id, 1.0 / (doc_id + 1) AS score, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:3] AS w FROM documents),
+@query("""WITH r AS (SELECT doc_id, 1.0 / (doc_id + 1) AS score, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, score, unnest(w) AS name, unnest(range(len(w))) AS pos FROM r),
-s AS (SELECT lower(name) AS key, round(sum(score / (pos + 1)), 9) AS weight, min(doc_id) AS first, arg_min(name, doc_id * 10 + pos) AS name FROM p GROUP BY lower(name))
+s AS (SELECT lower(name) AS key, round(sum(score / (pos + 1)), 9) AS weight, min(doc_id) AS first, arg_min(name, doc_id * 100000 + pos) AS name FROM p GROUP BY lower(name))
 SELECT name, 'word' AS type, weight FROM s ORDER BY weight DESC, first, key LIMIT 5""")
 def seed_entities(spark, sf_dir):
     docs = M.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), (1.0 / (F.col("doc_id") + 1)).alias("score"), F.transform(T.words(F.col("text")), lambda w: F.struct(w.alias("name"), F.lit("word").alias("type"))).alias("entities"))
@@ -178,7 +178,7 @@ def chunk_windows(spark, sf_dir):
     return rows.select("doc_id", F.size("chunks").alias("total"), F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "total", F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk_hash"))
 
 
-@query("""WITH m AS (SELECT doc_id, '# top' || chr(10) || 'intro' || chr(10) || '## a' || chr(10) || substr(text, 1, 200) || chr(10) || '### b' || chr(10) || '#### deep' || chr(10) || substr(text, 201, 100) AS md FROM documents),
+@query("""WITH m AS (SELECT doc_id, '# top' || chr(10) || 'intro' || chr(10) || '## a' || chr(10) || substr(text, 1, length(text) // 2) || chr(10) || '### b' || chr(10) || '#### deep' || chr(10) || substr(text, length(text) // 2 + 1) AS md FROM documents),
 s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(md, '(^|\\n)(#{2,3}\\s)', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> '') AS parts FROM m)
 SELECT doc_id, len(parts)::INT AS total, sha256(array_to_string(parts, '|')) AS hash FROM s""")
 def chunk_headers(spark, sf_dir):
@@ -300,7 +300,7 @@ def _walk_seeds(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id").agg(F.min("subject").alias("s")).select(_node("s", "s").alias("node"))
 
 
-_WALK = "y AS (SELECT DISTINCT 's' || subject AS src, 'o' || object AS dst FROM e WHERE project_id = 0), b AS (SELECT src AS node, dst AS next FROM y UNION SELECT dst, src FROM y), h0 AS (SELECT 's' || min(subject) AS node FROM e WHERE project_id = 0)"
+_WALK = "y AS (SELECT DISTINCT project_id || ':s' || subject AS src, project_id || ':o' || object AS dst FROM e), b AS (SELECT src AS node, dst AS next FROM y UNION SELECT dst, src FROM y), h0 AS (SELECT project_id || ':s' || min(subject) AS node FROM e GROUP BY project_id)"
 
 
 @query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WALK}, h1 AS (SELECT DISTINCT next AS node FROM b JOIN h0 USING (node)), h2 AS (SELECT DISTINCT next AS node FROM b JOIN h1 USING (node))
@@ -311,12 +311,12 @@ def temporal_neighborhood(spark, sf_dir):
 
 
 def _ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int) -> str:
-    """The rounds of personalised PageRank, one after the other."""
+    """The rounds of personalised PageRank, one after the other; seeds: node, and the part that its restart belongs to."""
     parts = [
         f"pe AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM ({edges}) GROUP BY src, dst)",
         "ps AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM pe)",
-        f"sd AS MATERIALIZED (SELECT DISTINCT node FROM ({seeds}))",
-        "nd AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT node FROM sd) THEN 1.0 / (SELECT count(*) FROM sd) ELSE 0 END AS s FROM (SELECT src AS node FROM ps UNION SELECT dst FROM ps UNION SELECT node FROM sd))",
+        f"sd AS MATERIALIZED (SELECT node, 1.0::DOUBLE / count(*) OVER (PARTITION BY part) AS share FROM (SELECT DISTINCT node, part FROM ({seeds})))",
+        "nd AS MATERIALIZED (SELECT x.node, coalesce(sd.share, 0) AS s FROM (SELECT src AS node FROM ps UNION SELECT dst FROM ps UNION SELECT node FROM sd) x LEFT JOIN sd USING (node))",
         "r0 AS MATERIALIZED (SELECT node, s AS rank FROM nd)",
     ]
     for i in range(rounds):
@@ -325,9 +325,14 @@ def _ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int
     return ", ".join(parts)
 
 
-@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {_ppr_sql("SELECT 's' || subject AS src, 'o' || object AS dst, weight FROM w WHERE project_id = 0", "SELECT DISTINCT 's' || subject AS node FROM e WHERE project_id = 0", 0.15, False, 12)},
-sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN r12 a ON a.node = 's' || subject JOIN r12 b ON b.node = 'o' || object WHERE project_id = 0)
-SELECT subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(score, 9) AS score FROM sc ORDER BY sc.score DESC, subject, object, predicate, valid_from, sc.valid_to NULLS LAST LIMIT 50""")
+_PROJECT_EDGES = "SELECT project_id || ':s' || subject AS src, project_id || ':o' || object AS dst, weight FROM w"
+_PROJECT_SEEDS = "SELECT project_id || ':s' || subject AS node, project_id AS part FROM e"
+
+
+@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {_ppr_sql(_PROJECT_EDGES, _PROJECT_SEEDS, 0.15, False, 12)},
+sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN r12 a ON a.node = project_id || ':s' || subject JOIN r12 b ON b.node = project_id || ':o' || object),
+tp AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, subject, object, predicate, valid_from, valid_to NULLS LAST) AS place FROM sc)
+SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(score, 9) AS score FROM tp WHERE place <= 50""")
 def temporal_ppr(spark, sf_dir):
     """The 50 best edges of each project by a walk in that project."""
     rows = _weighted(spark, sf_dir)
@@ -370,7 +375,7 @@ def temporal_backfill(spark, sf_dir):
 # Structural graph
 
 
-@query(f"""WITH {M.STRUCTURE_SQL}, {_ppr_sql("SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g", "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 3", 0.2, True, 12)},
+@query(f"""WITH {M.STRUCTURE_SQL}, {_ppr_sql("SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g", "SELECT 'n' || n_nationkey AS node, 0 AS part FROM nation WHERE n_nationkey < 3", 0.2, True, 12)},
 z AS (SELECT node, rank, CASE WHEN node IN ('n0', 'n1', 'n2') THEN 1.0 / (1 + substr(node, 2)::INT) ELSE 0 END AS baseline FROM r12),
 f AS (SELECT node, baseline, round(0.6 * baseline / max(baseline) OVER () + 0.4 * rank / max(rank) OVER (), 9) AS combined FROM z)
 SELECT node, round(baseline, 9) AS baseline, round(combined, 6) AS combined FROM f ORDER BY f.combined DESC, f.baseline DESC, node LIMIT 20""")
@@ -432,7 +437,7 @@ def call_target_cascade(spark, sf_dir):
     return _calls(spark, sf_dir).groupBy("caller", F.coalesce("resolved", F.lit("")).alias("resolved"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS caller, l_partkey AS callee, 1 - l_discount AS confidence FROM lineitem WHERE l_quantity > 25), f AS (SELECT count(*) AS functions FROM supplier),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS caller, l_partkey AS callee, 1 - l_discount AS confidence FROM lineitem), f AS (SELECT count(*) AS functions FROM supplier),
 a AS (SELECT count(*) AS edges, count(*) FILTER (confidence >= 0.9) AS confident, count(DISTINCT caller) AS with_calls, round(avg(confidence), 9) AS mean_confidence FROM e)
 SELECT edges, confident::BIGINT AS confident, with_calls, mean_confidence, functions, round(with_calls / functions, 9) AS covered, round(confident / edges, 9) AS confident_share FROM a, f""")
 def call_diagnostics(spark, sf_dir):
@@ -491,7 +496,7 @@ def stream_turn_numbering(spark, sf_dir):
 # Commits and files
 
 
-@query("""SELECT l_partkey AS file, o_orderkey AS commit_id, c_name AS author, count(*) AS changes, sum(l_quantity) AS additions FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey WHERE l_partkey < 20 GROUP BY 1, 2, 3""")
+@query("""SELECT l_partkey AS file, o_orderkey AS commit_id, c_name AS author, count(*) AS changes, sum(l_quantity) AS additions FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3""")
 def file_history(spark, sf_dir):
     l, o, c = (M.table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"), "left")

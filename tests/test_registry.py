@@ -41,3 +41,9 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(registry.ORACLES) <= set(registry.QUERIES) <= set(entry_point.queries())
+
+
+@pytest.mark.parametrize(("name", "column", "table", "whole"), [("file_history", "sum(changes)", "lineitem", "count(*)"), ("chunk_headers", "count(*)", "documents", "count(*)"), ("temporal_ppr", "count(DISTINCT project_id)", "customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey", "count(DISTINCT c_nationkey)")])
+def test_whole_tables(spark, sql, name, column, table, whole):
+    got = registry.QUERIES[name](spark, SF).selectExpr(column).first()[0]
+    assert got == sql.execute(f"SELECT {whole} FROM {table}").fetchone()[0]
