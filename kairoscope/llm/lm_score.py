@@ -7,221 +7,187 @@ that both are matched in size and smoothing. Counts cover every text whole. A do
 its mean loss per word under the target less that under the background; low scores are near the
 target.
 
-The models are never gathered in one place. A bigram's loss is a term of the pair and its second
-word, less one of its first word alone; so each word of each text is sent, with the word before it,
-to the bucket of that word, where all counts that it needs are found, and only the sums of each text
-go on. Words that make up more than one in ``HOT`` are spread over the buckets by their pairs, and
-their own counts (at most ``HOT`` of them) are sent to the executors. Words travel as 64-bit hashes.
+The models are never gathered in one place. Documents are dealt to groups; each group adds up its
+own words and bigrams and sends every distinct one, once, to the bucket of its hash. The buckets add
+up what all groups sent and answer each group with the counts of the whole corpus, in the order in
+which it had sent; the groups read their texts again and score them. So a word that every document
+has reaches its bucket once for each group, and what travels is in proportion to the distinct
+bigrams of the groups. Words and bigrams travel as 64-bit hashes.
 
 Words are lower-cased runs without white space. Null and empty texts have no words and null losses.
-Repeated rows keep their rows and count as often. Without any target word the target model is uniform.
+A text of any length is scored whole, by the task of its group. Repeated rows keep their rows and
+count as often; rows with a null id are background. Without any target word the target model is
+uniform. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The cap on the vocabulary in oracle_sql(); the operator has none unless a caller gives a size.
-VOCABULARY = 1_000
+from kairoscope.llm.postings import release, runs
+from kairoscope.llm.shingles import mix, word_hashes
+from kairoscope.session import materialise
+
 #: The weight of the unigram estimate, in words, against a bigram's count.
 BACKOFF = 20.0
-#: Distinct words that a task holds before it sends their counts.
-HELD_WORDS = 200_000
-#: Words of text that a task holds before it sends them to their buckets, and words of a bucket.
-HELD_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
-HOT = 4096
+#: Bytes of text of a group of documents, and for each bucket of counts.
+GROUP_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+#: Target ids up to this number (16 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Stand for the start of a text and for every word outside the vocabulary.
-_START, _UNKNOWN = 0, 1
-
-
-def words(text: bytes) -> list[bytes]:
-    """Of UTF-8: A-Z lower-cased; white space is what separates words in ASCII."""
-    return text.translate(_LOWER).split()
-
-
-def word_hash(word: bytes) -> int:
-    return max(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"), 2)
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, its numbers in all texts and in the target (n, t), and at the end of one (n_last, t_last); each task adds up its own words first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        held: dict[bool, Counter[bytes]] = {False: Counter(), True: Counter()}
-        last: dict[bool, Counter[bytes]] = {False: Counter(), True: Counter()}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for target, found in held.items():
-                ends = last[target]
-                columns = [pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([ends[w] for w in found], pa.int64()), pa.array([target] * len(found), pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "n_last", "target"])
-                found.clear()
-                ends.clear()
-
-        for batch in batches:
-            for text, target in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w := words(text):
-                    held[target].update(w)
-                    last[target][w[-1]] += 1
-                    if len(held[target]) >= HELD_WORDS:
-                        yield from flush()
-        yield from flush()
-
-    parts = rows.select("text", "target").mapInArrow(run, "word string, n long, n_last long, target boolean")
-    of = lambda c: F.sum(F.when(F.col("target"), F.col(c)).otherwise(0))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), of("n").alias("t"), F.sum("n_last").alias("n_last"), of("n_last").alias("t_last"))
-
-
-def _packed(values: np.ndarray) -> tuple[bytes, bytes]:
-    """The distinct values, and the place of each among them."""
-    table, at = np.unique(values, return_inverse=True)
-    return table.tobytes(), at.astype(np.uint16 if len(table) <= 1 << 16 else np.uint32).tobytes()
-
-
-def _unpacked(tables: list[bytes], places: list[bytes], sizes: list[int]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(t, np.uint64)[np.frombuffer(p, f"u{len(p) // n}")] for t, p, n in zip(tables, places, sizes, strict=True)])
-
-
-def _bucketed(rows: DataFrame, buckets: int, hot: np.ndarray, vocabulary: set[int] | None) -> DataFrame:
-    """The words of rows (key, text, target), packed: bucket; word, word before and key of the text; flags (1: target, 2: last)."""
-    shared = rows.sparkSession.sparkContext.broadcast((hot, vocabulary))
-    names = ["bucket", "x", "xi", "a", "ai", "k", "ki", "flags"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, vocabulary = shared.value
-        hashes: list[int] = []
-
-        class Places(dict):
-            def __missing__(self, word: bytes) -> int:
-                found = word_hash(word)
-                hashes.append(found if vocabulary is None or found in vocabulary else _UNKNOWN)
-                self[word] = len(hashes) - 1
-                return len(hashes) - 1
-
-        places, ids, keys, targets = Places(), [], [], []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            table, sizes = np.array(hashes, np.uint64), np.array([len(i) for i in ids])
-            x = table[np.concatenate(ids)]
-            ends = np.cumsum(sizes)
-            a = np.empty_like(x)
-            a[1:] = x[:-1]
-            a[ends - sizes] = _START
-            flags = np.repeat(np.array(targets, np.uint8), sizes)
-            flags[ends - 1] |= 2
-            key = np.repeat(np.array(keys, np.int64).view(np.uint64), sizes)
-            spread = np.where(np.isin(table, hot)[np.concatenate(ids)], (x ^ (a * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(8), x)
-            bucket = (spread % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-            order = np.argsort(bucket, kind="stable")
-            x, a, key, flags, bucket = x[order], a[order], key[order], flags[order], bucket[order]
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            out = [(int(bucket[i]), *_packed(x[i:j]), *_packed(a[i:j]), *_packed(key[i:j]), flags[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            columns = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
-
-        for batch in batches:
-            for key, text, target in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if w := words(text):
-                    ids.append(np.fromiter(map(places.__getitem__, w), np.int32, len(w)))
-                    keys.append(key)
-                    targets.append(target)
-                    held += len(w)
-                    if held >= HELD_TOKENS:
-                        yield flush()
-                        held = 0
-                        ids.clear()
-                        keys.clear()
-                        targets.clear()
-                        if len(places) >= HELD_WORDS:
-                            places.clear()
-                            hashes.clear()
-        if held:
-            yield flush()
-
-    return rows.select("key", "text", "target").mapInArrow(run, "bucket long, x binary, xi binary, a binary, ai binary, k binary, ki binary, flags binary")
-
-
-def text_losses(rows: DataFrame, size: int | None = None, backoff: float = BACKOFF) -> DataFrame:
-    """key, n_words, target_loss and background_loss for the texts with words of rows (key long, text string, target boolean).
-
-    All rows are the background; those of the target also the target. The key stands for the text:
-    rows with the same key have the same one. ``size``: only so many most frequent words (ties by the
-    word) are the vocabulary, all others being the unknown word.
-    """
-    from kairoscope.session import materialise
-
-    counts = materialise(word_counts(rows), "word-counts")
-    total = counts.agg(F.count("*").alias("words"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "n_last", "t_last")]).first()
-    vocabulary = None
-    if size is not None and size < total.words:
-        vocabulary = {word_hash(r.word.encode()) for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()}
-    frequent = [] if vocabulary is not None else counts.where(F.col("n") * HOT > F.lit(total.n)).collect()  # at most HOT rows
-    frequent = sorted((word_hash(r.word.encode()), r.n, r.t, r.n_last, r.t_last) for r in frequent)
-    hot = np.array([f[0] for f in frequent], np.uint64)
-    hot_counts = np.array([f[1:] for f in frequent], np.float64).reshape(-1, 4)
-    n = (total.words if vocabulary is None else len(vocabulary)) + 1
-    scale = total.t / total.n if total.n else 0.0
-    all_n, all_t, texts_n, texts_t = total.n, total.t, total.n_last, total.t_last  # a text with words has one last word
-    shared = rows.sparkSession.sparkContext.broadcast((hot, hot_counts))
-
-    def run(block: pa.Table) -> pa.Table:
-        hot, hot_counts = shared.value
-        column = lambda c: block.column(c).to_pylist()
-        flags = [np.frombuffer(f, np.uint8) for f in column("flags")]
-        sizes = [len(f) for f in flags]
-        x, a, key = (_unpacked(column(c), column(f"{c}i"), sizes) for c in ("x", "a", "k"))
-        flags = np.concatenate(flags)
-        target, last, start = (flags & 1).astype(np.float64), flags & 2 > 0, a == _START
-        word, xi = np.unique(x, return_inverse=True)
-        of = lambda w: np.bincount(xi, w, len(word))
-        own = np.stack([of(None), of(target), of(last), of(last * target)], 1).astype(np.float64)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
-            found = hot[at] == word
-            own[found] = hot_counts[at[found]]
-        before, ai = np.unique(a, return_inverse=True)
-        pair, pi = np.unique(xi.astype(np.int64) * len(before) + ai, return_inverse=True)
-        second = pair // len(before)
-        unigram_t, unigram_b = (own[:, 1] + 1) / (all_t + n), (own[:, 0] * scale + 1) / (all_n * scale + n)
-        pair_t = -np.log2(np.bincount(pi, target) + backoff * unigram_t[second])
-        pair_b = -np.log2(np.bincount(pi) * scale + backoff * unigram_b[second])
-        first_t, first_b = np.log2(own[:, 1] - own[:, 3] + backoff), np.log2((own[:, 0] - own[:, 2]) * scale + backoff)
-        loss_t = pair_t[pi] + np.where(last, 0.0, first_t[xi]) + np.where(start, np.log2(texts_t + backoff), 0.0)
-        loss_b = pair_b[pi] + np.where(last, 0.0, first_b[xi]) + np.where(start, np.log2(texts_n * scale + backoff), 0.0)
-        text, ki = np.unique(key, return_inverse=True)
-        sums = [np.bincount(ki, w, len(text)) for w in (None, start, loss_t, loss_b)]
-        return pa.table({"key": text.view(np.int64), "n": sums[0].astype(np.int64), "copies": sums[1].astype(np.int64), "t": sums[2], "b": sums[3]})
-
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total.n // BUCKET_TOKENS))
-    parts = _bucketed(rows, buckets, hot, vocabulary).groupBy("bucket").applyInArrow(run, "key long, n long, copies long, t double, b double")
-    sums = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "copies", "t", "b")])
-    return sums.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_words"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss"))
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None) -> DataFrame:
+_START = np.uint64(0x5851F42D4C957F2D)
+#: The counts of a gram: in all texts and in the target; of words also at the end of a text, in all and in the target.
+_COUNTS = ("n", "t", "n_last", "t_last")
+_SENT = "bucket long, group long, kind int, hashes binary, n binary, t binary, n_last binary, t_last binary"
+
+
+def to_bytes(x: np.ndarray) -> bytes:
+    """Non-negative integers, each in as few bytes as the largest needs, lowest bytes first: planes of like bytes compress well."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+
+
+def from_bytes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+class Grams:
+    """The words of some texts, one after the other, with the distinct words and bigrams and where they stand."""
+
+    def __init__(self, texts: list[bytes], targets: list[bool]):
+        own = [word_hashes(t) for t in texts]
+        self.sizes = np.array([len(w) for w in own], np.int64)
+        x = np.concatenate([np.zeros(0, np.uint64), *own])
+        ends = np.cumsum(self.sizes)[self.sizes > 0]
+        before = np.empty_like(x)
+        before[1:] = x[:-1]
+        before[ends - self.sizes[self.sizes > 0]] = _START
+        self.start = np.zeros(len(x), bool)
+        self.start[ends - self.sizes[self.sizes > 0]] = True
+        last = np.zeros(len(x), bool)
+        last[ends - 1] = True
+        target = np.repeat(np.array(targets, bool), self.sizes)
+        self.words, self.at_word = np.unique(x, return_inverse=True)
+        self.pairs, self.at_pair = np.unique(mix(x ^ mix(before * np.uint64(0x9E3779B97F4A7C15))), return_inverse=True)
+        count = lambda at, n, which: np.bincount(at[which], minlength=n)
+        w, p = len(self.words), len(self.pairs)
+        every = np.ones(len(x), bool)
+        self.word_counts = [count(self.at_word, w, k) for k in (every, target, last, last & target)]
+        self.pair_counts = [count(self.at_pair, p, k) for k in (every, target)]
+
+
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so sorted hashes have sorted buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _grams_of(table: pa.Table) -> Grams:
+    return Grams(table.column("text").to_pylist(), table.column("target").to_pylist())
+
+
+def _sent(table: pa.Table, buckets: int) -> pa.Table:
+    """The distinct words (kind 0) and bigrams (kind 1) of a group with their counts there, a row for each bucket."""
+    release()
+    group, found = table.column("group")[0].as_py(), _grams_of(table)
+    out: dict[str, list] = {k: [] for k in ("bucket", "group", "kind", "hashes", *_COUNTS)}
+    for kind, hashes, counts in ((0, found.words, found.word_counts), (1, found.pairs, found.pair_counts)):
+        at = _bucket_of(hashes, buckets)
+        for a, b in runs(at):
+            own = hashes[a:b].copy()
+            own[1:] -= hashes[a : b - 1]
+            row = (int(at[a]), group, kind, to_bytes(own), *[to_bytes(c[a:b]) for c in counts], *([None] * (4 - len(counts))))
+            for name, x in zip(out, row, strict=True):
+                out[name].append(x)
+    kinds = {"bucket": pa.int64(), "group": pa.int64(), "kind": pa.int32()}
+    return pa.table({name: pa.array(x, kinds.get(name, pa.binary())) for name, x in out.items()})
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The rows of a bucket with the counts of the whole corpus for those of the group; and one row with sums (group null)."""
+    release()
+    out: dict[str, list] = {k: [] for k in ("bucket", "group", "kind", *_COUNTS, "words", "n_all", "t_all", "n_ends", "t_ends")}
+    sums = [0] * 5
+    for kind in (0, 1):
+        rows = [r for r in table.select(["bucket", "group", "kind", "hashes", *_COUNTS[: 4 - 2 * kind]]).to_pylist() if r["kind"] == kind]
+        if not rows:
+            continue
+        blocks = [np.cumsum(from_bytes(r["hashes"])) for r in rows]
+        sizes = [len(b) for b in blocks]
+        every, at = np.unique(np.concatenate(blocks), return_inverse=True)
+        cuts = np.cumsum([0, *sizes])
+        totals = {c: np.bincount(at, np.concatenate([from_bytes(r[c]) for r in rows]), len(every)).astype(np.int64) for c in _COUNTS[: 4 - 2 * kind]}
+        if kind == 0:
+            sums = [len(every), *(int(totals[c].sum()) for c in _COUNTS)]
+        for r, a, b in zip(rows, cuts, cuts[1:], strict=False):
+            own = at[a:b]
+            row = (r["bucket"], r["group"], kind, *[to_bytes(totals[c][own]) if c in totals else None for c in _COUNTS], *[None] * 5)
+            for name, x in zip(out, row, strict=True):
+                out[name].append(x)
+    for name, x in zip(out, (table.column("bucket")[0].as_py(), None, None, *[None] * 4, *sums), strict=True):
+        out[name].append(x)
+    kinds = {"kind": pa.int32()} | {c: pa.binary() for c in _COUNTS}
+    return pa.table({name: pa.array(x, kinds.get(name, pa.int64())) for name, x in out.items()})
+
+
+def _scored(texts: pa.Table, answers: pa.Table, totals: tuple[int, ...], backoff: float) -> pa.Table:
+    """The losses of the texts of a group from the counts that its buckets answered."""
+    release()
+    found = _grams_of(texts)
+    n_words, all_n, all_t, texts_n, texts_t = totals
+    counts: dict[tuple[int, str], np.ndarray] = {}
+    answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    for kind in (0, 1):
+        rows = answers.filter(pa.compute.equal(answers.column("kind"), kind))
+        for c in _COUNTS[: 4 - 2 * kind]:
+            counts[kind, c] = np.concatenate([np.zeros(0), *[from_bytes(x.as_py()).astype(float) for x in rows.column(c)]])
+    scale, n = (all_t / all_n if all_n else 0.0), n_words + 1
+    unigram_t, unigram_b = (counts[0, "t"] + 1) / (all_t + n), (counts[0, "n"] * scale + 1) / (all_n * scale + n)
+    first_t, first_b = counts[0, "t"] - counts[0, "t_last"] + backoff, (counts[0, "n"] - counts[0, "n_last"]) * scale + backoff
+    x, pair, start = found.at_word, found.at_pair, found.start
+    before = np.append(0, x[:-1]) if len(x) else x
+    loss_t = -np.log2((counts[1, "t"][pair] + backoff * unigram_t[x]) / np.where(start, texts_t + backoff, first_t[before]))
+    loss_b = -np.log2((counts[1, "n"][pair] * scale + backoff * unigram_b[x]) / np.where(start, texts_n * scale + backoff, first_b[before]))
+    owner = np.repeat(np.arange(len(found.sizes)), found.sizes)
+    none = found.sizes == 0
+    mean = lambda loss: pa.array(np.bincount(owner, loss, len(none)) / np.maximum(found.sizes, 1), pa.float64(), mask=none)
+    return pa.table({"id": texts.column("id"), "n_words": pa.array(found.sizes, pa.int64()), "target_loss": mean(loss_t), "background_loss": mean(loss_b)})
+
+
+def text_losses(rows: DataFrame, backoff: float = BACKOFF) -> DataFrame:
+    """id, n_words, target_loss and background_loss for rows (id, text binary, target boolean); all rows are the background."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups, buckets = max(4, -(-total // GROUP_BYTES)), max(4, -(-total // BUCKET_BYTES))
+    # Of what tells rows apart, all of it deals them out: only rows that are equal in id and text keep together.
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    texts = dealt.groupBy("group")
+    sent = texts.applyInArrow(lambda t: _sent(t, buckets), _SENT)
+    schema = "bucket long, group long, kind int, n binary, t binary, n_last binary, t_last binary, words long, n_all long, t_all long, n_ends long, t_ends long"
+    answers = materialise(sent.groupBy("bucket").applyInArrow(_answered, schema), "gram-counts")
+    sums = answers.where("group IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n_all", "t_all", "n_ends", "t_ends")]).first()
+    own = answers.where("group IS NOT NULL").select("bucket", "group", "kind", *_COUNTS).groupBy("group")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double"
+    return texts.cogroup(own).applyInArrow(lambda t, a: _scored(t, a, tuple(sums), backoff), schema)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
     """Scores every row of ``docs``; the rows whose id is in ``target_ids`` are the target."""
-    # Up to BROADCAST_ROWS ids (16 bytes each) go to all executors, so that no text moves; more of them are joined by a shuffle.
-    chosen = target_ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("target", F.lit(True))
+    chosen = target_ids.select(F.col(id_col).alias("chosen")).where("chosen IS NOT NULL").distinct().withColumn("target", F.lit(True))
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    rows = texts.join(chosen, "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    scored = texts.select("id", "key").join(text_losses(rows, size), "key", "left")
-    return scored.select(F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = texts.join(chosen, F.col("id") == F.col("chosen"), "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    return text_losses(rows, backoff).select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
-def oracle_sql(size: int = VOCABULARY, backoff: float = BACKOFF) -> str:
+def oracle_sql(backoff: float = BACKOFF) -> str:
     """cross_entropy_difference() of documents against those of quality 1, in DuckDB's SQL."""
     return f"""
 WITH d AS (
@@ -229,8 +195,8 @@ WITH d AS (
          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]'), lambda x: x <> '') AS w
   FROM documents
 ), p AS (SELECT doc_id, target, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
-v AS (SELECT word FROM p GROUP BY word ORDER BY count(*) DESC, word LIMIT {size}),
-k AS (SELECT doc_id, target, pos, coalesce(v.word, ' ?') AS w FROM p LEFT JOIN v USING (word)),
+v AS (SELECT DISTINCT word FROM p),
+k AS (SELECT doc_id, target, pos, word AS w FROM p),
 g AS (SELECT doc_id, target, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' ^') AS before FROM k),
 c AS (SELECT before, w, count(*) AS b, count(*) FILTER (target) AS t FROM g GROUP BY ALL),
 s AS (SELECT sum(b) AS b, sum(t) AS t, sum(t) / sum(b) AS scale, (SELECT count(*) FROM v) + 1 AS n FROM c),

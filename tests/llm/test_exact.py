@@ -216,7 +216,7 @@ def test_lm_scores_prefer_the_target(spark):
     r = random.Random(3)
     docs = [(i, " ".join(r.choice(("a", "b", "c") if i % 2 else ("x", "y", "z")) for _ in range(50))) for i in range(60)] + [(100, None), (101, " ")]
     target = spark.createDataFrame([(i,) for i in range(1, 30, 2)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(table(spark, docs), target, size=5).collect()}
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(table(spark, docs), target).collect()}
     assert len(got) == 62 and got[100].score is None and got[101].n_words == 0
     assert max(got[i].score for i in range(31, 60, 2)) < min(got[i].score for i in range(0, 60, 2))
     assert lm_score.cross_entropy_difference(table(spark, []), target).count() == 0

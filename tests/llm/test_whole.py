@@ -15,11 +15,9 @@ from kairoscope.session import scratch_path
 TEXTS = "doc_id long, text string"
 
 
-@pytest.mark.parametrize("size", [None, 40])
-def test_lm_scores_with_every_word(spark, monkeypatch, size):
-    monkeypatch.setattr(lm_score, "HELD_TOKENS", 500)
-    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 300)
-    monkeypatch.setattr(lm_score, "HOT", 30)
+def test_lm_scores_with_every_word(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 3_000)
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 2_000)
     r = random.Random(5)
     word = lambda: f"W{int(r.paretovariate(0.6)) % 5000}"
     docs = [(i, " ".join(word() for _ in range(r.randint(1, 60)))) for i in range(150)]
@@ -30,16 +28,15 @@ def test_lm_scores_with_every_word(spark, monkeypatch, size):
     con = duckdb.connect()
     con.register("documents", documents)
     con.register("labels", labels)
-    want = {x[0]: x[1:] for x in con.execute(lm_score.oracle_sql(size or 10**9)).fetchall()}
+    want = {x[0]: x[1:] for x in con.execute(lm_score.oracle_sql()).fetchall()}
     rows = [(int(i), None if t is None else t) for i, t in documents.itertuples(index=False)]
     good = spark.createDataFrame([(int(i),) for i, q in labels.itertuples(index=False) if q], "doc_id long")
-    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(spark.createDataFrame(rows, TEXTS).repartition(3), good, size=size).collect()}
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(spark.createDataFrame(rows, TEXTS).repartition(3), good).collect()}
     assert set(got) == set(want) and got[201].n_words == got[202].n_words == 0
     for i, (n, *losses) in want.items():
         assert got[i].n_words == n
         assert [got[i].target_loss, got[i].background_loss, got[i].score] == (losses if n == 0 else pytest.approx(losses, abs=2e-6))
-    if size is None:
-        assert abs(got[300].score - got[301].score) > 0.01  # they differ in a rare word only, which the target has from 300
+    assert abs(got[300].score - got[301].score) > 0.01  # they differ in a rare word only, which the target has from 300
 
 
 def test_every_accepted_pattern_has_a_seed():
