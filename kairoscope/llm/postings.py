@@ -69,6 +69,12 @@ def group_column(doc: Column, groups: int) -> Column:
     return F.pmod(doc, F.lit(groups)).cast("long")
 
 
+def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
+    """``rows`` with what ``found`` has for their key, once a key. Rows of one key are dealt to ``salts`` tasks by ``spread``, so that no task gets all of a hot one."""
+    many = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
+
+
 def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int, by_text: bool = False) -> DataFrame:
     """Sorted tokens (the upper 48 of 64 bits) of many documents with their documents; of equal ones in a task, only the smallest id's.
 

@@ -25,11 +25,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.postings import salted_join
 from kairoscope.session import materialise, scratch_path
 
 MIN_REVISIT = 1_000
+#: Repeated payloads up to this number (60 bytes each) are sent to all executors; more are joined by a shuffle, each dealt to so many tasks.
+BROADCAST_ROWS, PAYLOAD_SALTS = 1_000_000, 256
 #: Two selected records are read at once if no more bytes than this lie between them; a read stays below the second.
 GAP, MOST = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads back.
+STRETCH = 4 << 20
 INDEX_SCHEMA = "page_id long, url string, record_type string, digest string, file string, offset long, length long"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -41,11 +46,18 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     slim = rows.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest")).where(F.col("n") >= MIN_REVISIT)
     # Only digests that occur again matter; a count first keeps single pages out of the join.
     again = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return (
-        rows.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha1("payload")).otherwise(F.concat(F.lit("own "), F.coalesce(F.col("page_id"), F.lit(-1)).cast("string"))))
-        .join(again, "digest", "left")
-        .select("page_id", "url", "payload", F.when(F.col("refers_to") > F.col("page_id"), F.col("refers_to")).alias("refers_to"))
-    )
+    again = materialise(again, "repeated-payloads")
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha1("payload")))
+    if again.count() <= BROADCAST_ROWS:  # then no payload moves
+        rows = rows.join(F.broadcast(again), "digest", "left")
+    else:
+        rows = salted_join(rows, again, "digest", F.concat_ws(" ", "page_id", "url"), PAYLOAD_SALTS)
+    return rows.select("page_id", "url", "payload", F.when(F.col("refers_to") > F.col("page_id"), F.col("refers_to")).alias("refers_to"))
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record's id follows from its page and payload, so that a revisit can name the one that it refers to; equal rows have equal ids."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}')}>"
 
 
 def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> tuple[bytes, str, str]:
@@ -55,7 +67,7 @@ def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"WARC-Record-ID: {record_id(page_id, sha.hexdigest())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest: sha1:" + base64.b32encode(sha.digest()).decode(),
@@ -65,7 +77,7 @@ def _record(page_id: int | None, url: str, payload: bytes, refers_to: int | None
         head.append(f"X-Page-Id: {page_id}")
     block = HTTP % len(payload) + payload
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, sha.hexdigest())}", f"X-Refers-To-Page-Id: {refers_to}"]
         block = HTTP % len(payload)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", kind, sha.hexdigest()
@@ -131,9 +143,11 @@ def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP, most: int = M
         yield group
 
 
-def read_records(index: DataFrame, with_payload: bool = True, stretch: int = 64 << 20) -> DataFrame:
-    """The records that ``index`` selects. A task reads stretches of archives of about ``stretch`` bytes."""
-    chosen = index.select("file", "offset", "length", F.floor(F.col("offset") / stretch).alias("part")).repartition("file", "part").sortWithinPartitions("file", "offset")
+def read_records(index: DataFrame, with_payload: bool = True, stretch: int = STRETCH) -> DataFrame:
+    """The records that ``index`` selects. A task reads about ``stretch`` bytes that follow each other in few archives."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // stretch))
+    chosen = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, stream, store = None, None, None
