@@ -7,8 +7,9 @@ with one atomic act, the renaming of ``manifest/v<N>``, which fails if another w
 change is then tried against the newer version. Readers see the version that they opened, whole.
 Old shards stay until ``vacuum``, and files of failed attempts are in no manifest.
 
-The manifest itself is a Parquet table (file, bytes, rows), so its size is no matter for the driver
-beyond the list of files that any scan holds there. Rows, nulls, repeats and column names are kept
+The manifest itself is a Parquet table (file, bytes, rows) of as many files as its size asks for. What
+is merged and what is deleted is worked out by joins; the driver holds the shards of one merge (at
+most ``MOST_MERGED``) and, for ``read``, the list of files that any scan holds there. Rows, nulls, repeats and column names are kept
 as they are; appending an empty table commits a version without new shards. The columns of the first
 append are kept beside the manifest, so that a table without shards is read as an empty one.
 """
@@ -22,8 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kairoscope.session import materialise
+
 TARGET_BYTES = 128 << 20
 FACTOR, MIN_RUN = 4, 4
+#: The most shards that one merge takes, the smallest first; what is left over is due for the next.
+MOST_MERGED = 10_000
 RETRIES = 20
 _ENTRIES = "file string, bytes long, rows long"
 
@@ -74,7 +79,7 @@ class ShardedTable:
     def _commit(self, entries: DataFrame, base: int) -> bool:
         """Makes ``entries`` version base + 1; False if that exists already."""
         draft = f"draft-{uuid.uuid4().hex}"
-        entries.coalesce(1).write.parquet(f"{self.path}/{draft}")
+        entries.hint("rebalance").write.parquet(f"{self.path}/{draft}")  # as many files as its size asks for
         self._files.mkdirs(self._at("manifest"))
         options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
@@ -147,6 +152,7 @@ class ShardedTable:
             if due is None:
                 return merges
             chosen = tiers.where(F.col("tier") == due)
+            chosen = materialise(chosen.orderBy("bytes", "file").limit(MOST_MERGED), "merged")
             files = [r.file for r in chosen.select("file").orderBy("file").collect()]
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             self._merge(files, chosen.agg(F.sum("bytes")).first()[0], folder)
@@ -175,14 +181,16 @@ class ShardedTable:
         last = self.version()
         for v in range(1, last - keep + 1):
             self._files.delete(self._at(f"manifest/v{v}"), True)
-        used = {r.file for v in range(max(1, last - keep + 1), last + 1) for r in self.entries(v).select("file").collect()}
-        found, stack = 0, [self._at("data")]
-        names = {u.split("/data/", 1)[1] for u in used}
-        while stack:
-            for status in self._files.listStatus(stack.pop()):
-                if status.isDirectory():
-                    stack.append(status.getPath())
-                elif status.getPath().getName().startswith("part-") and status.getPath().toString().split("/data/", 1)[1] not in names:
-                    self._files.delete(status.getPath(), False)
-                    found += 1
+        if not self._files.exists(self._at("data")):
+            return 0
+        used = self.spark.createDataFrame([], _ENTRIES)
+        for v in range(max(1, last - keep + 1), last + 1):
+            used = used.union(self.entries(v))
+        name = lambda c: F.substring_index(c, "/data/", -1)
+        there = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/data").select("path")
+        unused = there.join(used.select(name(F.col("file")).alias("name")), name(F.col("path")) == F.col("name"), "left_anti")
+        found = 0
+        for row in unused.toLocalIterator():  # no more than a part of the list is held at once
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(row.path), False)
+            found += 1
         return found
