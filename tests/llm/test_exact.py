@@ -116,27 +116,29 @@ def signed(x):
 
 
 def winnowed(text):
-    units = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in re.findall(r"[^\t-\r ]{1,16}", text)]
+    runs = re.findall(r"[^\t-\r ]+", text)
+    units = [xxhash.xxh64_intdigest(u.encode(), 42) for r in runs for u in ([r] if len(r) <= 16 else r)]
 
-    def chain(values):
-        seed = 42
+    def rolling(values):
+        h = 0
         for v in values:
-            seed = xxhash.xxh64_intdigest(struct.pack("<Q", v % (1 << 64)), seed)
-        return signed(seed)
+            h = (h << 1 | h >> 63) & (1 << 64) - 1 ^ v
+        return signed(h)
 
     if not units:
         return []
-    grams = [chain(units[i : i + 4]) for i in range(max(1, len(units) - 3))]
+    grams = [rolling(units[i : i + 4]) for i in range(max(1, len(units) - 3))]
     out = []
     for i in range(max(1, len(grams) - 4)):
         window = grams[i : i + 5]
-        at = i + min(range(len(window)), key=lambda j: (window[j] >> 30, -j))
+        at = i + min(range(len(window)), key=lambda j: (window[j], -j))
         if not out or out[-1][0] != at:
             out.append((at, grams[at]))
     return out
 
 
 def test_winnow(spark, rows):
+    rows = [*rows, (1008, "日本語の文" * 30 + " w1 w2"), (1009, "w1 " * 40 + "日本語の文" * 7 + "é" * 17), (1010, "w1 w2 w3"), (1011, "a" * 16 + " " + "b" * 17)]
     got = {r.doc_id: r for r in winnow.digest(winnow.edited_against_next(table(spark, rows))).collect()}
     ordered = sorted((i, t or "") for i, t in rows)
     shown = lambda f: " ".join(f"{p}:{h % (1 << 64):x}" for p, h in f)
@@ -151,6 +153,26 @@ def test_winnow(spark, rows):
     assert winnow.edited_against_next(table(spark, [])).count() == 0
 
 
+def test_winnow_keeps_its_guarantee(spark):
+    """Any K + WINDOW - 1 units in a row that two texts share bring a shared hash, in words and in text without spaces."""
+    r = random.Random(8)
+    n = winnow.K + winnow.WINDOW - 1
+    shared = [" ".join(f"s{i}" for i in range(n)), "".join(chr(0x4E00 + i) for i in range(n))]
+    filler = lambda sep: sep.join(chr(0x5000 + r.randrange(900)) for _ in range(r.randint(17, 40)))
+    docs = [(2 * i + j, filler(sep) + sep + shared[kind] + sep + filler(sep)) for kind, sep in enumerate((" ", "")) for i in range(10 * kind, 10 * kind + 10) for j in (0, 1)]
+    got = {x.doc_id: set(x.hashes) for x in winnow.fingerprint(table(spark, docs)).collect()}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(20))
+
+
+def test_winnow_of_missing_and_repeated_ids(spark):
+    docs = [(None, "no id " * 9), (None, None), (4, "b c d"), (4, "a b c"), (9, "x " * 30)]
+    got = sorted(((x.doc_id or 0), x.edited_sha256, x.near_next) for x in winnow.digest(winnow.edited_against_next(table(spark, docs))).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    edit = lambda t, u: t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+    texts = [(0, "no id " * 9, "no id " * 9), (0, "", ""), (4, "a b c", "b c d"), (4, "b c d", "x " * 30), (9, "x " * 30, "a b c")]
+    assert [g[:2] for g in got] == sorted((i, sha(edit(t, u))) for i, t, u in texts)
+
+
 def test_next_in_order_of_sparse_keys(spark):
     keys = [-(2**57), -5, 0, 1, 2**12, 2**30, 2**40 + 1, 2**57 - 1]
     got = {r.k: r.next for r in winnow.next_in_order(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
