@@ -52,6 +52,30 @@ def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataF
     return events.withColumn("calls", F.count("*").over(window))
 
 
+def trailing_debounce(events: DataFrame, keys: list[str], ts: str, gap: str, event_id: str) -> DataFrame:
+    """keys, event_id, merged: of each run of events whose gaps stay below ``gap``, the last one and how many there were.
+
+    Session windows merge runs in partial aggregates, so that a key's events need not meet in one sort.
+    """
+    rows = events.groupBy(*keys, F.session_window(F.col(ts), gap).alias("run")).agg(F.max_by(event_id, F.struct(ts, event_id)).alias(event_id), F.count("*").alias("merged"))
+    return rows.drop("run")
+
+
+def quota(events: DataFrame, key: str, ts: str, tokens: str, seconds: int, most_requests: int, most_tokens: float) -> DataFrame:
+    """``events`` with the requests and tokens of their key in the seconds up to and with them, and whether both stay within the quota."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    window = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
+    rows = events.withColumns({"requests": F.count("*").over(window), "tokens": F.round(F.sum(tokens).over(window), 6)})
+    return rows.withColumn("admitted", (F.col("requests") <= most_requests) & (F.col("tokens") <= most_tokens))
+
+
+def ready_bursts(events: DataFrame, key: str, ts: str, now: DataFrame, idle_seconds: int, recent_seconds: int) -> DataFrame:
+    """key, newest: keys whose newest event is at least ``idle_seconds`` and at most ``recent_seconds`` before the one row of ``now``."""
+    last = events.groupBy(key).agg(F.max(ts).alias("newest")).crossJoin(F.broadcast(now))  # one row
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    return last.where((seconds("now") - seconds("newest")).between(idle_seconds, recent_seconds)).drop("now")
+
+
 def newest(events: DataFrame, order: list, keep: int) -> DataFrame:
     """The newest rows, as a buffer of fixed size keeps them."""
     return events.orderBy(*order).limit(keep)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,30 +10,18 @@ from kairoscope.functions import text as T
 from kairoscope.functions import vector as V
 from kairoscope.operators import conversation, evaluation, events, graph, memory, retrieval, temporal
 from kairoscope.plans import mapping as M
+from kairoscope.plans.catalog import ORACLES, QUERIES, Query, query
 from kairoscope.streaming import turns
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL where there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
+    """All registered queries; those of the other modules of this package too."""
+    from kairoscope.plans import search, store  # noqa: F401  they register on import
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
