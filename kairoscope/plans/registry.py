@@ -34,7 +34,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COSINE = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
 _DENSE = f"dense AS (SELECT vec_id, label, round({_COSINE}, 9) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0))"
-_BM25 = """terms AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
+BM25_SQL = """terms AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
 docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2) AS w FROM documents),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM docs),
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term),
@@ -62,7 +62,7 @@ def dense_topk_postfilter(spark, sf_dir):
     return top.where("label = own").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 5")
+@query(f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 5")
 def lexical_bm25_topk(spark, sf_dir):
     rows = retrieval.bm25(M.table(spark, sf_dir, "documents"), M.table(spark, sf_dir, "benchmark"), 5)
     return rows.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
@@ -77,7 +77,7 @@ def _lexical_for_first(spark, sf_dir, k):
     return retrieval.bm25(M.table(spark, sf_dir, "documents"), M.table(spark, sf_dir, "benchmark").where("item_id = 0"), k)
 
 
-@query(f"""WITH {_DENSE}, {_BM25},
+@query(f"""WITH {_DENSE}, {BM25_SQL},
 d AS (SELECT vec_id::VARCHAR AS key, row_number() OVER (ORDER BY score DESC, vec_id) AS r, score FROM dense ORDER BY score DESC, vec_id LIMIT 80),
 x AS (SELECT doc_id::VARCHAR AS key, rank AS r, score FROM ranked WHERE item_id = 0 AND rank <= 40),
 f AS (SELECT coalesce(d.key, x.key) AS key, coalesce(1.0 / (60 + d.r), 0) + coalesce(1.0 / (60 + x.r), 0) AS score, concat_ws('+', CASE WHEN d.key IS NOT NULL THEN 'dense' END, CASE WHEN x.key IS NOT NULL THEN 'lexical' END) AS sources, d.score AS ds, x.score AS xs
@@ -89,7 +89,7 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.rrf(dense, lexical, 10).select("key", F.round("score", 9).alias("score"), "sources")
 
 
-@query(f"""WITH {_DENSE}, {_BM25}, {M.TURNS_SQL}, hits AS (
+@query(f"""WITH {_DENSE}, {BM25_SQL}, {M.TURNS_SQL}, hits AS (
 SELECT * FROM (SELECT 'code' AS module, vec_id::VARCHAR AS source_id, score, false AS temporal_applied FROM dense ORDER BY score DESC, vec_id LIMIT 10)
 UNION ALL SELECT 'research', doc_id::VARCHAR, score, true FROM ranked WHERE item_id = 0 AND rank <= 10
 UNION ALL SELECT * FROM (SELECT 'conversation', session_id || ':' || turn_index, 1.0, false FROM t WHERE contains(lower(content), 'the') ORDER BY session_id, turn_index LIMIT 10))
@@ -296,7 +296,7 @@ def temporal_neighborhood(spark, sf_dir):
     return graph.neighbourhood(_walk(edges), _walk_seeds(edges), 2)
 
 
-def _ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int) -> str:
+def ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int) -> str:
     """The rounds of personalised PageRank, one after the other; seeds: node, and the part that its restart belongs to."""
     parts = [
         f"pe AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM ({edges}) GROUP BY src, dst)",
@@ -315,7 +315,7 @@ _PROJECT_EDGES = "SELECT project_id || ':s' || subject AS src, project_id || ':o
 _PROJECT_SEEDS = "SELECT project_id || ':s' || subject AS node, project_id AS part FROM e"
 
 
-@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {_ppr_sql(_PROJECT_EDGES, _PROJECT_SEEDS, 0.15, False, 12)},
+@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {ppr_sql(_PROJECT_EDGES, _PROJECT_SEEDS, 0.15, False, 12)},
 sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN r12 a ON a.node = project_id || ':s' || subject JOIN r12 b ON b.node = project_id || ':o' || object),
 tp AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, subject, object, predicate, valid_from, valid_to NULLS LAST) AS place FROM sc)
 SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(score, 9) AS score FROM tp WHERE place <= 50""")
@@ -361,7 +361,7 @@ def temporal_backfill(spark, sf_dir):
 # Structural graph
 
 
-@query(f"""WITH {M.STRUCTURE_SQL}, {_ppr_sql("SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g", "SELECT 'n' || n_nationkey AS node, 0 AS part FROM nation WHERE n_nationkey < 3", 0.2, True, 12)},
+@query(f"""WITH {M.STRUCTURE_SQL}, {ppr_sql("SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g", "SELECT 'n' || n_nationkey AS node, 0 AS part FROM nation WHERE n_nationkey < 3", 0.2, True, 12)},
 z AS (SELECT node, rank, CASE WHEN node IN ('n0', 'n1', 'n2') THEN 1.0 / (1 + substr(node, 2)::INT) ELSE 0 END AS baseline FROM r12),
 f AS (SELECT node, baseline, round(0.6 * baseline / max(baseline) OVER () + 0.4 * rank / max(rank) OVER (), 9) AS combined FROM z)
 SELECT node, round(baseline, 9) AS baseline, round(combined, 6) AS combined FROM f ORDER BY f.combined DESC, f.baseline DESC, node LIMIT 20""")
@@ -502,7 +502,7 @@ def commit_context(spark, sf_dir):
 # Memory
 
 
-@query(f"""WITH {_DENSE}, {_BM25}, u AS (SELECT vec_id AS id, score, 'dense' AS source FROM (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 40) UNION SELECT doc_id, score, 'lexical' FROM ranked WHERE item_id = 0 AND rank <= 40)
+@query(f"""WITH {_DENSE}, {BM25_SQL}, u AS (SELECT vec_id AS id, score, 'dense' AS source FROM (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 40) UNION SELECT doc_id, score, 'lexical' FROM ranked WHERE item_id = 0 AND rank <= 40)
 SELECT id, max(score) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY id ORDER BY max(score) DESC, id LIMIT 20""")
 def memory_entity_search(spark, sf_dir):
     dense = _dense(spark, sf_dir, 40).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
@@ -531,7 +531,7 @@ def lexical_bench_candidates(spark, sf_dir):
     return retrieval.lexical_candidates(M.table(spark, sf_dir, "documents"), M.table(spark, sf_dir, "benchmark"))
 
 
-@query(f"""WITH {_BM25}, x AS (SELECT * FROM ranked WHERE rank <= 20), h AS (SELECT item_id, min(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN rank END) AS r FROM x GROUP BY item_id)
+@query(f"""WITH {BM25_SQL}, x AS (SELECT * FROM ranked WHERE rank <= 20), h AS (SELECT item_id, min(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN rank END) AS r FROM x GROUP BY item_id)
 SELECT item_id, r::INT AS hit_rank, coalesce(round(1.0 / r, 9), 0) AS mrr, coalesce(CASE WHEN r <= 10 THEN round(1 / log2(r + 1), 9) END, 0) AS ndcg, CASE WHEN r <= 5 THEN 1 ELSE 0 END AS success, CASE WHEN r <= 10 THEN 1 ELSE 0 END AS recall FROM h""")
 def retrieval_metrics(spark, sf_dir):
     bench = M.table(spark, sf_dir, "benchmark")
