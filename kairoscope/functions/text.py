@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,14 +66,20 @@ def header_sections(markdown: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_windows(text: Column) -> Column:
     """The text itself if its token estimate fits, else overlapping windows of its words."""
-    w = words(text)
-    n = F.size(w)
-    count = F.ceil(F.greatest(n - WINDOW_WORDS, F.lit(0)) / F.lit(float(WINDOW_STEP))).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count), lambda k: F.array_join(F.slice(w, k * WINDOW_STEP + 1, WINDOW_WORDS), " "))
     whole = F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
-    return F.when((n * F.lit(TOKENS_PER_WORD)).cast("int") <= CHUNK_TOKENS, whole).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        count = F.ceil(F.greatest(F.size(w) - WINDOW_WORDS, F.lit(0)) / F.lit(float(WINDOW_STEP))).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda k: F.array_join(F.slice(w, k * WINDOW_STEP + 1, WINDOW_WORDS), " "))
+
+    return once(words(text), lambda w: F.when((F.size(w) * F.lit(TOKENS_PER_WORD)).cast("int") <= CHUNK_TOKENS, whole).otherwise(cut(w)))
 
 
 def lexical_terms(c: Column) -> Column:
@@ -84,10 +92,9 @@ def contains_ignoring_case(haystack: Column, needle: Column) -> Column:
 
 
 def source_id_parts(c: Column) -> Column:
-    """The parts before and after the last colon; nulls where there is none."""
-    found = F.regexp_extract(c, "^(.*):([^:]*)$", 2)
-    before = F.regexp_extract(c, "^(.*):([^:]*)$", 1)
-    return F.when(F.contains(c, F.lit(":")), F.struct(before.alias("session_id"), F.expr("try_cast(null as int)").alias("none"), found.alias("position")))
+    """The session before the last colon and the turn's index behind it; null where there is no colon or no number behind it."""
+    index = F.regexp_extract(c, "^(.*):([+-]?[0-9]+)$", 2).try_cast("int")
+    return F.when(index.isNotNull(), F.struct(F.regexp_extract(c, "^(.*):([^:]*)$", 1).alias("session_id"), index.alias("turn_index")))
 
 
 def excerpt(c: Column, length: int = 300) -> Column:

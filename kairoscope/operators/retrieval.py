@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions import text as T
 from kairoscope.functions import vector as V
+from kairoscope.session import materialise
 
 #: Fixed value of reciprocal-rank fusion.
 RRF_K = 60
@@ -25,22 +26,22 @@ def dense_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, length."""
-    terms = docs.select(F.col(key), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 2).alias("terms"))
-    rows = terms.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
     """query_key, key, score, rank: for each query the k best documents.
 
-    Only terms that some query has are counted; the corpus statistics cover every document.
+    Texts are read and split once. Only terms that some query has are kept, besides a row for each
+    document that says its length, so that the corpus statistics cover every document.
     """
     wanted = queries.select(F.col(query_key), F.explode(T.lexical_terms(F.col(query_text))).alias("term")).distinct()
-    lengths = docs.select(F.size(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 2)).alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    found = postings(docs, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
+    terms = docs.select(F.col(key), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) > 2).alias("terms"))
+    # No term has a space; many marks keep the documents' own rows from meeting in one task.
+    mark = F.concat(F.lit(" "), F.pmod(F.xxhash64(key), F.lit(1024)).cast("string"))
+    rows = terms.select(key, F.size("terms").alias("length"), F.explode(F.concat("terms", F.array(mark))).alias("term"))
+    asked = small(wanted.select("term").distinct().withColumn("asked", F.lit(True)))
+    rows = rows.join(asked, "term", "left").where("asked OR term LIKE ' %'")
+    rows = materialise(rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
+    corpus = rows.where("term LIKE ' %'").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    found = rows.where("term NOT LIKE ' %'")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     tf = F.col("tf")
     scored = (
@@ -57,6 +58,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` marked to be sent to all executors if they are no more than ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def contains_scan(rows: DataFrame, text: str, needle: str, order: list[str], k: int) -> DataFrame:
     """Rows whose text contains the needle in any case, with the score 1."""
     return rows.where(T.contains_ignoring_case(F.col(text), F.lit(needle))).withColumn("score", F.lit(1.0)).orderBy(*order).limit(k)
@@ -111,10 +117,17 @@ def as_of(rows: DataFrame, column: str, moment: str | None) -> DataFrame:
 def lexical_candidates(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """item_id, doc_id, score, rank: by the number of query terms that a text contains anywhere.
 
-    Terms are looked up as substrings, so each pair of query and text is looked at; the queries are
-    few and sent to all tasks.
+    Terms are looked up as substrings, and a substring of letters and digits lies within one run of
+    them. So the distinct runs of the corpus are held against the distinct terms of the queries, and
+    documents are joined with the terms that their runs contain.
     """
-    terms = queries.select("item_id", T.lexical_terms(F.col("text")).alias("terms"))
-    pairs = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low")).crossJoin(F.broadcast(terms))
-    scored = pairs.select("item_id", "doc_id", F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t))).alias("score")).where("score > 0")
+    terms = queries.select("item_id", F.explode(T.lexical_terms(F.col("text"))).alias("term")).distinct()
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))).alias("run"))
+    # The runs are looked up by all of their pieces of a length that some term has.
+    lengths = [r.n for r in terms.select(F.length("term").alias("n")).distinct().collect()]
+    each = runs.select("run").distinct().select("run", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>")).alias("n")).where(F.length("run") >= F.col("n"))
+    pieces = each.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring(F.col("run"), i, F.col("n")))).alias("term")).distinct()
+    held = pieces.join(small(terms.select("term").distinct()), "term")
+    found = runs.join(held, "run").select("doc_id", "term").distinct()
+    scored = found.join(terms, "term").groupBy("item_id", "doc_id").agg(F.count("*").cast("int").alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import interval as I
+from kairoscope.session import materialise
 
 EDGE = ["project_id", "subject", "predicate", "object", "valid_from", "valid_to"]
 FAMILY = ["project_id", "subject", "predicate", "object"]
 #: Fixed values of pruning: observations, variance in square microseconds and score from which a family is stable, relevance below which an edge goes.
 PRUNE_N, PRUNE_VARIANCE, PRUNE_SCORE, PRUNE_RELEVANCE = 3, 3.6e12, 8.0, 0.1
 PENALTY = 0.9
+#: Stretches of time in which intervals are counted: 32 days.
+BUCKET_US = 32 * 24 * I.HOUR_US
 
 
 def upsert_edges(observations: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -33,21 +35,37 @@ def upsert_edges(observations: DataFrame, existing: DataFrame | None = None) ->
     return rows.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.max("relevance").alias("relevance"), F.sum("support").alias("support"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def contradictions(edges: DataFrame) -> DataFrame:
-    """Pairs of edges of one project, subject and predicate whose objects differ and whose intervals meet; object < rival."""
-    a, b = edges.alias("a"), edges.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in FAMILY[:3]]
+def rivals(edges: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+    """``edges`` with the edges of their project, subject and predicate whose objects differ and whose intervals meet: rivals (how many) and first_rival (object and start).
+
+    Intervals are dealt to stretches of time of ``bucket_us``; a pair is looked at where the later of its starts lies,
+    so that only edges of one stretch meet. An open interval goes up to the last start of all.
+    """
+    rows = edges.select(*EDGE, F.xxhash64(*EDGE).alias("edge_id"))
+    last = rows.agg(F.max("valid_from").alias("last"))
+    place = lambda c: F.floor(c / F.lit(bucket_us)).cast("long")
+    ends = F.least(F.coalesce("valid_to", "last"), F.col("last"))
+    spread = rows.crossJoin(F.broadcast(last)).withColumn("bucket", F.explode(F.sequence(place(F.col("valid_from")), F.greatest(place(F.col("valid_from")), place(ends)))))  # one row
+    starts = rows.withColumn("bucket", place(F.col("valid_from")))
+    a, b = spread.alias("a"), starts.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*FAMILY[:3], "bucket")]
+    # The edge of the later start comes from ``starts``; of equal starts the larger object does.
+    later = (F.col("a.valid_from") < F.col("b.valid_from")) | ((F.col("a.valid_from") == F.col("b.valid_from")) & (F.col("a.object") < F.col("b.object")))
     meet = I.overlaps(F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.valid_from"), F.col("b.valid_to"))
-    pairs = a.join(b, [*same, F.col("a.object") < F.col("b.object"), meet])
-    return pairs.select(*[F.col(f"a.{c}") for c in FAMILY], F.col("a.valid_from"), F.col("a.valid_to"), F.col("b.object").alias("rival"), F.col("b.valid_from").alias("rival_from"), F.col("b.valid_to").alias("rival_to"))
+    pairs = a.join(b, [*same, F.col("a.object") != F.col("b.object"), later, meet])
+    sides = F.array(*[F.struct(F.col(f"{x}.edge_id").alias("edge_id"), F.col(f"{y}.object").alias("object"), F.col(f"{y}.valid_from").alias("valid_from")) for x, y in ("ab", "ba")])
+    each = pairs.select(F.explode(sides).alias("p")).select("p.edge_id", F.struct("p.object", "p.valid_from").alias("rival"))
+    found = each.groupBy("edge_id").agg(F.count("*").alias("rivals"), F.min("rival").alias("first_rival"))
+    return rows.join(found, "edge_id", "left").select(*EDGE, F.coalesce("rivals", F.lit(0)).alias("rivals"), "first_rival")
 
 
-def contradiction_counts(edges: DataFrame) -> DataFrame:
+def contradiction_counts(edges: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """``edges`` with their number of contradicting edges, without making pairs.
 
     The intervals that meet one are those that start by its end less those that end before its start;
     both come from running counts over the sorted ends, for all edges of the group and for those of
-    the same object.
+    the same object. A count runs within a stretch of time; what came before it is added from the
+    counts of whole stretches, so that a large group is many tasks.
     """
 
     def meeting(keys: list[str]) -> DataFrame:
@@ -56,9 +74,15 @@ def contradiction_counts(edges: DataFrame) -> DataFrame:
         ends = edges.select(*k, F.coalesce("valid_to", F.lit(I.FOREVER)), F.lit(2), F.lit(0), F.lit(1), F.lit(None).cast("long"))
         ask_end = edges.select(*k, F.coalesce("valid_to", F.lit(I.FOREVER)), F.lit(1), F.lit(0), F.lit(0), F.col("edge_id"))
         ask_start = edges.select(*k, F.col("valid_from"), F.lit(-1), F.lit(0), F.lit(0), F.col("edge_id"))
-        run = Window.partitionBy(*keys).orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-        counted = starts.union(ends).union(ask_end).union(ask_start).select("*", F.sum("s").over(run).alias("begun"), F.sum("e").over(run).alias("over"))
-        return counted.where("id IS NOT NULL").groupBy("id").agg((F.max(F.when(F.col("o") == 1, F.col("begun"))) - F.max(F.when(F.col("o") == -1, F.col("over")))).alias("n"))
+        rows = starts.union(ends).union(ask_end).union(ask_start).withColumn("bucket", F.floor(F.col("t") / bucket_us).cast("long"))
+        ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        whole = rows.groupBy(*keys, "bucket").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+        whole = whole.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in "se"])
+        run = Window.partitionBy(*keys, "bucket").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*keys, "bucket")]
+        counted = rows.select("*", F.sum("s").over(run).alias("begun"), F.sum("e").over(run).alias("over")).where("id IS NOT NULL")
+        counted = counted.alias("r").join(whole.alias("w"), same).select("id", "o", (F.col("begun") + F.col("s_before")).alias("begun"), (F.col("over") + F.col("e_before")).alias("over"))
+        return counted.groupBy("id").agg((F.max(F.when(F.col("o") == 1, F.col("begun"))) - F.max(F.when(F.col("o") == -1, F.col("over")))).alias("n"))
 
     all_ = meeting(FAMILY[:3]).withColumnRenamed("n", "n_all")
     own = meeting(FAMILY).withColumnRenamed("n", "n_own")
@@ -92,40 +116,28 @@ def split_expired(edges: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
     return edges.where(~expired), archive
 
 
-def prune_group(edges: pd.DataFrame, rounds: int) -> pd.DataFrame:
-    """One project, subject and predicate: in each round all but the dominant edge lose half; weak or contradicted ones go."""
-    last = lambda x: (x is None or pd.isna(x), x if x is not None and not pd.isna(x) else 0)
-    base = (edges.support * edges.confidence).tolist()
-    ties = [(o, f, last(t)) for o, f, t in zip(edges.object, edges.valid_from, edges.valid_to, strict=True)]
-    relevance, against, archived = edges.relevance.tolist(), edges.contradictions.tolist(), [False] * len(edges)
-    for _ in range(rounds):
-        live = [i for i, gone in enumerate(archived) if not gone]
-        if len(live) < 2:
-            break
-        first = min(live, key=lambda i: (-base[i] * relevance[i], ties[i]))
-        for i in live:
-            if i != first:
-                relevance[i] *= 0.5
-                archived[i] = relevance[i] < PRUNE_RELEVANCE or against[i] > 0
-    return edges.assign(relevance=relevance, archived=archived)
-
-
 def mdl_prune(edges: DataFrame, observations: DataFrame) -> DataFrame:
     """EDGE, relevance and archived after as many rounds as the group has stable families.
 
-    A group is one project, subject and predicate; its rounds depend on one another, so they run in
-    one call, whose size is the number of distinct edges of that group.
+    A group is one project, subject and predicate. In a round all live edges but the dominant one
+    (support, confidence and relevance multiplied; ties by object and interval) lose half of their
+    relevance; weak or contradicted ones go. Each round finds the dominant edges by one aggregation.
     """
     stats = family_stats(observations).where((F.col("n") >= PRUNE_N) & (F.col("variance") >= PRUNE_VARIANCE) & (F.col("mdl_score") >= PRUNE_SCORE))
     rounds = stats.groupBy(*FAMILY[:3]).agg(F.count("*").alias("rounds"))
-    rows = edges.join(rounds, FAMILY[:3], "left").withColumn("rounds", F.coalesce("rounds", F.lit(0)))
-    quiet = rows.where("rounds = 0").select(*EDGE, "relevance", F.lit(False).alias("archived"))
-    schema = quiet.schema
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return prune_group(group, int(group.rounds.iloc[0]))[[*EDGE, "relevance", "archived"]]
-
-    return rows.where("rounds > 0").groupBy(*FAMILY[:3]).applyInPandas(run, schema).unionByName(quiet)
+    rows = edges.join(rounds, FAMILY[:3], "left").withColumns({"rounds": F.coalesce("rounds", F.lit(0)), "archived": F.lit(False)})
+    rows = materialise(rows, "prune")
+    end = F.coalesce("valid_to", F.lit(I.FOREVER))
+    for n in range(1, (rows.agg(F.max("rounds")).first()[0] or 0) + 1):
+        order = F.struct((-F.col("support") * F.col("confidence") * F.col("relevance")).alias("w"), "object", "valid_from", end.alias("end"))
+        live = (F.col("rounds") >= n) & ~F.col("archived")
+        tops = rows.where(live).groupBy(*FAMILY[:3]).agg(F.min(order).alias("top"), F.count("*").alias("live")).where("live > 1").drop("live")
+        hit = live & F.col("top").isNotNull() & ((F.col("object") != F.col("top.object")) | (F.col("valid_from") != F.col("top.valid_from")) | (end != F.col("top.end")))
+        half = F.when(hit, F.col("relevance") * 0.5).otherwise(F.col("relevance"))
+        rows = rows.join(tops, FAMILY[:3], "left").withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("relevance", half)
+        gone = F.col("archived") | (F.col("hit") & ((F.col("relevance") < PRUNE_RELEVANCE) | (F.col("contradictions") > 0)))
+        rows = materialise(rows.withColumn("archived", gone).drop("top", "hit"), "prune")
+    return rows.select(*EDGE, "relevance", "archived")
 
 
 def weighted(edges: DataFrame, at_us: int, half_life_hours: float, least_relevance: float = 0.0) -> DataFrame:

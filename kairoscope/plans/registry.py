@@ -221,10 +221,14 @@ def temporal_edge_upsert(spark, sf_dir):
     return edges.select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("confidence", 6).alias("confidence"), "support", "first_seen", "last_seen")
 
 
-@query(f"WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_PAIRS} SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, rival, rival_from, coalesce(rival_to, -1) AS rival_to FROM c WHERE object < rival")
+@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_PAIRS}, n AS (SELECT project_id, subject, predicate, object, valid_from, valid_to, count(*) AS rivals, min(lpad(rival::VARCHAR, 12, '0') || ':' || rival_from) AS first FROM c GROUP BY ALL)
+SELECT e.project_id, e.subject, e.predicate, e.object, e.valid_from, coalesce(e.valid_to, -1) AS valid_to, coalesce(rivals, 0) AS rivals, coalesce(ltrim(split_part(first, ':', 1), '0'), '') AS first_rival FROM e LEFT JOIN n
+  ON e.project_id = n.project_id AND e.subject = n.subject AND e.predicate = n.predicate AND e.object = n.object AND e.valid_from = n.valid_from AND e.valid_to IS NOT DISTINCT FROM n.valid_to""".replace("GROUP BY ALL", "GROUP BY project_id, subject, predicate, object, valid_from, valid_to"))
 def contradiction_pairs(spark, sf_dir):
-    rows = temporal.contradictions(_fine(spark, sf_dir))
-    return rows.select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), "rival", "rival_from", F.coalesce("rival_to", F.lit(-1)).alias("rival_to"))
+    """Every edge with the number of its rivals and the first of them."""
+    rows = temporal.rivals(_fine(spark, sf_dir))
+    first = F.ltrim(F.coalesce(F.col("first_rival.object").cast("string"), F.lit("")), F.lit("0"))
+    return rows.select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), "rivals", first.alias("first_rival"))
 
 
 @query(f"WITH {M.COARSE_SQL}, {M.EDGES_SQL}, {_COUNTED} SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, contradictions, round(relevance * pow(0.9, contradictions), 9) AS relevance FROM k")
@@ -253,9 +257,25 @@ def archive_expired(spark, sf_dir):
     return temporal.split_expired(_coarse(spark, sf_dir), M.NOW_US)[1].select(*temporal.EDGE, "support", "reason")
 
 
-@query()
+def _prune_sql(rounds: int) -> str:
+    """The rounds of pruning, one after the other."""
+    group = "project_id, subject, predicate"
+    parts = ["p0 AS MATERIALIZED (SELECT k.*, coalesce(z.rounds, 0) AS rounds, false AS gone FROM k LEFT JOIN z USING (project_id, subject, predicate))"]
+    for i in range(1, rounds + 1):
+        live = f"(rounds >= {i} AND NOT gone)"
+        parts.append(f"q{i} AS (SELECT *, {live} AND count(*) FILTER ({live}) OVER (PARTITION BY {group}) > 1 AND row_number() OVER (PARTITION BY {group}, {live} ORDER BY -(support * confidence * relevance), object, valid_from, coalesce(valid_to, 9223372036854775807)) > 1 AS hit FROM p{i - 1})")
+        parts.append(f"p{i} AS MATERIALIZED (SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN relevance * 0.5 ELSE relevance END AS relevance, gone OR hit AND (relevance * 0.5 < 0.1 OR contradictions > 0) AS gone) FROM q{i})")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {M.COARSE_SQL}, {M.EDGES_SQL}, {_COUNTED}, m AS (SELECT *, coalesce(valid_from + (valid_to - valid_from) // 2, valid_from)::DOUBLE AS mid FROM o),
+s AS (SELECT project_id, subject, predicate, object, count(*) AS n, coalesce(var_samp(mid), 0) AS v FROM m GROUP BY project_id, subject, predicate, object),
+z AS (SELECT project_id, subject, predicate, count(*) AS rounds FROM s WHERE n >= 3 AND v >= 3.6e12 AND ln(n + 1.0) + n / 2.0 * ln(v + 1e-9) >= 8 GROUP BY project_id, subject, predicate), {_prune_sql(5)}
+SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(relevance, 9) AS relevance, gone AS archived FROM p5""")
 def mdl_prune(spark, sf_dir):
-    return temporal.mdl_prune(_with_counts(_coarse(spark, sf_dir)), M.coarse_observations(spark, sf_dir))
+    """Five priorities are at most five families of a group, and so five rounds."""
+    rows = temporal.mdl_prune(_with_counts(_coarse(spark, sf_dir)), M.coarse_observations(spark, sf_dir))
+    return rows.select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("relevance", 9).alias("relevance"), "archived")
 
 
 _WEIGHTED = f"""w AS (SELECT *, greatest(1e-9, confidence * relevance * pow(2, -greatest(valid_from - {M.NOW_US}, {M.NOW_US} - coalesce(valid_to, {M.NOW_US}), 0) / (720 * 3.6e9)) / (1 + 0)) AS weight FROM e),
@@ -441,7 +461,10 @@ def burst_latest(spark, sf_dir):
     return events.latest_burst(M.table(spark, sf_dir, "events"), "user_id", "ts", 7200).select("user_id", "event_id", "event_type")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+j AS (SELECT a.event_id, min(b.n) AS next FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.n > a.n AND b.us >= a.us + 86400000000 GROUP BY a.event_id),
+r AS (SELECT event_id, user_id, event_type FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.event_type FROM r JOIN j ON j.event_id = r.event_id JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = j.next)
+SELECT event_id, user_id, event_type FROM r""")
 def debounce(spark, sf_dir):
     return events.debounce(M.table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 86400.0).select("event_id", "user_id", "event_type")
 

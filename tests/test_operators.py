@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ def test_normalisers(spark):
     assert one(spark, T.row_key(F.lit(""), F.lit(None).cast("string"), F.lit(" n "))) == "n"
     assert one(spark, T.split_message(F.lit("s\n\nb\nc"))) == ("s", "b\nc")
     assert one(spark, T.rel_path(F.lit("a\\b/c "))) == "a/b/c"
-    assert tuple(one(spark, T.source_id_parts(F.lit("a:b:7"))))[::2] == ("a:b", "7")
+    assert tuple(one(spark, T.source_id_parts(F.lit("a:b:7")))) == ("a:b", 7)
+    assert one(spark, T.source_id_parts(F.lit("a:b"))) is None and one(spark, T.source_id_parts(F.lit("7"))) is None
     assert one(spark, T.truncate_output(F.lit("abcdef"), 3)).startswith("abc\n")
     assert (one(spark, T.char_token_estimate(F.lit("abcde"))), one(spark, T.plugin_token_estimate(F.lit("abcde")))) == (1, 2)
 
@@ -65,22 +68,33 @@ def test_turns_keep_their_first_content(spark):
     assert [r.reject_reason for r in bad.collect()] == [None, "session_id is missing", "role is unknown", "turn_index is invalid"]
 
 
-def test_prune_rounds():
-    rows = pd.DataFrame({"object": ["a", "b", "c"], "valid_from": [1, 1, 1], "valid_to": [None, 2, 3], "support": [3, 1, 1], "confidence": [1.0, 1.0, 1.0], "relevance": [1.0, 0.9, 0.3], "contradictions": [0, 0, 1]})
-    out = temporal.prune_group(rows, 2)
-    assert out.relevance.tolist() == [1.0, 0.225, 0.15] and out.archived.tolist() == [False, False, True]
-    assert temporal.prune_group(rows, 4).archived.tolist() == [False, True, True]
+def test_prune_rounds(spark, monkeypatch):
+    cols = "project_id int, subject string, predicate string, object string, valid_from long, valid_to long, confidence double, observed_at long"
+    hour = 3_600_000_000
+    # Two families of the group vary enough over three observations, so there are two rounds; the other group has none.
+    seen = [(1, "s", "p", o, i * 400 * hour, None, 1.0, 0) for o in "ab" for i in range(3)] + [(1, "s", "q", "a", 0, None, 1.0, 0)]
+    observations = spark.createDataFrame(seen, cols)
+    rows = [(1, "s", "p", o, 1, t, s, 1.0, r, c) for o, t, s, r, c in [("a", None, 3, 1.0, 0), ("b", 2, 1, 0.9, 0), ("c", 3, 1, 0.3, 1), ("d", 3, 1, 0.3, 0)]] + [(1, "s", "q", "x", 1, None, 1, 1.0, 0.01, 5)]
+    edges = spark.createDataFrame(rows, "project_id int, subject string, predicate string, object string, valid_from long, valid_to long, support long, confidence double, relevance double, contradictions long")
+    got = {r.object: (round(r.relevance, 6), r.archived) for r in temporal.mdl_prune(edges, observations).collect()}
+    assert got == {"a": (1.0, False), "b": (0.225, False), "c": (0.15, True), "d": (0.075, True), "x": (0.01, False)}
 
 
-def test_contradiction_counts_equal_pairs(spark):
-    rows = [(1, "s", "p", o, f, t, 1.0, 0) for o, f, t in [("a", 0, 5), ("b", 5, 9), ("b", 6, None), ("c", 0, 100), ("a", 200, 210), ("d", 10, 12)]]
+def test_contradictions_in_stretches_of_time(spark):
+    r = random.Random(3)
+    spans = {("a", 0, 5), ("b", 5, 9), ("b", 6, None), ("c", 0, 100), ("a", 200, 210), ("d", 10, 12)}
+    spans |= {(r.choice("abcd"), f := r.randrange(300), r.choice([None, f, f + 3, f + 90])) for _ in range(40)}
+    rows = [(1, "s", "p", o, f, t, 1.0, 0) for o, f, t in spans] + [(2, "s", "p", "z", 0, None, 1.0, 0)]
     obs = spark.createDataFrame(rows, "project_id int, subject string, predicate string, object string, valid_from long, valid_to long, confidence double, observed_at long")
     edges = temporal.upsert_edges(obs).withColumn("edge_id", F.xxhash64(*temporal.EDGE))
-    got = {(r.object, r.valid_from): r.contradictions for r in temporal.contradiction_counts(edges).collect()}
-    pairs = temporal.contradictions(edges).collect()
-    want = {k: sum(((p.object, p.valid_from) == k) + ((p.rival, p.rival_from) == k) for p in pairs) for k in got}
-    assert got == want and got["c", 0] == 4
-    assert {r.object for r in temporal.active_at(edges, 7).collect()} == {"b", "c"}
+    far = 1 << 62
+    against = {(o, f, t): sorted((q, g) for q, g, u in spans if q != o and f <= (far if u is None else u) and g <= (far if t is None else t)) for o, f, t in spans} | {("z", 0, None): []}
+    for width in (1, 7, 10**9):
+        counts = {(x.object, x.valid_from, x.valid_to): x.contradictions for x in temporal.contradiction_counts(edges, width).collect()}
+        assert counts == {k: len(v) for k, v in against.items()}
+        found = {(x.object, x.valid_from, x.valid_to): (x.rivals, x.first_rival and tuple(x.first_rival)) for x in temporal.rivals(edges, width).collect()}
+        assert found == {k: (len(v), v[0] if v else None) for k, v in against.items()}
+    assert {x.object for x in temporal.active_at(edges.where("valid_from < 8 AND valid_to < 101"), 7).collect()} >= {"b", "c"}
 
 
 def test_pagerank_of_a_cycle(spark):
