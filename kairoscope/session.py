@@ -20,19 +20,27 @@ def get_session(app: str = "kairoscope", master: str | None = None, cpus: int =
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, local runs), a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def _scratch_root(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir``, which all executors share."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        context = spark.sparkContext
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kairoscope-"))  # one machine: its folders are shared
         base = context.getCheckpointDir()
-        if not base:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="kairoscope-"))
-            base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/kairoscope/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/kairoscope/{context.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for this application's intermediate tables."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that were not written elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str, partition_by: str | None = None):
