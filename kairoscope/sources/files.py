@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def python_candidates(path: str, module: str) -> list[str]:
 
 
 def script_candidates(path: str, specifier: str) -> list[str]:
-    """Where a script import may lead; ``@/``, ``~/`` and ``/`` start at the root, other names are packages."""
+    """Where a script import may lead; ``@/``, ``~/`` and ``/`` start at the root, as do names without a leading dot."""
     s = re.split(r"[?#]", specifier.strip("'\" "))[0]
     if s.startswith(("@/", "~/")):
         parts = s[2:].split("/")
@@ -74,7 +76,7 @@ def script_candidates(path: str, specifier: str) -> list[str]:
     elif s.startswith("."):
         parts = path.split("/")[:-1] + s.split("/")
     else:
-        return []
+        parts = s.split("/")
     out: list[str] = []
     for p in parts:
         if p == "..":
@@ -92,9 +94,11 @@ def script_candidates(path: str, specifier: str) -> list[str]:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """repo_id, path, target: each import (repo_id, path, module) with the files that it can mean."""
 
-    @F.udf("array<string>")
-    def candidates(path: str, module: str) -> list[str]:
-        return python_candidates(path, module) if path.endswith(".py") else script_candidates(path, module)
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [python_candidates(p, m) if p.endswith(".py") else script_candidates(p, m) for p, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["repo_id", "path", "targets"])
 
-    wanted = imports.select("repo_id", "path", F.explode(candidates("path", "module")).alias("target"))
+    distinct = imports.select("repo_id", "path", "module").dropna().distinct()
+    wanted = distinct.mapInArrow(candidates, "repo_id string, path string, targets array<string>").select("repo_id", "path", F.explode("targets").alias("target"))
     return wanted.join(files.select("repo_id", F.col("path").alias("target")), ["repo_id", "target"]).select("repo_id", "path", "target").distinct()

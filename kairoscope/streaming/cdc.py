@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairoscope.session import materialise
-
 
 def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last change of each key; ``op`` delete leaves a row with deleted = true."""
@@ -23,18 +21,31 @@ def apply_changes(table: DataFrame | None, changes: DataFrame, keys: list[str],
 
 
 class ChangeSink:
-    """A foreachBatch function that folds change rows into a table held as Parquet, one version a batch.
+    """A foreachBatch function that folds change rows into a table of Parquet versions, ``path``/v<batch number>.
 
-    A batch that is delivered again after a failure is known by its number.
+    A version counts once it is written whole, so a batch that is delivered again changes nothing, also
+    after a restart: table and progress are read from ``path``, not kept by the driver.
     """
 
-    def __init__(self, keys: list[str], order: str):
-        self.keys, self.order, self.done, self.table = keys, order, -1, None
+    def __init__(self, keys: list[str], order: str, path: str):
+        self.keys, self.order, self.path = keys, order, path.rstrip("/")
+
+    def last(self, spark: SparkSession) -> int:
+        """The number of the last whole version; -1 before the first."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")) or []
+        return max([-1, *(int(f.getPath().getParent().getName()[1:]) for f in found)])
+
+    def table(self, spark: SparkSession) -> DataFrame | None:
+        """The table as of the last version; none before the first."""
+        last = self.last(spark)
+        return None if last < 0 else spark.read.parquet(f"{self.path}/v{last}")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number > self.done:
-            self.table = materialise(apply_changes(self.table, batch, self.keys, self.order), "changes")
-            self.done = number
+        spark = batch.sparkSession
+        if number > self.last(spark):
+            apply_changes(self.table(spark), batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/v{number}")
 
 
 def distinct_changes(stream: DataFrame, scope: str, keys: list[str], payload: list[str], ts: str, keep: str) -> DataFrame:

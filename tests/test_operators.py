@@ -233,7 +233,10 @@ def test_streams_equal_batches(spark, tmp_path):
     schema = "id long, op string, value string, seq long"
     for i, r in enumerate(rows):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(changes))
-    sink = cdc.ChangeSink(["id"], "seq")
+    sink = cdc.ChangeSink(["id"], "seq", str(tmp_path / "table"))
     cdc.run_to_end(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(changes)), sink, str(tmp_path / "state"))
-    sink(spark.createDataFrame([(1, "delete", "z", 99)], schema), 0)  # delivered again
-    assert {(r.id, r.value, r.deleted) for r in sink.table.collect()} == {(1, "c", False), (2, "b", True)}
+    again = cdc.ChangeSink(["id"], "seq", str(tmp_path / "table"))  # after a restart
+    again(spark.createDataFrame([(1, "delete", "z", 99)], schema), 0)  # delivered again
+    assert {(r.id, r.value, r.deleted) for r in again.table(spark).collect()} == {(1, "c", False), (2, "b", True)}
+    again(spark.createDataFrame([(1, "update", "d", 100)], schema), again.last(spark) + 1)
+    assert {(r.id, r.value) for r in sink.table(spark).collect()} == {(1, "d"), (2, "b")}

@@ -27,7 +27,7 @@ def normal(rows, names):
     return sorted(tuple(clean(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, sql, name):
     got = registry.QUERIES[name](spark, SF)
     rows = got.collect()
