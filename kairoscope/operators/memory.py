@@ -5,7 +5,7 @@ A merge is a full outer join of the stored rows and the batch on the key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,11 +56,13 @@ def upsert_relations(stored: DataFrame, batch: DataFrame, entities: DataFrame) -
     return both.groupBy("source", "type", "target").agg(F.sum("support").alias("support"), F.max("confidence").alias("confidence"), F.min_by("valid_from", F.col("observed_at")).alias("valid_from"), F.min("observed_at").alias("observed_at"))
 
 
-def search(dense: DataFrame, lexical: DataFrame, key: str, k: int) -> DataFrame:
-    """Distinct union of both scans: key, score (the larger), sources."""
-    rows = dense.select(key, "score", F.lit("dense").alias("source")).union(lexical.select(key, "score", F.lit("lexical").alias("source"))).distinct()
-    out = rows.groupBy(key).agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
-    return out.orderBy(F.desc("score"), key).limit(k)
+def search(dense: DataFrame, lexical: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    """Distinct union of both scans, the k best of each query: query_key, key, score (the larger), sources."""
+    one = lambda df, source: df.select(query_key, key, "score", F.lit(source).alias("source"))
+    rows = one(dense, "dense").union(one(lexical, "lexical")).distinct()
+    out = rows.groupBy(query_key, key).agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+    place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return out.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def read_graph(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -26,6 +26,18 @@ def dense_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+def dense_topk_each(vectors: DataFrame, queries: DataFrame, k: int, query_key: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_key, key, score, rank: for each row of ``queries`` (query_key, vector) the k nearest rows by cosine.
+
+    The queries are a stated set that is sent to all tasks; a task keeps its k best rows of each before any is shuffled.
+    """
+    asked = small(queries.select(query_key, F.col(vector).alias("__query")).where(V.is_valid(F.col("__query"))))
+    rows = vectors.where(V.is_valid(F.col(vector))).crossJoin(asked)
+    scored = rows.select(query_key, key, F.round(V.cosine(F.col(vector), F.col("__query")), 9).alias("score"))
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
     """query_key, key, score, rank: for each query the k best documents.
 
@@ -68,29 +80,30 @@ def contains_scan(rows: DataFrame, text: str, needle: str, order: list[str], k:
     return rows.where(T.contains_ignoring_case(F.col(text), F.lit(needle))).withColumn("score", F.lit(1.0)).orderBy(*order).limit(k)
 
 
-def rrf(dense: DataFrame, lexical: DataFrame, k: int, key: str = "key") -> DataFrame:
-    """key, score, sources by reciprocal ranks; of a key seen twice in a list the last rank counts."""
-    d = dense.groupBy(key).agg(F.max("rank").alias("dense_rank"), F.max("score").alias("dense_score"))
-    x = lexical.groupBy(key).agg(F.max("rank").alias("lexical_rank"), F.max("score").alias("lexical_score"))
-    both = d.join(x, key, "full_outer")
+def rrf(dense: DataFrame, lexical: DataFrame, k: int, query_key: str, key: str = "key") -> DataFrame:
+    """query_key, key, score, sources: the k best of each query by reciprocal ranks; of a key seen twice in a list the last rank counts."""
+    d = dense.groupBy(query_key, key).agg(F.max("rank").alias("dense_rank"), F.max("score").alias("dense_score"))
+    x = lexical.groupBy(query_key, key).agg(F.max("rank").alias("lexical_rank"), F.max("score").alias("lexical_score"))
+    both = d.join(x, [query_key, key], "full_outer")
     part = lambda r: F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
     both = both.withColumn("score", part("dense_rank") + part("lexical_rank"))
     both = both.withColumn("sources", F.concat_ws("+", F.when(F.col("dense_rank").isNotNull(), "dense"), F.when(F.col("lexical_rank").isNotNull(), "lexical")))
-    order = [F.desc("score"), F.desc_nulls_last("dense_score"), F.desc_nulls_last("lexical_score"), F.col(key)]
-    return both.orderBy(*order).limit(k)
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc_nulls_last("dense_score"), F.desc_nulls_last("lexical_score"), F.col(key))
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def as_hits(rows: DataFrame, module: str, source_id: str, score: str = "score", temporal: bool = False) -> DataFrame:
+def as_hits(rows: DataFrame, module: str, query_key: str, source_id: str, score: str = "score", temporal: bool = False) -> DataFrame:
     """The projection that all modules share."""
-    return rows.select(F.lit(module).alias("module"), F.col(source_id).cast("string").alias("source_id"), F.col(score).cast("double").alias("score"), F.lit(temporal).alias("temporal_applied"))
+    return rows.select(query_key, F.lit(module).alias("module"), F.col(source_id).cast("string").alias("source_id"), F.col(score).cast("double").alias("score"), F.lit(temporal).alias("temporal_applied"))
 
 
-def unified(hits: list[DataFrame], k: int) -> DataFrame:
-    """Bag union of the modules' hits: score, temporal ones first, module, source id."""
+def unified(hits: list[DataFrame], k: int, query_key: str) -> DataFrame:
+    """Bag union of the modules' hits, the k best of each query: score, temporal ones first, module, source id."""
     rows = hits[0]
     for h in hits[1:]:
         rows = rows.unionByName(h)
-    return rows.orderBy(F.desc("score"), F.desc("temporal_applied"), "module", "source_id").limit(k)
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc("temporal_applied"), "module", "source_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
 def seed_entities(rows: DataFrame, k: int, order: str = "position", score: str = "score", entities: str = "entities") -> DataFrame:

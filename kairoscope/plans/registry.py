@@ -34,6 +34,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COSINE = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
 _DENSE = f"dense AS (SELECT vec_id, label, round({_COSINE}, 9) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0))"
+_EACH = f"each AS (SELECT item_id, vec_id, round({_COSINE}, 9) AS score FROM embeddings, (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id)), near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM each)"
 BM25_SQL = """terms AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
 docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2) AS w FROM documents),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM docs),
@@ -73,32 +74,41 @@ def text_contains_fallback(spark, sf_dir):
     return retrieval.contains_scan(M.turns(spark, sf_dir), "content", "THE", ["session_id", "turn_index"], 20).select("session_id", "turn_index", "score")
 
 
-def _lexical_for_first(spark, sf_dir, k):
-    return retrieval.bm25(M.table(spark, sf_dir, "documents"), M.table(spark, sf_dir, "benchmark").where("item_id = 0"), k)
+def _lexical(spark, sf_dir, k):
+    return retrieval.bm25(M.table(spark, sf_dir, "documents"), M.table(spark, sf_dir, "benchmark"), k)
 
 
-@query(f"""WITH {_DENSE}, {BM25_SQL},
-d AS (SELECT vec_id::VARCHAR AS key, row_number() OVER (ORDER BY score DESC, vec_id) AS r, score FROM dense ORDER BY score DESC, vec_id LIMIT 80),
-x AS (SELECT doc_id::VARCHAR AS key, rank AS r, score FROM ranked WHERE item_id = 0 AND rank <= 40),
-f AS (SELECT coalesce(d.key, x.key) AS key, coalesce(1.0 / (60 + d.r), 0) + coalesce(1.0 / (60 + x.r), 0) AS score, concat_ws('+', CASE WHEN d.key IS NOT NULL THEN 'dense' END, CASE WHEN x.key IS NOT NULL THEN 'lexical' END) AS sources, d.score AS ds, x.score AS xs
-  FROM d FULL JOIN x ON d.key = x.key)
-SELECT key, round(score, 9) AS score, sources FROM f ORDER BY f.score DESC, ds DESC NULLS LAST, xs DESC NULLS LAST, key LIMIT 10""")
+def _dense_of_items(spark, sf_dir, k):
+    """Every benchmark item asks with the vector of its number."""
+    e = M.table(spark, sf_dir, "embeddings")
+    asked = M.table(spark, sf_dir, "benchmark").join(e, F.col("item_id") == F.col("vec_id")).select("item_id", "embedding")
+    return retrieval.dense_topk_each(e, asked, k, "item_id")
+
+
+@query(f"""WITH {_EACH}, {BM25_SQL},
+d AS (SELECT item_id, vec_id::VARCHAR AS key, rank AS r, score FROM near WHERE rank <= 80),
+x AS (SELECT item_id, doc_id::VARCHAR AS key, rank AS r, score FROM ranked WHERE rank <= 40),
+f AS (SELECT coalesce(d.item_id, x.item_id) AS item_id, coalesce(d.key, x.key) AS key, coalesce(1.0 / (60 + d.r), 0) + coalesce(1.0 / (60 + x.r), 0) AS score, concat_ws('+', CASE WHEN d.key IS NOT NULL THEN 'dense' END, CASE WHEN x.key IS NOT NULL THEN 'lexical' END) AS sources, d.score AS ds, x.score AS xs
+  FROM d FULL JOIN x ON d.key = x.key AND d.item_id = x.item_id)
+SELECT item_id, key, round(score, 9) AS score, sources FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ds DESC NULLS LAST, xs DESC NULLS LAST, key) AS rank FROM f) WHERE rank <= 10""")
 def hybrid_rrf(spark, sf_dir):
-    dense = _dense(spark, sf_dir, 80).select(F.col("vec_id").cast("string").alias("key"), "rank", "score")
-    lexical = _lexical_for_first(spark, sf_dir, 40).select(F.col("doc_id").cast("string").alias("key"), "rank", "score")
-    return retrieval.rrf(dense, lexical, 10).select("key", F.round("score", 9).alias("score"), "sources")
+    """The ten best of every benchmark item."""
+    dense = _dense_of_items(spark, sf_dir, 80).select("item_id", F.col("vec_id").cast("string").alias("key"), "rank", "score")
+    lexical = _lexical(spark, sf_dir, 40).select("item_id", F.col("doc_id").cast("string").alias("key"), "rank", "score")
+    return retrieval.rrf(dense, lexical, 10, "item_id").select("item_id", "key", F.round("score", 9).alias("score"), "sources")
 
 
-@query(f"""WITH {_DENSE}, {BM25_SQL}, {M.TURNS_SQL}, hits AS (
-SELECT * FROM (SELECT 'code' AS module, vec_id::VARCHAR AS source_id, score, false AS temporal_applied FROM dense ORDER BY score DESC, vec_id LIMIT 10)
-UNION ALL SELECT 'research', doc_id::VARCHAR, score, true FROM ranked WHERE item_id = 0 AND rank <= 10
-UNION ALL SELECT * FROM (SELECT 'conversation', session_id || ':' || turn_index, 1.0, false FROM t WHERE contains(lower(content), 'the') ORDER BY session_id, turn_index LIMIT 10))
-SELECT module, source_id, round(score, 6) AS score, temporal_applied FROM hits ORDER BY hits.score DESC, temporal_applied DESC, module, source_id LIMIT 20""")
+@query(f"""WITH {_EACH}, {BM25_SQL}, {M.TURNS_SQL}, hits AS (
+SELECT item_id, 'code' AS module, vec_id::VARCHAR AS source_id, score, false AS temporal_applied FROM near WHERE rank <= 10
+UNION ALL SELECT item_id, 'research', doc_id::VARCHAR, score, true FROM ranked WHERE rank <= 10
+UNION ALL SELECT item_id, 'conversation', session_id || ':' || turn_index, 1.0, false FROM (SELECT * FROM t WHERE contains(lower(content), 'the') ORDER BY session_id, turn_index LIMIT 10), benchmark)
+SELECT item_id, module, source_id, round(score, 6) AS score, temporal_applied FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, temporal_applied DESC, module, source_id) AS place FROM hits) WHERE place <= 20""")
 def unified_merge(spark, sf_dir):
+    """One list for every benchmark item."""
     talk = retrieval.contains_scan(M.turns(spark, sf_dir), "content", "the", ["session_id", "turn_index"], 10).withColumn("id", F.concat_ws(":", "session_id", F.col("turn_index").cast("string")))
-    code = _dense(spark, sf_dir, 10).withColumn("score", F.round("score", 9))
-    hits = [retrieval.as_hits(code, "code", "vec_id"), retrieval.as_hits(_lexical_for_first(spark, sf_dir, 10), "research", "doc_id", temporal=True), retrieval.as_hits(talk, "conversation", "id")]
-    return retrieval.unified(hits, 20).withColumn("score", F.round("score", 6))
+    talk = M.table(spark, sf_dir, "benchmark").select("item_id").crossJoin(F.broadcast(talk))  # ten rows
+    hits = [retrieval.as_hits(_dense_of_items(spark, sf_dir, 10), "code", "item_id", "vec_id"), retrieval.as_hits(_lexical(spark, sf_dir, 10), "research", "item_id", "doc_id", temporal=True), retrieval.as_hits(talk, "conversation", "item_id", "id")]
+    return retrieval.unified(hits, 20, "item_id").select("item_id", "module", "source_id", F.round("score", 6).alias("score"), "temporal_applied")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ingested_at FROM events WHERE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') <= '2024-01-15T12'")
@@ -525,12 +535,14 @@ def commit_context(spark, sf_dir):
 # Memory
 
 
-@query(f"""WITH {_DENSE}, {BM25_SQL}, u AS (SELECT vec_id AS id, score, 'dense' AS source FROM (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 40) UNION SELECT doc_id, score, 'lexical' FROM ranked WHERE item_id = 0 AND rank <= 40)
-SELECT id, max(score) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY id ORDER BY max(score) DESC, id LIMIT 20""")
+@query(f"""WITH {_EACH}, {BM25_SQL}, u AS (SELECT item_id, vec_id AS id, score, 'dense' AS source FROM near WHERE rank <= 40 UNION SELECT item_id, doc_id, score, 'lexical' FROM ranked WHERE rank <= 40),
+g AS (SELECT item_id, id, max(score) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM u GROUP BY item_id, id)
+SELECT item_id, id, score, sources FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS place FROM g) WHERE place <= 20""")
 def memory_entity_search(spark, sf_dir):
-    dense = _dense(spark, sf_dir, 40).select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
-    lexical = _lexical_for_first(spark, sf_dir, 40).select(F.col("doc_id").alias("id"), "score")
-    return memory.search(dense, lexical, "id", 20)
+    """The twenty best of every benchmark item."""
+    dense = _dense_of_items(spark, sf_dir, 40).withColumnRenamed("vec_id", "id")
+    lexical = _lexical(spark, sf_dir, 40).withColumnRenamed("doc_id", "id")
+    return memory.search(dense, lexical, "item_id", "id", 20)
 
 
 @query("""WITH r AS (SELECT DISTINCT c_custkey::VARCHAR AS source, o_orderstatus AS type, o_orderpriority AS target FROM orders JOIN customer ON c_custkey = o_custkey)

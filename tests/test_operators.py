@@ -144,9 +144,9 @@ def test_metrics(spark):
 
 
 def test_fusion_takes_the_last_rank(spark):
-    dense = spark.createDataFrame([("a", 1, 0.9), ("b", 2, 0.8), ("a", 3, 0.7)], "key string, rank int, score double")
-    got = {r.key: r.score for r in retrieval.rrf(dense, dense.where("key = 'b'"), 5).collect()}
-    assert got["a"] == pytest.approx(1 / 63) and got["b"] == pytest.approx(2 / 62)
+    dense = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.8), (1, "a", 3, 0.7), (2, "a", 1, 0.5)], "q int, key string, rank int, score double")
+    got = {(r.q, r.key): r.score for r in retrieval.rrf(dense, dense.where("key = 'b'"), 5, "q").collect()}
+    assert got == {(1, "a"): pytest.approx(1 / 63), (1, "b"): pytest.approx(2 / 62), (2, "a"): pytest.approx(1 / 61)}
 
 
 PYTHON = '''import os
