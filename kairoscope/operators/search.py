@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairoscope.functions import interval
 from kairoscope.functions import text as T
 from kairoscope.operators import graph, temporal
+from kairoscope.session import materialise
 
 #: Module names, code policies, widening factors of candidates, and the least number for research.
 MODULES = ("code", "web", "conversation")
@@ -113,10 +115,10 @@ def temporal_retrieve(edges: DataFrame, seeds: DataFrame, at_us: int, max_edges:
     reach = _reach(sides, seeds, max_hops)
     a, b = reach.select("query_id", "project_id", F.col("node").alias("subject")), reach.select("query_id", "project_id", F.col("node").alias("object"))
     near = live.join(a, ["project_id", "subject"]).join(b, ["query_id", "project_id", "object"])
-    away = temporal.I.distance(F.col("valid_from"), F.col("valid_to"), F.lit(at_us))
-    near = near.withColumn("weight", temporal.I.transition_weight(F.col("confidence"), F.col("relevance"), away, half_life_hours, F.col("contradictions")))
+    away = interval.distance(F.col("valid_from"), F.col("valid_to"), F.lit(at_us))
+    near = near.withColumn("weight", interval.transition_weight(F.col("confidence"), F.col("relevance"), away, half_life_hours, F.col("contradictions")))
     near = near.withColumn("total", F.sum("weight").over(Window.partitionBy("query_id", "project_id", "subject")))
-    near = graph.materialise(near, "near")
+    near = materialise(near, "near")
     own = seeds.groupBy("query_id", "project_id").agg(F.count("*").alias("own"))
     walk = near.select(key("query_id", "project_id", "subject").alias("src"), key("query_id", "project_id", "object").alias("dst"), "weight")
     start = seeds.select(key("query_id", "project_id", "node").alias("node")).distinct()
@@ -136,7 +138,7 @@ def _reach(sides: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     seen = seeds.select("query_id", "project_id", "node").distinct()
     frontier = seen
     for _ in range(hops):
-        frontier = graph.materialise(frontier.join(both, ["project_id", "node"]).select("query_id", "project_id", F.col("next").alias("node")).distinct().join(seen, ["query_id", "project_id", "node"], "left_anti"), "reach")
+        frontier = materialise(frontier.join(both, ["project_id", "node"]).select("query_id", "project_id", F.col("next").alias("node")).distinct().join(seen, ["query_id", "project_id", "node"], "left_anti"), "reach")
         seen = seen.union(frontier)
     return seen
 
@@ -178,11 +180,11 @@ def research(hits: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataF
     The status is ``temporal_graph``, ``no_baseline`` or the reason for which a required retrieval fails.
     """
     projects, seeds = projects_of_hits(hits), seeds_of_hits(hits)
-    resolved = graph.materialise(resolve_seeds(seeds.join(projects, "query_id"), nodes), "seeds")
+    resolved = materialise(resolve_seeds(seeds.join(projects, "query_id"), nodes), "seeds")
     found = temporal_retrieve(edges, resolved, at_us, 2 * candidate_limit(limit, "web"))
     lists = evidence_lists(links, temporal.EDGE)
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")) for c in temporal.EDGE]
-    with_ids = graph.materialise(found.alias("f").join(lists.alias("l"), same, "left").select("f.*", "l.evidence_ids"), "retrieved")
+    with_ids = materialise(found.alias("f").join(lists.alias("l"), same, "left").select("f.*", "l.evidence_ids"), "retrieved")
     rows = as_research_rows(hydrate(with_ids, ["query_id", "rank"], "evidence_ids", evidence, "evidence_id", ["source_kind", "source_id", "excerpt"]))
     rows = rows.where(F.col("rank") <= limit).withColumn("retrieval_provenance", provenance("web", "temporal_graph", True, ["temporal_graph"]))
     flag = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
