@@ -67,6 +67,7 @@ def contradiction_counts(edges: DataFrame, bucket_us: int = BUCKET_US) -> DataFr
     the same object. A count runs within a stretch of time; what came before it is added from the
     counts of whole stretches, so that a large group is many tasks.
     """
+    edges = materialise(edges, "edges")  # read by every count, made once
 
     def meeting(keys: list[str]) -> DataFrame:
         k = [F.col(c) for c in keys]
