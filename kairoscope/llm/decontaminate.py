@@ -11,7 +11,9 @@ enumerates: items of more than ``SHORT`` words are searched for by the first mas
 the masks of their number of words, which documents are seeded with only where such items exist.
 
 Words are lower-cased runs without white space and ASCII punctuation. Null and empty texts have
-none and are never reported, nor are rows without an id. Repeated rows give one row per pair of ids.
+none and are never reported, nor are rows without an id. Repeated rows give one row per pair of ids;
+of several texts with one id the best overlap counts. A text of any length is searched whole. Other
+columns are not read; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from kairoscope.session import materialise
 #: Hashed word positions of the search: a mask, and the fewest and most words of the items that it is for (None: any more).
 SHORT = 8
 SEEDS = (((0, 1, 2, 4), SHORT + 1, None), ((0, 3, 4, 5), SHORT + 1, None), ((0,), 1, 1), ((0, 1), 2, 2), ((0, 1, 2), 3, SHORT), ((0, 1, 3), 4, SHORT), ((0, 2, 3), 4, 4))
-#: The masks that oracle_sql() seeds with; sparser than what the share accepts, so it may miss overlaps that the search finds.
-MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 5, 6, 7))
 WINDOW, SHARE = 20, 0.75
 #: Rows below which a table is sent to all executors (24 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -90,17 +90,18 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """``docs`` without the documents that overlap any item."""
     found = find_overlaps(docs, benchmark, id_col, text_col=text_col).select(F.col(id_col).alias("__hit")).distinct()
     found = materialise(found, "contaminated")
-    return docs.join(_small(found, BROADCAST_ROWS), F.col(id_col) == F.col("__hit"), "left_anti")
+    return docs.join(_small(found, BROADCAST_ROWS), docs[id_col] == found["__hit"], "left_anti")
 
 
 def oracle_sql(window: int = WINDOW, share: float = SHARE) -> str:
     """find_overlaps() over documents and benchmark in DuckDB's SQL, without hashes."""
     parts = []
-    for mask in MASKS:
+    for i, (mask, least, most) in enumerate(SEEDS):
         key = " || ' ' || ".join(f"w[p + {o + 1}]" for o in mask)
         span = max(mask) + 1
         for table, key_col in (("d", "doc_id"), ("b", "item_id")):
-            parts.append((table, f"SELECT {key_col}, p, '{len(parts) // 2}:' || {key} AS seed FROM (SELECT *, unnest(range(len(w) - {span - 1})) AS p FROM {table} WHERE len(w) >= {span})"))
+            rows = f"len(w) >= {span}" if table == "d" else f"len(w) BETWEEN {least} AND {most or 1 << 30}"
+            parts.append((table, f"SELECT {key_col}, p, '{i}:' || {key} AS seed FROM (SELECT *, unnest(range(len(w) - {span - 1})) AS p FROM {table} WHERE {rows})"))
     doc_seeds = " UNION ALL ".join(s for t, s in parts if t == "d")
     item_seeds = " UNION ALL ".join(s for t, s in parts if t == "b")
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\t-\r [:punct:]]+'), lambda x: x <> '')"
