@@ -23,18 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.postings import release
+from kairoscope.llm.postings import release, runs
 
 #: Distinct segments that a worker remembers, and slots for pairs of tokens whose test is known.
-MEMO_ENTRIES, PAIR_SLOTS = 150_000, 1 << 19
-#: Texts are encoded in batches of so many code points and rows.
-BATCH_CHARS, BATCH_ROWS = 2 << 20, 1_000
+MEMO_ENTRIES, PAIR_SLOTS = 60_000, 1 << 19
+#: Texts are encoded in batches of about so many bytes, and rows.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1_000
 #: Bytes beyond which a pre-token is not encoded beside others, and pre-tokens that are encoded side by side.
-LONG, ABREAST = 512, 1 << 17
+LONG, ABREAST = 512, 1 << 15
 _NEVER = np.int64(1 << 60)
 
 
@@ -362,16 +363,11 @@ def encoder(path: str) -> PrefixEncoder:
     return _ENCODERS[path]
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Begin and end of runs of texts of about BATCH_CHARS together."""
-    a, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= BATCH_CHARS or i + 1 - a >= BATCH_ROWS:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts that begin in the same stretch of BATCH_BYTES, and of at most BATCH_ROWS."""
+    begin = np.cumsum(sizes) - sizes
+    for a, b in runs(begin // BATCH_BYTES):
+        yield from ((i, min(b, i + BATCH_ROWS)) for i in range(a, b, BATCH_ROWS))
 
 
 def encode_decode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -382,9 +378,8 @@ def encode_decode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _parts(texts):
-                ids, counts = model.encode_batch(texts[a:b])
+            for a, b in _parts(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)):
+                ids, counts = model.encode_batch(batch.column(1).slice(a, b - a).to_pylist())
                 ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, pa.array(model.decode_batch(ids, counts), pa.string())], names=["id", "ids", "decoded"])
