@@ -20,8 +20,9 @@ between different texts is lost, and a large group costs a star.
 Tokens keep 48 bits of their hash: two unequal ones of one pair of documents agree with a
 probability below 1e-8.
 
-Null, empty and wordless texts have no tokens and no links. Rows without an id are left out of the
-components (their own is null). Rows that repeat an id count as one more text of that id.
+Null, empty and wordless texts have no tokens and no links. Rows without an id link with nothing and
+have a null component. Rows that repeat an id link each by its own text. Texts of any length are
+compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
-from kairoscope.llm.postings import by_document, group_column, id_rows, send_tokens, shared_tokens, sizes
+from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, release, salted_join, sizes
 from kairoscope.llm.shingles import mix, shingle_set
 from kairoscope.session import materialise
 
@@ -47,6 +48,12 @@ PERCENT = 75
 PAIRS_FROM, TRIPLES_FROM, COMBINED_FROM = 16, 1024, 32
 #: Rows below which a table is sent to all executors (24 bytes a row).
 BROADCAST_ROWS = 1_000_000
+#: Pairs of one document beyond which they are dealt to several tasks.
+HOT_PAIRS = 200
+
+
+def _digest(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
 def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,8 +62,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column(1)]
-            sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], names=["doc", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc", "n", "sig"])
 
     return id_rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, sig binary")
 
@@ -128,21 +134,28 @@ def signatures(n: int, tokens: np.ndarray, often: np.ndarray, percent: int = PER
     return np.unique(np.concatenate(found)) if found else None
 
 
-def _candidates(shared: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """doc, n, tokens, entries of every representative that may have a partner."""
+def _candidates(dealt: DataFrame, counted: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """doc, n, tokens, entries of every representative (group, sig, node) that may have a partner; doc is its node."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sizes = dict(zip(right.column("doc").to_pylist(), right.column("n").to_pylist(), strict=True))
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        release()
         out: dict[str, list] = {"doc": [], "n": [], "tokens": [], "entries": []}
-        for doc, tokens, often in by_document(left):
-            if doc in sizes:
-                entries = signatures(sizes[doc], tokens, often, percent)
+        nodes = {s: n for s, n in zip(known.column("sig").to_pylist(), known.column("node").to_pylist(), strict=True) if s is not None}
+        sets, every, _ = group_tokens(texts, shingle_set)
+        often = answers_in_order(known)
+        for own in sets.values():
+            node = nodes.pop(_digest(own), None)
+            if node is not None:
+                df = often[np.searchsorted(every, own)]
+                tokens, df = (own[df > 1] >> np.uint64(16)).astype(np.int64), df[df > 1]
+                entries = signatures(len(own), tokens, df, percent)
                 if entries is not None:
-                    for name, x in zip(out, (doc, sizes[doc], tokens, entries.astype(np.int64)), strict=True):
+                    for name, x in zip(out, (node, len(own), tokens, entries.astype(np.int64)), strict=True):
                         out[name].append(x)
         return pa.table({"doc": pa.array(out["doc"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64())), "entries": pa.array(out["entries"], pa.list_(pa.int64()))})
 
-    return shared.groupBy("group").cogroup(heads.groupBy("group")).applyInArrow(run, "doc long, n long, tokens array<long>, entries array<long>")
+    known = counted.unionByName(heads.select("group", "sig", "node"), allowMissingColumns=True)
+    return dealt.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(run, "doc long, n long, tokens array<long>, entries array<long>")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -150,23 +163,35 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb and the number of tokens that the whole sets share."""
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    """a, b, na, nb and the number of tokens that the whole sets share. The pairs of an ``a`` that has many are dealt to several tasks."""
+    hot = pairs.groupBy("a").agg(F.count("*").alias("__pairs")).where(F.col("__pairs") > HOT_PAIRS)
+    hot = _small(materialise(hot.select("a", F.least(F.ceil(F.col("__pairs") / HOT_PAIRS), F.lit(1024)).cast("int").alias("__parts")), "hot"))
+    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(hot, "a", "left")
+    left = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = right.join(_small(pairs), "b").join(left, "a")
+    dealt = pairs.join(hot, "a", "left").withColumn("__salt", F.pmod(F.xxhash64("b"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    both = right.join(_small(dealt), "b").join(left, ["a", "__salt"])
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc, n, head: the smallest id with the same set) and links (a, b) between heads that connect all that is linked."""
-    rows = id_rows(docs, id_col, text_col)
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (doc, n, node), nodes (node, head: the smallest id with its set) and links (a, b) between nodes that connect all that is linked.
+
+    A node is a distinct set; its number is its head's id or, where an id heads several sets, a hash of the set.
+    """
+    rows = id_rows(docs, id_col, text_col).where("doc IS NOT NULL")
     buckets, groups = sizes(rows)
-    sets = token_sets(docs, id_col, text_col)
-    heads = sets.where("sig IS NOT NULL AND doc IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("head"))
-    members = materialise(sets.join(heads, "sig", "left").select("doc", "n", F.coalesce("head", "doc").alias("head")), "members")
-    shared = shared_tokens(send_tokens(rows, shingle_set, buckets), groups)
-    head_rows = members.where("doc = head AND n > 0").groupBy("doc").agg(F.max("n").alias("n")).withColumn("group", group_column(F.col("doc"), groups))
-    found = materialise(_candidates(shared, head_rows, percent), "candidates")
+    sets = materialise(token_sets(docs, id_col, text_col), "sets")  # 40 bytes a row
+    heads = sets.where("sig IS NOT NULL AND doc IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("head"), F.count("*").alias("copies"))
+    several = F.count("*").over(Window.partitionBy("head")) > 1
+    heads = materialise(heads.withColumn("node", F.when(several, F.xxhash64("sig")).otherwise(F.col("head"))), "heads")
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("node", "doc"))  # without an id, no component
+    known = heads.where("copies > 1 OR node <> head").select("sig", "node", "head")  # any other row is its own head
+    members = materialise(salted_join(sets, known, "sig", F.col("doc")).select("doc", "n", own.alias("node"), F.coalesce("head", "doc").alias("head")), "members")
+    group = group_column(F.col("head"), groups)
+    dealt = rows.withColumn("group", group_column(F.col("doc"), groups))
+    counted = count_tokens(dealt, shingle_set, buckets)
+    found = materialise(_candidates(dealt, counted, heads.withColumn("group", group), percent), "candidates")
     sets = found.select("doc", "n", "tokens")
     entries = found.select("doc", "n", F.size("tokens").alias("s"), F.explode("entries").alias("entry"))
     often = entries.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1").select("entry")
@@ -195,7 +220,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_token = x.join(y, (F.col("x.token") == F.col("y.token")) & same_hub & possible & ~enough_inside & _reaches(most, percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     rest = materialise(rest.union(by_token).distinct(), "rest")
     rest = materialise(_overlaps(rest, sets), "overlaps")
-    return members, links.union(rest.where(_is_link(percent)).select("a", "b"))
+    return members, heads.select("node", "head"), links.union(rest.where(_is_link(percent)).select("a", "b"))
 
 
 def _outside_centre(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,7 +254,10 @@ def _still_open(indexed: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles, component_id for every row of ``docs``."""
-    members, links = jaccard_links(docs, id_col, text_col, percent)
-    parts = connected_components(links)
-    out = members.join(parts, F.col("head") == F.col("node"), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component_id"))
+    members, heads, links = jaccard_links(docs, id_col, text_col, percent)
+    parts = connected_components(links).join(heads, "node")
+    # The smallest node names a component, the smallest id is its result.
+    least = parts.groupBy("component").agg(F.min("head").alias("least"))
+    parts = materialise(parts.join(least, "component").select("node", "least"), "parts")
+    out = salted_join(members, parts, "node", F.monotonically_increasing_id())
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("least", "head")).alias("component_id"))

@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.postings import release, runs
+from kairoscope.llm.postings import bucket_of, from_bytes, from_steps, release, runs, steps, to_bytes
 from kairoscope.llm.shingles import mix, word_hashes
 from kairoscope.session import materialise
 
@@ -44,21 +44,6 @@ _COUNTS = ("n", "t", "n_last", "t_last")
 _SENT = "bucket long, group long, kind int, hashes binary, n binary, t binary, n_last binary, t_last binary"
 
 
-def to_bytes(x: np.ndarray) -> bytes:
-    """Non-negative integers, each in as few bytes as the largest needs, lowest bytes first: planes of like bytes compress well."""
-    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    planes = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
-
-
-def from_bytes(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 class Grams:
     """The words of some texts, one after the other, with the distinct words and bigrams and where they stand."""
 
@@ -84,11 +69,6 @@ class Grams:
         self.pair_counts = [count(self.at_pair, p, k) for k in (every, target)]
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so sorted hashes have sorted buckets."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
 def _grams_of(table: pa.Table) -> Grams:
     return Grams(table.column("text").to_pylist(), table.column("target").to_pylist())
 
@@ -99,11 +79,9 @@ def _sent(table: pa.Table, buckets: int) -> pa.Table:
     group, found = table.column("group")[0].as_py(), _grams_of(table)
     out: dict[str, list] = {k: [] for k in ("bucket", "group", "kind", "hashes", *_COUNTS)}
     for kind, hashes, counts in ((0, found.words, found.word_counts), (1, found.pairs, found.pair_counts)):
-        at = _bucket_of(hashes, buckets)
+        at = bucket_of(hashes, buckets)
         for a, b in runs(at):
-            own = hashes[a:b].copy()
-            own[1:] -= hashes[a : b - 1]
-            row = (int(at[a]), group, kind, to_bytes(own), *[to_bytes(c[a:b]) for c in counts], *([None] * (4 - len(counts))))
+            row = (int(at[a]), group, kind, steps(hashes[a:b]), *[to_bytes(c[a:b]) for c in counts], *([None] * (4 - len(counts))))
             for name, x in zip(out, row, strict=True):
                 out[name].append(x)
     kinds = {"bucket": pa.int64(), "group": pa.int64(), "kind": pa.int32()}
@@ -119,7 +97,7 @@ def _answered(table: pa.Table) -> pa.Table:
         rows = [r for r in table.select(["bucket", "group", "kind", "hashes", *_COUNTS[: 4 - 2 * kind]]).to_pylist() if r["kind"] == kind]
         if not rows:
             continue
-        blocks = [np.cumsum(from_bytes(r["hashes"])) for r in rows]
+        blocks = [from_steps(r["hashes"]) for r in rows]
         sizes = [len(b) for b in blocks]
         every, at = np.unique(np.concatenate(blocks), return_inverse=True)
         cuts = np.cumsum([0, *sizes])

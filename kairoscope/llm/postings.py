@@ -1,25 +1,28 @@
-"""Tokens that several documents share, found without sending texts.
+"""How many texts of the corpus have each token, found without sending texts or holders of tokens.
 
-Tasks send their sorted 48-bit tokens to buckets by value; a bucket keeps what at least two documents
-have and deals it out by document. A token is six bytes on its way, whatever it stands for.
+Documents are dealt to groups. A group sends each of its distinct tokens once, with the number of its
+texts that have it, to the bucket of the token; the bucket adds up what all groups sent and answers
+each with the sums, in the order in which it had sent. So a token that every text has reaches its
+bucket once for each group, and an answer is a byte or two a token.
 """
 
 from __future__ import annotations
 
 import ctypes
-import hashlib
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens that a task gathers before it sends them; bytes of text for each bucket of tokens; bytes and rows for each group of documents.
-BATCH_TOKENS, BUCKET_BYTES, GROUP_BYTES, GROUP_ROWS = 1_200_000, 6 << 20, 4 << 20, 50_000
-TOKEN_SCHEMA = "bucket long, first long, deltas binary, base long, docs binary"
-SHARED_SCHEMA = "group long, docs binary, wide boolean, low binary, high binary, often binary"
+#: Bytes of text for each bucket of tokens; bytes and rows for each group of documents.
+BUCKET_BYTES, GROUP_BYTES, GROUP_ROWS = 6 << 20, 4 << 20, 50_000
+#: Rows up to which a counted table is sent to all executors.
+BROADCAST_ROWS = 1_000_000
+_SENT = "bucket long, group long, tokens binary, n binary"
+_ANSWERED = "group long, bucket long, n binary"
 
 
 def release() -> None:
@@ -70,109 +73,86 @@ def group_column(doc: Column, groups: int) -> Column:
 
 
 def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: Column, salts: int = 32, how: str = "left") -> DataFrame:
-    """``rows`` with what ``found`` has for their key, once a key. Rows of one key are dealt to ``salts`` tasks by ``spread``, so that no task gets all of a hot one."""
+    """``rows`` with what ``found`` has for their key, once a key.
+
+    Up to BROADCAST_ROWS rows of ``found`` are sent to all executors; more are joined by a shuffle, in which the rows
+    of one key are dealt to ``salts`` tasks by ``spread``, so that no task gets all of a hot one.
+    """
+    if found.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found), key, how)
     many = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [key, "__salt"], how).drop("__salt")
 
 
-def send_tokens(rows: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int, by_text: bool = False) -> DataFrame:
-    """Sorted tokens (the upper 48 of 64 bits) of many documents with their documents; of equal ones in a task, only the smallest id's.
+def to_bytes(x: np.ndarray) -> bytes:
+    """Non-negative integers, each in as few bytes as the largest needs, lowest bytes first: planes of like bytes compress well."""
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + np.ascontiguousarray(planes).tobytes()
+
+
+def from_bytes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of tokens, so sorted tokens have sorted buckets."""
+    return ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def steps(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as the first one and the distances between neighbours."""
+    own = tokens.copy()
+    own[1:] -= tokens[:-1]
+    return to_bytes(own)
 
-    ``tokens_of`` gives the distinct tokens of a text; documents are equal if these are, or with ``by_text`` if their texts are.
+
+def from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_bytes(blob), dtype=np.uint64)
+
+
+def group_tokens(texts: pa.Table, tokens_of: Callable[[bytes], np.ndarray]) -> tuple[dict[bytes, np.ndarray], np.ndarray, np.ndarray]:
+    """Of the distinct texts of a group: the sorted distinct tokens of each, all distinct ones, and how many texts have each."""
+    own: dict[bytes, np.ndarray] = {}
+    for text in texts.column("text"):
+        data = text.as_py()
+        if data not in own:
+            own[data] = tokens_of(data)
+    sets = {t.tobytes(): t for t in own.values()}  # texts with equal sets count once
+    tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
+    return own, tokens, n
+
+
+def count_tokens(dealt: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int) -> DataFrame:
+    """group, bucket, n: for the distinct tokens of each group of rows (group, text), in their order, how many texts of all groups have them.
+
+    ``tokens_of`` gives the sorted distinct 64-bit tokens of a text. Texts with equal sets count once in a group.
     """
 
-    def flush(held: dict[bytes, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([s for _, s in held.values()])
-        owners = np.repeat(np.array([d for d, _ in held.values()], np.int64), [len(s) for _, s in held.values()])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order] >> np.uint64(16), owners[order]
-        at = ((tokens >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        ends = np.append(starts[1:], len(at))
-        base = owners.min()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(at[starts], pa.int64()),
-                pa.array(tokens[starts].astype(np.int64), pa.int64()),
-                pa.array([narrow(np.diff(tokens[a:b], prepend=tokens[a])) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                pa.array(np.full(len(starts), base), pa.int64()),
-                pa.array([narrow(owners[a:b] - base) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-            ],
-            names=["bucket", "first", "deltas", "base", "docs"],
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[int, np.ndarray]] = {}
-        size = 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = text.as_py()
-                own = tokens_of(data)
-                if not len(own):
-                    continue
-                key = hashlib.blake2b(data if by_text else own.tobytes(), digest_size=16).digest()
-                if key in held:
-                    held[key] = min(doc, held[key][0]), own
-                    continue
-                held[key] = doc, own
-                size += len(own)
-                if size >= BATCH_TOKENS:
-                    yield from flush(held)
-                    held, size = {}, 0
-        if held:
-            yield from flush(held)
-        del held
+    def send(texts: pa.Table) -> pa.Table:
         release()
+        group = texts.column("group")[0].as_py()
+        _, tokens, n = group_tokens(texts, tokens_of)
+        spans = runs(at := bucket_of(tokens, buckets))
+        return pa.table({"bucket": pa.array([int(at[a]) for a, _ in spans], pa.int64()), "group": pa.array([group] * len(spans), pa.int64()), "tokens": pa.array([steps(tokens[a:b]) for a, b in spans], pa.binary()), "n": pa.array([to_bytes(n[a:b]) for a, b in spans], pa.binary())})
 
-    return rows.where("doc IS NOT NULL").mapInArrow(run, TOKEN_SCHEMA)
+    def answer(sent: pa.Table) -> pa.Table:
+        release()
+        blocks = [from_steps(x.as_py()) for x in sent.column("tokens")]
+        _, at = np.unique(np.concatenate(blocks), return_inverse=True)
+        total = np.bincount(at, np.concatenate([from_bytes(x.as_py()) for x in sent.column("n")])).astype(np.int64)
+        cuts = np.cumsum([0, *(len(b) for b in blocks)])
+        return pa.table({"group": sent.column("group"), "bucket": sent.column("bucket"), "n": pa.array([to_bytes(total[at[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
+    sent = dealt.groupBy("group").applyInArrow(send, _SENT)  # with all columns, so that the exchange is that of later steps
+    return sent.groupBy("bucket").applyInArrow(answer, _ANSWERED)
 
-def shared_tokens(sent: DataFrame, groups: int) -> DataFrame:
-    """The tokens that at least two documents have, with their numbers of documents (65,535 stands for more), dealt out by document."""
 
-    def run(table: pa.Table) -> pa.Table:
-        release()
-        tokens, owners = [], []
-        for first, deltas, base, docs in zip(*(table.column(c) for c in ("first", "deltas", "base", "docs")), strict=True):
-            tokens.append(np.cumsum(wide(deltas.as_py())) + first.as_py())
-            owners.append(wide(docs.as_py()) + base.as_py())
-        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owners = tokens[order], owners[order]
-        starts = np.flatnonzero(np.diff(tokens, prepend=-1))
-        count = np.diff(np.append(starts, len(tokens)))
-        often = np.repeat(count, count)
-        keep = often > 1
-        tokens, owners, often = tokens[keep], owners[keep], np.minimum(often[keep], 65_535)
-        group = owners % groups
-        order = np.argsort(group, kind="stable")
-        tokens, owners, often, group = tokens[order], owners[order], often[order], group[order]
-        spans = runs(group)
-        far = [bool(owners[a:b].max() >= 1 << 32 or owners[a:b].min() < 0) for a, b in spans]
-        return pa.table(
-            {
-                "group": pa.array([group[a] for a, _ in spans], pa.int64()),
-                "docs": pa.array([owners[a:b].astype("<i8").tobytes() if f else narrow(owners[a:b]) for (a, b), f in zip(spans, far, strict=True)], pa.binary()),
-                "wide": pa.array(far, pa.bool_()),
-                "low": pa.array([(tokens[a:b] & 0xFFFFFFFF).astype("<u4").tobytes() for a, b in spans], pa.binary()),
-                "high": pa.array([(tokens[a:b] >> 32).astype("<u2").tobytes() for a, b in spans], pa.binary()),
-                "often": pa.array([narrow(often[a:b]) for a, b in spans], pa.binary()),
-            }
-        )
-
-    return sent.groupBy("bucket").applyInArrow(run, SHARED_SCHEMA)
-
-
-def by_document(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Document, its shared tokens and their numbers of documents, from the rows of one group."""
-    table = table.filter(table.column("docs").is_valid())
-    if not table.num_rows:
-        return
-    docs = np.concatenate([np.frombuffer(d.as_py(), "<i8") if w.as_py() else wide(d.as_py()) for d, w in zip(table.column("docs"), table.column("wide"), strict=True)])
-    low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("low")]).astype(np.int64)
-    high = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("high")]).astype(np.int64)
-    often = np.concatenate([wide(x.as_py()) for x in table.column("often")])
-    order = np.argsort(docs, kind="stable")
-    docs, tokens, often = docs[order], (low | high << 32)[order], often[order]
-    for a, b in runs(docs):
-        yield int(docs[a]), tokens[a:b], often[a:b]
+def answers_in_order(answers: pa.Table) -> np.ndarray:
+    """The counts for all tokens of a group, from its rows of count_tokens()."""
+    rows = answers.filter(answers.column("bucket").is_valid()).sort_by("bucket")
+    return np.concatenate([np.zeros(0, np.int64), *[from_bytes(x.as_py()).astype(np.int64) for x in rows.column("n")]])

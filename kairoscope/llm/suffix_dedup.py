@@ -1,19 +1,24 @@
-"""Removal of byte strings that occur in an earlier document, by suffix sorting of shards.
+"""Removal of byte strings that occur in an earlier document, by external suffix sorting of shards.
 
 A string of ``LENGTH`` bytes is removed where it also starts in a document with a smaller id. Every
 such string has an anchor: the position of its smallest hash of ``ANCHOR`` bytes, so equal strings
 have equal anchors. Anchors that only one document has settle their strings at once. What is
 around the others is cut into segments and sent, each distinct one once for a group of documents,
-to the shard of its anchor, where the suffixes are put in order by induced sorting and neighbours
-with ``LENGTH`` bytes in common form the groups of equal strings. Decisions rest on these bytes,
-not on hashes. The shards send back ranges, which each document joins and cuts out.
+to the shard of its anchor. A shard is one partition: its bytes go to a file as they arrive, one
+external induced sort puts all of its suffixes in order, and those with ``LENGTH`` bytes in common
+with the suffix before them form the groups of equal strings. Decisions rest on these bytes, not on
+hashes. The shards send back ranges, which each document joins and cuts out.
 
-Null texts are empty; texts shorter than LENGTH keep everything. Rows without an id are left out.
-Repeated ids count as one document that starts at several places: nothing is removed among them.
+Null texts are empty; texts shorter than LENGTH keep everything. Rows without an id are kept whole
+and remove nothing elsewhere. Rows that repeat an id are judged each by its own text; as none of
+their ids is smaller, nothing is removed among them. An empty table gives an empty result. A text
+of any length is handled whole, by the tasks of its group; columns of other names may have any name.
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm import shingles
-from kairoscope.llm.induced_sort import share_prefix, suffix_order
-from kairoscope.llm.postings import by_document, group_column, id_rows, narrow, release, runs, send_tokens, shared_tokens, sizes, wide
+from kairoscope.llm.induced_sort import large_array, sorted_suffixes
+from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, narrow, release, runs, salted_join, sizes, wide
 from kairoscope.session import materialise
 
 LENGTH, ANCHOR = 50, 24
-#: Bytes of segments that one sort takes; a shard with more is sorted in parts that hold all of an anchor.
-PART_BYTES = 1 << 20
-#: Starts that are looked at together when ranges are made.
-STARTS_AT_ONCE = 500_000
-_SEGMENTS = "shard long, anchors binary, bytes binary, lengths binary, counts binary, docs binary, starts binary"
+#: Starts that are looked at together when ranges are made, and ranges that are sent together.
+STARTS_AT_ONCE, RANGES_AT_ONCE = 500_000, 200_000
+_SEGMENTS = "shard long, bytes binary, lengths binary, counts binary, docs binary, starts binary"
 _RANGES = "group long, docs binary, starts binary, lengths binary"
+#: The bits of a start that hold the place in the text; above them is the number of a text among those of one id.
+TAG_BITS = 40
 _CLEANED = "doc long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
@@ -67,46 +72,82 @@ def anchors(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
 
 
 def _tokens(text: bytes) -> np.ndarray:
-    return np.unique(anchors(text)[0]) << np.uint64(16)
+    """The anchors of a text as tokens: as least hashes they are small numbers, so they are spread again."""
+    return np.unique(shingles.mix(anchors(text)[0]))
 
 
-def _copies(rows: DataFrame, groups: int) -> DataFrame:
-    """group, copies: ids of whole texts that a smaller id has too. A group is bounded, as postings.sizes() makes it."""
-    slim = rows.select("doc", F.sha2("text", 256).alias("sha"))
+def _copies(rows: DataFrame, groups: int, length: int) -> DataFrame:
+    """group, copies: id and digest of whole texts that a smaller id has too. A group is bounded, as postings.sizes() makes it."""
+    slim = rows.where(F.octet_length("text") >= length).select("doc", F.sha2("text", 256).alias("sha"))
     heads = slim.groupBy("sha").agg(F.min("doc").alias("head"), F.max("doc").alias("top")).where("head < top").select("sha", "head")
-    later = slim.join(heads, "sha").where("doc > head")
-    return later.groupBy(group_column(F.col("doc"), groups).alias("group")).agg(F.collect_list("doc").alias("copies"))
+    heads = materialise(heads, "heads")
+    later = salted_join(slim, heads, "sha", F.col("doc"), how="inner").where("doc > head")
+    return later.groupBy(group_column(F.col("doc"), groups).alias("group")).agg(F.collect_set(F.struct("doc", "sha")).alias("copies"))
 
 
-def _copies_in(table: pa.Table) -> set[int]:
-    return {doc for row in table.column("copies") if row.is_valid for doc in row.as_py()}
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys the sorted ``known`` has."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _copies_in(table: pa.Table) -> dict[int, set[str]]:
+    """Of each id the digests of its texts that are copies."""
+    found: dict[int, set[str]] = {}
+    for row in table.column("copies"):
+        if row.is_valid:
+            for x in row.as_py():
+                found.setdefault(x["doc"], set()).add(x["sha"])
+    return found
+
+
+def _is_copy(copies: dict[int, set[str]], doc: int, text: bytes) -> bool:
+    return doc in copies and hashlib.sha256(text).hexdigest() in copies[doc]
+
+
+def _tags(texts: pa.Table) -> list[int]:
+    """For each row the number of its text among the different texts of its id; with single ids 0. It stands above TAG_BITS in a start."""
+    ids = texts.column("doc").to_pylist()
+    if len(set(ids)) == len(ids):
+        return [0] * len(ids)
+    known: dict[int, list[bytes]] = {}
+    for doc, text in zip(ids, texts.column("text"), strict=True):
+        known.setdefault(doc, []).append(text.as_py())
+    order = {doc: {t: i for i, t in enumerate(sorted(set(own)))} for doc, own in known.items() if len(own) > 1}
+    return [order[doc][text.as_py()] if doc in order else 0 for doc, text in zip(ids, texts.column("text"), strict=True)]
 
 
 def _segments(texts: pa.Table, shared: pa.Table, shards: int, length: int) -> pa.Table:
     """Each distinct segment of one group of documents once, with all its documents and starts."""
     release()
-    known = {doc: np.sort(tokens) for doc, tokens, _ in by_document(shared)}
+    known: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def tokens_of(data: bytes) -> np.ndarray:
+        known[data] = anchors(data, length)
+        return np.unique(shingles.mix(known[data][0]))
+
+    tokens = group_tokens(texts, tokens_of)[1]
+    tokens = tokens[answers_in_order(shared) > 1]  # those that several texts have
     found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
     copies = _copies_in(shared)
-    for doc, text in zip(texts.column("doc").to_pylist(), texts.column("text"), strict=True):
-        have = known.get(doc)
-        if have is None or doc in copies:
-            continue
+    for doc, text, tag in zip(texts.column("doc").to_pylist(), texts.column("text"), _tags(texts), strict=True):
         data = text.as_py()
-        own, first, last = anchors(data, length)
-        keep = np.isin(own.astype(np.int64), have)
+        if _is_copy(copies, doc, data):
+            continue
+        own, first, last = known[data]
+        keep = among(shingles.mix(own), tokens)
         own, first, last = own[keep], first[keep], last[keep]
         for a, f, e in zip(own.tolist(), first.tolist(), last.tolist(), strict=True):
-            found.setdefault((a, data[f : e + length]), []).append((doc, f))
+            found.setdefault((a, data[f : e + length]), []).append((doc, tag << TAG_BITS | f))
     keys = sorted(found)
     at = np.array([a for a, _ in keys], np.uint64) % np.uint64(shards)
     order = np.argsort(at, kind="stable")
-    out: dict[str, list] = {name: [] for name in ("shard", "anchors", "bytes", "lengths", "counts", "docs", "starts")}
+    out: dict[str, list] = {name: [] for name in ("shard", "bytes", "lengths", "counts", "docs", "starts")}
     for a, b in runs(at[order]):
         own = [keys[i] for i in order[a:b]]
         places = [found[k] for k in own]
         out["shard"].append(int(at[order[a]]))
-        out["anchors"].append(np.array([k[0] for k in own], "<u8").tobytes())
         out["bytes"].append(b"".join(k[1] for k in own))
         out["lengths"].append(narrow(np.array([len(k[1]) for k in own])))
         out["counts"].append(narrow(np.array([len(p) for p in places])))
@@ -115,105 +156,118 @@ def _segments(texts: pa.Table, shared: pa.Table, shards: int, length: int) -> pa
     return pa.table({name: pa.array(x, pa.int64() if name == "shard" else pa.binary()) for name, x in out.items()})
 
 
-def smallest_owner(text: np.ndarray, valid: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each valid start: the smallest owner among the starts of equal strings."""
-    order = suffix_order(text, length)
-    order = order[valid[order]]
-    same = share_prefix(order, text, length)
-    heads = np.flatnonzero(~same)
-    least = np.minimum.reduceat(owner[order], heads) if len(heads) else np.zeros(0, np.int64)
-    out = np.empty(len(text), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
-    return out
+def smallest_owners(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: int) -> np.ndarray:
+    """For each start of a string in a segment: the first of all segments with an equal string. Segments begin at ``begin``, in any order."""
+    index, least = large_array(len(text), np.int32), large_array(len(text), np.int32)
+    order = np.argsort(begin)
+    for a in range(0, len(begin), STARTS_AT_ONCE):
+        own = order[a : a + STARTS_AT_ONCE]
+        index[begin[own[0]] : begin[own[-1]] + lengths[own[-1]]] = np.repeat(own, lengths[own])
+    for positions, common in sorted_suffixes(text, length):
+        own = index[positions]
+        held = np.flatnonzero(positions - begin[own] <= lengths[own] - length)  # others run over the end of their segment
+        if len(held):
+            shared = np.minimum.reduceat(common[: held[-1] + 1], np.append(0, held[:-1] + 1))
+            heads = np.flatnonzero(np.append(True, shared[1:] < length))
+            low = np.minimum.reduceat(own[held], heads)
+            least[positions[held]] = np.repeat(low, np.diff(np.append(heads, len(held))))
+    return least
 
 
-def _decide(table: pa.Table, groups: int, length: int) -> pa.Table:
-    """The ranges of starts that a smaller document has too."""
+def _packed(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Ranges as rows of _RANGES."""
+    group = docs % groups
+    order = np.argsort(group, kind="stable")
+    docs, starts, lengths, group = docs[order], starts[order], lengths[order], group[order]
+    spans = runs(group)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([group[a] for a, _ in spans], pa.int64()),
+            pa.array([docs[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+            pa.array([narrow(starts[a:b]) for a, b in spans], pa.binary()),
+            pa.array([narrow(lengths[a:b]) for a, b in spans], pa.binary()),
+        ],
+        names=["group", "docs", "starts", "lengths"],
+    )
+
+
+def _decide(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> Iterator[pa.RecordBatch]:
+    """The ranges of starts that a smaller document has too, of all segments of one shard."""
     release()
-    bytes_, lengths, counts, docs, starts, own = [], [], [], [], [], []
-    for row in zip(*(table.column(c) for c in ("bytes", "lengths", "counts", "docs", "starts", "anchors")), strict=True):
-        raw, n, c, d, s, a = (x.as_py() for x in row)
-        bytes_.append(raw)
-        lengths.append(wide(n))
-        counts.append(wide(c))
-        docs.append(np.frombuffer(d, "<i8"))
-        starts.append(wide(s))
-        own.append(np.frombuffer(a, "<u8"))
-    raw = np.frombuffer(b"".join(bytes_), np.uint8)
-    lengths, counts, docs, starts, own = (np.concatenate(x) for x in (lengths, counts, docs, starts, own))
-    begin = np.cumsum(lengths) - lengths
-    first_place = np.cumsum(counts) - counts
-    smallest = np.minimum.reduceat(docs, first_place)
-    by_anchor = np.argsort(own, kind="stable")
-    out_docs, out_starts, out_lengths = [], [], []
-    at = 0
-    while at < len(by_anchor):  # parts end between anchors
-        size = np.cumsum(lengths[by_anchor[at:]])
-        stop = at + max(1, int(np.searchsorted(size, PART_BYTES, side="right")))
-        while stop < len(by_anchor) and own[by_anchor[stop]] == own[by_anchor[stop - 1]]:
-            stop += 1
-        part = by_anchor[at:stop]
-        at = stop
-        n = lengths[part]
-        base = np.cumsum(n) - n
-        text = raw[np.repeat(begin[part] - base, n) + np.arange(n.sum())]
-        index = np.repeat(np.arange(len(part)), n)
-        valid = np.arange(len(text)) - base[index] <= n[index] - length
-        least = smallest_owner(text, valid, smallest[part][index], length)
+    found: dict[str, list[np.ndarray]] = {"lengths": [], "counts": [], "docs": [], "starts": []}
+    with tempfile.TemporaryFile() as file:
+        size = 0
+        for batch in batches:
+            for raw in batch.column("bytes"):
+                size += file.write(raw.as_buffer())
+            for name, parts in found.items():
+                parts += [np.frombuffer(x.as_buffer(), "<i8") if name == "docs" else wide(x.as_py()) for x in batch.column(name)]
+        if not size:
+            return
+        file.flush()
+        text = np.memmap(file, np.uint8, "r", shape=(size,))
+        lengths, counts, docs, starts = (np.concatenate(parts) for parts in found.values())
+        found.clear()
+        begin, first_place = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+        # Segments are numbered by their smallest owners, so the first one with a string has its smallest owner.
+        owners = np.minimum.reduceat(docs, first_place)
+        rank = np.argsort(owners, kind="stable")
+        number = np.empty(len(rank), np.int64)
+        number[rank] = np.arange(len(rank))
+        place_of = np.repeat(number, counts)
+        begin, lengths, owners = begin[rank], lengths[rank], owners[rank]
+        least = smallest_owners(text, begin, lengths, length)
         # Each place of a segment has its starts; those with a smaller owner form ranges.
-        strings = n - length + 1
-        place_of = np.repeat(np.arange(len(part)), counts[part])
-        places = np.repeat(first_place[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) + np.arange(counts[part].sum())
+        strings = lengths - length + 1
         ahead = np.cumsum(strings[place_of])
-        a = 0
-        while a < len(places):
+        waiting: list[tuple[np.ndarray, ...]] = []
+        a = held = 0
+        while a < len(docs):
             b = max(a + 1, int(np.searchsorted(ahead, (ahead[a - 1] if a else 0) + STARTS_AT_ONCE, side="right")))
-            s, p = place_of[a:b], places[a:b]
+            s, p = place_of[a:b], np.arange(a, b)
             a = b
             k = strings[s]
             offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            drop = least[np.repeat(base[s], k) + offset] < np.repeat(docs[p], k)
+            drop = owners[least[np.repeat(begin[s], k) + offset]] < np.repeat(docs[p], k)
             edge = np.diff(drop.astype(np.int8), prepend=0)
             edge[offset == 0] = drop[offset == 0]
             begins = np.flatnonzero(edge == 1)
-            last = np.append(offset[1:] == 0, True) if len(offset) else np.zeros(0, bool)
+            last = np.append(offset[1:] == 0, True)
             ends = np.flatnonzero(drop & (last | ~np.append(drop[1:], False)))
-            row = np.repeat(np.arange(len(s)), k)[begins]
-            out_docs.append(docs[p][row])
-            out_starts.append(starts[p][row] + offset[begins])
-            out_lengths.append(ends - begins + length)
-    docs, starts, lengths = np.concatenate(out_docs), np.concatenate(out_starts), np.concatenate(out_lengths)
-    group = docs % groups
-    order = np.argsort(group, kind="stable")
-    docs, starts, lengths, group = docs[order], starts[order], lengths[order], group[order]
-    spans = runs(group)
-    return pa.table({"group": pa.array([group[a] for a, _ in spans], pa.int64()), "docs": pa.array([docs[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()), "starts": pa.array([narrow(starts[a:b]) for a, b in spans], pa.binary()), "lengths": pa.array([narrow(lengths[a:b]) for a, b in spans], pa.binary())})
+            row = np.repeat(p, k)[begins]
+            waiting.append((docs[row], starts[row] + offset[begins], ends - begins + length))
+            held += len(row)
+            if held >= RANGES_AT_ONCE or a == len(docs) and held:
+                yield _packed(*(np.concatenate(x) for x in zip(*waiting, strict=True)), groups)
+                waiting, held = [], 0
+    release()
 
 
 def _cut(texts: pa.Table, ranges: pa.Table, length: int, whole_characters: bool) -> pa.Table:
     """Every document without its ranges; with ``whole_characters`` also without what is left of a cut character."""
     release()
-    docs, starts, ends = (np.zeros(0, np.int64),) * 3
+    docs, starts, ends, tags = (np.zeros(0, np.int64),) * 4
     copies = _copies_in(ranges)
     ranges = ranges.filter(ranges.column("docs").is_valid())
     if ranges.num_rows:
         docs = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in ranges.column("docs")])
         starts = np.concatenate([wide(x.as_py()) for x in ranges.column("starts")])
+        tags, starts = starts >> TAG_BITS, starts & ((1 << TAG_BITS) - 1)
         ends = starts + np.concatenate([wide(x.as_py()) for x in ranges.column("lengths")])
         order = np.argsort(docs, kind="stable")
-        docs, starts, ends = docs[order], starts[order], ends[order]
+        docs, starts, ends, tags = docs[order], starts[order], ends[order], tags[order]
     ids = np.array(texts.column("doc").to_pylist(), np.int64)
     low, high = np.searchsorted(docs, ids), np.searchsorted(docs, ids, side="right")
     out: dict[str, list] = {"kept": [], "n_bytes": [], "n_removed": [], "n_spans": []}
-    for doc, text, a, b in zip(ids.tolist(), texts.column("text"), low, high, strict=True):
+    for doc, text, tag, a, b in zip(ids.tolist(), texts.column("text"), _tags(texts), low, high, strict=True):
         data = text.as_py()
         n = len(data)
         removed = spans = 0
         kept = data
-        if n >= length and doc in copies:  # each of its strings is in the earlier copy
+        if _is_copy(copies, doc, data):  # each of its strings is in the earlier copy
             removed, spans, kept = n, 1, b""
         elif a < b:
-            m = ends[a:b] <= n  # of several texts with one id, a range can belong to a longer one
+            m = tags[a:b] == tag
             depth = np.bincount(starts[a:b][m], minlength=n + 1)[: n + 1] - np.bincount(ends[a:b][m], minlength=n + 1)[: n + 1]
             gone = np.cumsum(depth)[:n] > 0
             removed = int(gone.sum())
@@ -228,25 +282,29 @@ def _cut(texts: pa.Table, ranges: pa.Table, length: int, whole_characters: bool)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
-    """``id_col``, kept (the remaining bytes), n_bytes, n_removed and n_spans for every row with an id.
+    """``id_col``, kept (the remaining bytes), n_bytes, n_removed and n_spans for every row.
 
     ``carry`` names other columns that come along in a struct ``carried``.
     """
-    rows = id_rows(docs, id_col, text_col).where("doc IS NOT NULL")
+    every = id_rows(docs, id_col, text_col)
+    rows = every.where("doc IS NOT NULL")
     buckets, groups = sizes(rows)
-    shards = max(4, 2 * buckets)
-    copies = materialise(_copies(rows, groups), "copies")
-    shared = shared_tokens(send_tokens(rows, _tokens, buckets, by_text=True), groups).unionByName(copies, allowMissingColumns=True)
+    shards = buckets
+    copies = materialise(_copies(rows, groups, length), "copies")
     schema = _CLEANED
     if carry:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.struct(*carry).alias("carried")).where("doc IS NOT NULL")
+        every = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), F.struct(*carry).alias("carried"))
+        rows = every.where("doc IS NOT NULL")
         schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
-    texts = rows.withColumn("group", group_column(F.col("doc"), groups)).groupBy("group")
+    dealt = rows.withColumn("group", group_column(F.col("doc"), groups))
+    shared = count_tokens(dealt, _tokens, buckets).unionByName(copies, allowMissingColumns=True)
+    texts = dealt.groupBy("group")
     segments = texts.cogroup(shared.groupBy("group")).applyInArrow(lambda t, s: _segments(t, s, shards, length), _SEGMENTS)
-    ranges = segments.groupBy("shard").applyInArrow(lambda t: _decide(t, groups, length), _RANGES)
+    ranges = segments.repartition(shards, "shard").mapInArrow(lambda batches: _decide(batches, groups, length), _RANGES)
     ranges = ranges.unionByName(copies, allowMissingColumns=True)
     cleaned = texts.cogroup(ranges.groupBy("group")).applyInArrow(lambda t, r: _cut(t, r, length, whole_characters), schema)
-    return cleaned.withColumnRenamed("doc", id_col)
+    without_id = every.where("doc IS NULL").select("doc", F.col("text").alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), *[F.lit(0).cast("long").alias(c) for c in ("n_removed", "n_spans")], *(["carried"] if carry else []))
+    return cleaned.unionByName(without_id).withColumnRenamed("doc", id_col)
 
 
 def digest(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty texts, ties, repeats and long texts."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -103,14 +104,28 @@ def test_suffix_dedup(spark, rows):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
-def test_induced_sort_spills():
+def test_induced_sort_spills_and_carries_common_prefixes():
     r = random.Random(1)
-    for n in (1, 2, 60, 500):
-        for k in (1, 2, 40):
-            text = bytes(97 + r.randrange(k) for _ in range(n))
-            order = induced_sort.suffix_order(np.frombuffer(text, np.uint8), 50, allowance=64)
-            keys = [text[i : i + 50] for i in order]
-            assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+    for n in (1, 2, 60, 500, 3000):
+        for k in (1, 2, 40, 256):
+            text = bytes(r.randrange(k) if k == 256 else 97 + r.randrange(k) for _ in range(n))
+            text = text[: n // 2] + text[: n - n // 2]
+            for allowance in (64, 1 << 20):
+                found = [(p, c) for positions, common in reversed(list(induced_sort.sorted_suffixes(np.frombuffer(text, np.uint8), 50, allowance))) for p, c in zip(positions.tolist(), common.tolist(), strict=True)]
+                keys = [text[p : p + 50] for p, _ in found]
+                assert sorted(p for p, _ in found) == list(range(n)) and keys == sorted(keys)
+                assert [c for _, c in found] == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(keys, keys[1:], strict=False)]
+
+
+def test_queues_of_tuples_keep_their_order_on_disk():
+    queues = induced_sort.TupleQueues(200)
+    for i in range(0, 300, 3):
+        queues.put(i % 2, np.arange(i, i + 3), np.full(3, i % 50))
+    assert queues.spilled > 200
+    for symbol in (0, 1):
+        positions, common = queues.all(symbol)
+        assert positions.tolist() == [j for i in range(0, 300, 3) if i % 2 == symbol for j in range(i, i + 3)]
+        assert common.tolist() == [i % 50 for i in range(0, 300, 3) if i % 2 == symbol for _ in range(3)]
 
 
 def signed(x):
