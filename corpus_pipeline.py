@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
 Parquet in the shared folder and gives the rows read back to the next. Rows without an id are
-judged by the classifier alone and pass the stages that compare documents as they are.
+judged by the classifier alone and pass the stages that compare documents as they are. Null and
+empty texts have the score of the sample's share of good documents, no duplicates and no passages.
+Rows that repeat an id go or stay together in the Jaccard join and the decontamination, which name
+ids, and are judged each by its own text elsewhere. Columns beside those of documents are kept up
+to the last stage, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ BROADCAST_ROWS = 1_000_000
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the line classifier does not reject."""
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.score(docs, model, score_col="__score").where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    score = "score"
+    while score in docs.columns:
+        score += "_"
+    return quality_crf.score(docs, model, score_col=score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = suffix_dedup.remove_repeats(docs, carry=others or None, whole_characters=True)
     rows = rows.withColumn("text", F.col("kept").cast("string"))
     found = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col("carried").getField(c) for c in others}
-    rows = rows.select(*[found[c].alias(c) for c in docs.columns])
-    return rows.unionByName(docs.where("doc_id IS NULL"))
+    return rows.select(*[found[c].alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
