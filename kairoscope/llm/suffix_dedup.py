@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = id_rows(docs, id_col, text_col)
     rows = every.where("doc IS NOT NULL")
     buckets, groups = sizes(rows)
-    shards = buckets
+    shards = 2 * buckets  # twice as large ones spill too much beside each other
     copies = materialise(_copies(rows, groups, length), "copies")
     schema = _CLEANED
     if carry:
