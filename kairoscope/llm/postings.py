@@ -115,28 +115,32 @@ def from_steps(blob: bytes) -> np.ndarray:
     return np.cumsum(from_bytes(blob), dtype=np.uint64)
 
 
-def group_tokens(texts: pa.Table, tokens_of: Callable[[bytes], np.ndarray]) -> tuple[dict[bytes, np.ndarray], np.ndarray, np.ndarray]:
-    """Of the distinct texts of a group: the sorted distinct tokens of each, all distinct ones, and how many texts have each."""
+def group_tokens(texts: pa.Table, tokens_of: Callable[[bytes], np.ndarray], by_text: bool = False) -> tuple[dict[bytes, np.ndarray], np.ndarray, np.ndarray]:
+    """Of the distinct texts of a group: the sorted distinct tokens of each, all distinct ones, and how many texts have each.
+
+    Texts with equal sets count once unless ``by_text``, for tokens that do not tell all of a text.
+    """
     own: dict[bytes, np.ndarray] = {}
     for text in texts.column("text"):
         data = text.as_py()
         if data not in own:
             own[data] = tokens_of(data)
-    sets = {t.tobytes(): t for t in own.values()}  # texts with equal sets count once
-    tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
+    sets = own.values() if by_text else {t.tobytes(): t for t in own.values()}.values()
+    tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
     return own, tokens, n
 
 
-def count_tokens(dealt: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int) -> DataFrame:
+def count_tokens(dealt: DataFrame, tokens_of: Callable[[bytes], np.ndarray], buckets: int, by_text: bool = False) -> DataFrame:
     """group, bucket, n: for the distinct tokens of each group of rows (group, text), in their order, how many texts of all groups have them.
 
-    ``tokens_of`` gives the sorted distinct 64-bit tokens of a text. Texts with equal sets count once in a group.
+    ``tokens_of`` gives the sorted distinct 64-bit tokens of a text. Equal texts count once in a group, and so do
+    texts with equal sets unless ``by_text``.
     """
 
     def send(texts: pa.Table) -> pa.Table:
         release()
         group = texts.column("group")[0].as_py()
-        _, tokens, n = group_tokens(texts, tokens_of)
+        _, tokens, n = group_tokens(texts, tokens_of, by_text)
         spans = runs(at := bucket_of(tokens, buckets))
         return pa.table({"bucket": pa.array([int(at[a]) for a, _ in spans], pa.int64()), "group": pa.array([group] * len(spans), pa.int64()), "tokens": pa.array([steps(tokens[a:b]) for a, b in spans], pa.binary()), "n": pa.array([to_bytes(n[a:b]) for a, b in spans], pa.binary())})
 

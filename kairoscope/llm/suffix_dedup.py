@@ -2,7 +2,8 @@
 
 A string of ``LENGTH`` bytes is removed where it also starts in a document with a smaller id. Every
 such string has an anchor: the position of its smallest hash of ``ANCHOR`` bytes, so equal strings
-have equal anchors. Anchors that only one document has settle their strings at once. What is
+have equal anchors. Anchors that only one text has settle their strings at once; different texts with
+the same anchors count each, as what lies between anchors may differ. What is
 around the others is cut into segments and sent, each distinct one once for a group of documents,
 to the shard of its anchor. A shard is one partition: its bytes go to a file as they arrive, one
 external induced sort puts all of its suffixes in order, and those with ``LENGTH`` bytes in common
@@ -127,7 +128,7 @@ def _segments(texts: pa.Table, shared: pa.Table, shards: int, length: int) -> pa
         known[data] = anchors(data, length)
         return np.unique(shingles.mix(known[data][0]))
 
-    tokens = group_tokens(texts, tokens_of)[1]
+    tokens = group_tokens(texts, tokens_of, by_text=True)[1]
     tokens = tokens[answers_in_order(shared) > 1]  # those that several texts have
     found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
     copies = _copies_in(shared)
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = every.where("doc IS NOT NULL")
         schema += f", carried {rows.schema['carried'].dataType.simpleString()}"
     dealt = rows.withColumn("group", group_column(F.col("doc"), groups))
-    shared = count_tokens(dealt, _tokens, buckets).unionByName(copies, allowMissingColumns=True)
+    shared = count_tokens(dealt, _tokens, buckets, by_text=True).unionByName(copies, allowMissingColumns=True)
     texts = dealt.groupBy("group")
     segments = texts.cogroup(shared.groupBy("group")).applyInArrow(lambda t, s: _segments(t, s, shards, length), _SEGMENTS)
     ranges = segments.repartition(shards, "shard").mapInArrow(lambda batches: _decide(batches, groups, length), _RANGES)

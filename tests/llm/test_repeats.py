@@ -54,6 +54,19 @@ def test_suffix_dedup_of_repeated_and_missing_ids(spark, texts):
     assert {(r.carried.lang, r.carried.kept) for r in got} == {("x", "k")}
 
 
+@pytest.mark.parametrize("step", [5, 1])
+def test_suffix_dedup_of_near_copies_with_equal_anchors(spark, texts, step):
+    """Near copies often have the same anchors; with ids that differ by the number of groups (5) they are one group's."""
+    a, b, c, _ = texts
+    rows = []
+    for n, text in enumerate([a, b, c, a + " " + b]):
+        variants = [text, text + " x", "yy " + text, text[:120] + "#" + text[120:], text + " x"]
+        rows += [(1 + n * 1000 + k * step, t) for k, t in enumerate(variants)]
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(removed(rows))
+    assert sum(x[2] for x in removed(rows[:2])) == len(a)
+
+
 def test_whole_characters(spark):
     passage = "é世" * 40
     rows = [(1, passage), (2, "ä" + passage[1:] + "ß end of it")]  # of ß, the first byte is a repeat
