@@ -32,7 +32,7 @@ from kairoscope.llm.induced_sort import large_array, sorted_suffixes
 from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, narrow, release, runs, salted_join, sizes, wide
 from kairoscope.session import materialise
 
-LENGTH, ANCHOR = 50, 24
+LENGTH, ANCHOR = 50, 20
 #: Starts that are looked at together when ranges are made, and ranges that are sent together.
 STARTS_AT_ONCE, RANGES_AT_ONCE = 500_000, 200_000
 _SEGMENTS = "shard long, bytes binary, lengths binary, counts binary, docs binary, starts binary"
@@ -195,27 +195,41 @@ def _packed(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: i
 def _decide(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> Iterator[pa.RecordBatch]:
     """The ranges of starts that a smaller document has too, of all segments of one shard."""
     release()
-    found: dict[str, list[np.ndarray]] = {"lengths": [], "counts": [], "docs": [], "starts": []}
+    found: dict[str, list[np.ndarray]] = {"lengths": [], "segments": [], "docs": [], "starts": []}
+    known: dict[bytes, int] = {}  # a segment that several groups have is sorted once
     with tempfile.TemporaryFile() as file:
         size = 0
         for batch in batches:
-            for raw in batch.column("bytes"):
-                size += file.write(raw.as_buffer())
-            for name, parts in found.items():
-                parts += [np.frombuffer(x.as_buffer(), "<i8") if name == "docs" else wide(x.as_py()) for x in batch.column(name)]
+            columns = (batch.column(name) for name in ("bytes", "lengths", "counts", "docs", "starts"))
+            for raw, lengths, counts, docs, starts in zip(*columns, strict=True):
+                data, lengths = raw.as_buffer().to_pybytes(), wide(lengths.as_py())
+                numbers, new = np.empty(len(lengths), np.int64), []
+                for i, (a, b) in enumerate(zip((np.cumsum(lengths) - lengths).tolist(), np.cumsum(lengths).tolist(), strict=True)):
+                    key = hashlib.blake2b(data[a:b], digest_size=16).digest()
+                    if key not in known:
+                        known[key] = len(known)
+                        new.append(i)
+                        size += file.write(data[a:b])
+                    numbers[i] = known[key]
+                found["lengths"].append(lengths[new])
+                found["segments"].append(np.repeat(numbers, wide(counts.as_py())))
+                found["docs"].append(np.frombuffer(docs.as_buffer(), "<i8"))
+                found["starts"].append(wide(starts.as_py()))
         if not size:
             return
+        known.clear()
         file.flush()
         text = np.memmap(file, np.uint8, "r", shape=(size,))
-        lengths, counts, docs, starts = (np.concatenate(parts) for parts in found.values())
+        lengths, segments, docs, starts = (np.concatenate(parts) for parts in found.values())
         found.clear()
-        begin, first_place = np.cumsum(lengths) - lengths, np.cumsum(counts) - counts
+        begin = np.cumsum(lengths) - lengths
         # Segments are numbered by their smallest owners, so the first one with a string has its smallest owner.
-        owners = np.minimum.reduceat(docs, first_place)
+        owners = np.full(len(lengths), np.iinfo(np.int64).max)
+        np.minimum.at(owners, segments, docs)
         rank = np.argsort(owners, kind="stable")
         number = np.empty(len(rank), np.int64)
         number[rank] = np.arange(len(rank))
-        place_of = np.repeat(number, counts)
+        place_of = number[segments]
         begin, lengths, owners = begin[rank], lengths[rank], owners[rank]
         least = smallest_owners(text, begin, lengths, length)
         # Each place of a segment has its starts; those with a smaller owner form ranges.
