@@ -12,10 +12,9 @@ by their whole sets.
 A token that no other document has can only be lost. Documents with more than t of these have no
 partner, which settles most documents with neither their text nor their prefix leaving the task.
 
-Equal sets become one representative before tokens are exchanged. Of the documents that share an
-entry, first all are compared with one central member; then only those pairs whose members are
-still in different components and which the overlaps with the centre do not rule out. So no link
-between different texts is lost, and a large group costs a star.
+Equal sets become one representative before tokens are exchanged. Documents that share an entry are
+compared by set_links.entry_links(), which loses no link between different texts and for which a large
+group costs a star.
 
 Tokens keep 48 bits of their hash: two unequal ones of one pair of documents agree with a
 probability below 1e-8.
@@ -34,11 +33,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
 from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, release, salted_join, sizes
+from kairoscope.llm.set_links import entry_links
 from kairoscope.llm.shingles import mix, shingle_set
 from kairoscope.session import materialise
 
@@ -46,13 +46,10 @@ from kairoscope.session import materialise
 PERCENT = 75
 #: Document frequencies from which two and three tokens make an index entry, where both documents have at least so many tokens.
 PAIRS_FROM, TRIPLES_FROM, COMBINED_FROM = 16, 1024, 32
-#: Rows below which a table is sent to all executors (24 bytes a row).
-BROADCAST_ROWS = 1_000_000
-#: Pairs of one document beyond which they are dealt to several tasks.
-HOT_PAIRS = 200
 
 
-def _digest(tokens: np.ndarray) -> bytes | None:
+def set_digest(tokens: np.ndarray) -> bytes | None:
+    """Of sorted distinct tokens; None where there are none."""
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
@@ -62,7 +59,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary())], names=["doc", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], names=["doc", "n", "sig"])
 
     return id_rows(docs, id_col, text_col).mapInArrow(run, "doc long, n long, sig binary")
 
@@ -144,7 +141,7 @@ def _candidates(dealt: DataFrame, counted: DataFrame, heads: DataFrame, percent:
         sets, every, _ = group_tokens(texts, shingle_set)
         often = answers_in_order(known)
         for own in sets.values():
-            node = nodes.pop(_digest(own), None)
+            node = nodes.pop(set_digest(own), None)
             if node is not None:
                 df = often[np.searchsorted(every, own)]
                 tokens, df = (own[df > 1] >> np.uint64(16)).astype(np.int64), df[df > 1]
@@ -158,22 +155,6 @@ def _candidates(dealt: DataFrame, counted: DataFrame, heads: DataFrame, percent:
     return dealt.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(run, "doc long, n long, tokens array<long>, entries array<long>")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb and the number of tokens that the whole sets share. The pairs of an ``a`` that has many are dealt to several tasks."""
-    hot = pairs.groupBy("a").agg(F.count("*").alias("__pairs")).where(F.col("__pairs") > HOT_PAIRS)
-    hot = _small(materialise(hot.select("a", F.least(F.ceil(F.col("__pairs") / HOT_PAIRS), F.lit(1024)).cast("int").alias("__parts")), "hot"))
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(hot, "a", "left")
-    left = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    dealt = pairs.join(hot, "a", "left").withColumn("__salt", F.pmod(F.xxhash64("b"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    both = right.join(_small(dealt), "b").join(left, ["a", "__salt"])
-    return both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
-
-
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Membership (doc, n, node), nodes (node, head: the smallest id with its set) and links (a, b) between nodes that connect all that is linked.
 
@@ -196,60 +177,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = found.select("doc", "n", F.size("tokens").alias("s"), F.explode("entries").alias("entry"))
     often = entries.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1").select("entry")
     indexed = materialise(entries.join(often, "entry"), "entries")
-    # All members of an entry are compared with its centre, the one of which least is unshared; the entries of a
-    # group of copies mostly have the same one.
-    centre = F.struct((F.col("s") / F.col("n")).alias("r"), (-F.col("doc")).alias("d"))
-    hubs = indexed.groupBy("entry").agg(F.max_by("doc", centre).alias("hub"))
-    stars = indexed.join(hubs, "entry").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = materialise(_overlaps(materialise(stars, "stars"), sets), "overlaps")
-    links = materialise(stars.where(_is_link(percent)).select("a", "b"), "links")
-    # Only entries that still hold several components have more to tell, and of them only pairs that their
-    # overlaps with a common centre do not rule out.
-    fans = stars.groupBy("a").agg(F.count("*").alias("fans"))
-    to_hub = stars.join(fans, "a").groupBy("b").agg(F.max(F.struct("fans", (-F.col("a")).alias("d"), "shared")).alias("top")).select(F.col("b").alias("doc"), (-F.col("top.d")).alias("hub"), F.col("top.shared").alias("in_hub"))
-    open_rows = materialise(_still_open(indexed, links).join(to_hub, "doc", "left"), "open")
-    same_hub = F.coalesce(F.col("x.hub") == F.col("y.hub"), F.lit(False))
-    possible = (F.col("x.doc") < F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & _near("x.", "y.", percent)
-    enough_inside = _reaches(F.least("x.in_hub", "y.in_hub"), percent)
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, (F.col("x.entry") == F.col("y.entry")) & possible & (~same_hub | enough_inside)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    # Two sets that share too little within their common centre have to share a token outside of it.
-    outside = _outside_centre(open_rows.drop("entry").where("hub IS NOT NULL").distinct(), sets)
-    x, y = outside.alias("x"), outside.alias("y")
-    most = F.least("x.in_hub", "y.in_hub") + F.least(F.col("x.s") - F.col("x.in_hub"), F.col("y.s") - F.col("y.in_hub"))
-    by_token = x.join(y, (F.col("x.token") == F.col("y.token")) & same_hub & possible & ~enough_inside & _reaches(most, percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    rest = materialise(rest.union(by_token).distinct(), "rest")
-    rest = materialise(_overlaps(rest, sets), "overlaps")
-    return members, heads.select("node", "head"), links.union(rest.where(_is_link(percent)).select("a", "b"))
-
-
-def _outside_centre(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rows`` once for each shared token that their centre lacks."""
-    own = sets.select("doc", F.col("tokens").alias("own"))
-    centres = sets.select(F.col("doc").alias("hub"), F.col("tokens").alias("centre"))
-    return rows.join(own, "doc").join(centres, "hub").withColumn("token", F.explode(F.array_except("own", "centre"))).drop("own", "centre")
-
-
-def _reaches(shared: Column, percent: int) -> Column:
-    """Whether two sets x and y with so many tokens in common are linked."""
-    return (100 + percent) * shared >= percent * (F.col("x.n") + F.col("y.n"))
-
-
-def _is_link(percent: int) -> Column:
-    return 100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))
-
-
-def _near(x: str, y: str, percent: int) -> Column:
-    """Whether the sizes (n), and the numbers of tokens that are shared with anyone (s), allow a link at all."""
-    n = F.col(f"{x}n") + F.col(f"{y}n")
-    return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & ((100 + percent) * F.least(f"{x}s", f"{y}s") >= percent * n)
-
-
-def _still_open(indexed: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of the entries that hold several components of the links so far."""
-    owned = indexed.join(connected_components(links), F.col("doc") == F.col("node"), "left").select("entry", "doc", "n", "s", F.coalesce("component", "doc").alias("part"))
-    split = owned.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("entry")
-    return owned.join(split, "entry")
+    indexed = indexed.withColumn("central", F.col("s") / F.col("n"))  # the least of it is unshared
+    return members, heads.select("node", "head"), entry_links(indexed, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

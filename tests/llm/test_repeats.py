@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_exact import shingles
 
-from kairoscope.llm import decontaminate, jaccard_join, postings, quality_crf, suffix_dedup, warc
+from kairoscope.llm import decontaminate, jaccard_join, postings, quality_crf, set_links, suffix_dedup, warc
 
 TEXTS = "doc_id long, text string, lang string, doc long, kept string, `group` int"
 
@@ -111,8 +111,9 @@ def test_jaccard_of_repeated_and_missing_ids(spark, texts, monkeypatch):
                     part[j] = part[m] = min(part[j], part[m])
     want = [(i, len(s), None if i is None else part[k]) for k, (i, s) in enumerate(sets)]
     monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 1)
+    monkeypatch.setattr(postings, "HOT_KEY_ROWS", 1)
+    monkeypatch.setattr(set_links, "HOT_PAIRS", 1)
+    monkeypatch.setattr(set_links, "HOT_ROWS", 1)
     got = [tuple(r) for r in jaccard_join.near_duplicates(table(spark, rows)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert part == [None, 1, 1, 3, 3, 3, 6, 7, 8, 8, 9, None, 9]
