@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairoscope.llm import bpe, compaction, decontaminate, jaccard_join, lm_score, quality_crf, suffix_dedup, url_filter, warc, winnow
+from kairoscope.llm import bpe, compaction, decontaminate, fill_middle, jaccard_join, lm_score, minhash_dedup, quality_crf, suffix_dedup, token_alignment, url_filter, warc, winnow
 from kairoscope.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligns the tokens of two tokenizers over every text and counts their links in the corpus."""
+    return token_alignment.align_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts every text in three, writes the middle last, and rebuilds the text."""
+    return fill_middle.digest(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 2-word shingles, found by sketches."""
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compaction": op1_compaction,
     "op2_lm_score": op2_lm_score,
@@ -92,8 +107,36 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_minhash": op13_minhash,
 }
 
+
+def components_sql(words: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of every document: all pairs that share a shingle, and what their links reach."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words} - 1], ' '))) END AS s FROM d
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.t = y.t AND x.doc_id <> y.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (
+  SELECT DISTINCT a AS doc_id, a AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least.component_id, s.doc_id) AS component_id FROM s LEFT JOIN least USING (doc_id)
+"""
+
+
 _WARC_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest
@@ -112,4 +155,7 @@ ORACLES: dict[str, str] = {
     "op2_lm_score": lm_score.oracle_sql(),
     "op3_decontaminate": decontaminate.oracle_sql(),
     "op5_warc": _WARC_SQL,
+    "op10_jaccard_join": components_sql(5, jaccard_join.PERCENT),
+    "op12_fill_middle": fill_middle.oracle_sql(),
+    "op13_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({components_sql(minhash_dedup.SHINGLE, minhash_dedup.PERCENT)})",
 }
