@@ -102,16 +102,16 @@ def copied(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     return rows.join(blocks, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
 
 
-def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: Column, how: str = "left") -> DataFrame:
+def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: Column, how: str = "left", most: int | None = None) -> DataFrame:
     """``rows`` with what ``found`` has for their key, once a key.
 
     A small ``found`` is sent to all executors. Others are joined by a shuffle, in which the rows of a hot key are
-    dealt to several tasks by ``spread``, so that no task gets all of them; only hot keys of ``found`` are copied.
+    dealt to several tasks by ``spread``, so that none gets many more than ``most``; only hot keys of ``found`` are copied.
     """
     sent = small(found)
     if sent is not found:
         return rows.join(sent, key, how)
-    blocks = blocks_of(rows.select(key), key, HOT_KEY_ROWS)
+    blocks = blocks_of(rows.select(key), key, most or HOT_KEY_ROWS)
     return dealt(rows, blocks, key, spread).join(copied(found, blocks, key), [key, "__salt"], how).drop("__salt")
 
 

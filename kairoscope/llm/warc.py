@@ -29,8 +29,8 @@ from kairoscope.llm.postings import salted_join
 from kairoscope.session import materialise, scratch_path
 
 MIN_REVISIT = 1_000
-#: Tasks to which the rows of one repeated payload are dealt where there are many such payloads.
-PAYLOAD_SALTS = 256
+#: Rows of one repeated payload that a task gets where there are many such payloads.
+PAYLOAD_ROWS = 1_000
 #: Two selected records are read at once if no more bytes than this lie between them; a read stays below the second.
 GAP, MOST = 64 << 10, 8 << 20
 #: Bytes of archives that a task reads back.
@@ -48,7 +48,7 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     again = slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     again = materialise(again, "repeated-payloads")
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= MIN_REVISIT, F.sha1("payload")))
-    rows = salted_join(rows, again, "digest", F.concat_ws(" ", "page_id", "url"), PAYLOAD_SALTS)  # of few repeated payloads none moves
+    rows = salted_join(rows, again, "digest", F.concat_ws(" ", "page_id", "url"), most=PAYLOAD_ROWS)  # of few repeated payloads none moves
     return rows.select("page_id", "url", "payload", F.when(F.col("refers_to") > F.col("page_id"), F.col("refers_to")).alias("refers_to"))
 
 
