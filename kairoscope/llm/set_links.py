@@ -32,11 +32,21 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def pairs_within(rows: DataFrame, key: str, condition: Callable[[str, str], Column]) -> DataFrame:
-    """a, b: pairs of rows with the same key for which ``condition`` (of the prefixes of both sides) holds."""
+    """a, b: pairs of rows with the same key and another ``part`` for which ``condition`` (of the prefixes of both sides) holds.
+
+    The rows of a hot key are dealt to several tasks. Only those outside its largest part are copied to each of
+    them, as the rows of that part have no pairs among themselves: a group of copies with a few others costs these
+    few times the group.
+    """
     blocks = blocks_of(rows, key, HOT_ROWS)
-    x, y = dealt(rows, blocks, key, F.col("doc")).alias("x"), copied(rows, blocks, key).alias("y")
-    together = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.__salt") == F.col("y.__salt")) & (F.col("x.doc") < F.col("y.doc"))
-    return x.join(y, together & condition("x.", "y.")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    sizes = rows.join(blocks, key).groupBy(key, "part", "__parts").agg(F.count("*").alias("__rows"))
+    blocks = small(materialise(sizes.groupBy(key, "__parts").agg(F.max_by("part", F.struct("__rows", "part")).alias("__main")), "hot"))
+    in_main = F.coalesce(F.col("part") == F.col("__main"), F.lit(False))
+    x = copied(rows.join(blocks.select(key, "__main"), key, "left").where(~in_main).drop("__main"), blocks.drop("__main"), key).alias("x")
+    y = dealt(rows, blocks.drop("__main"), key, F.col("doc")).join(blocks.select(key, "__main"), key, "left").withColumn("__in_main", in_main).drop("__main").alias("y")
+    together = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.__salt") == F.col("y.__salt")) & (F.col("x.part") != F.col("y.part"))
+    once = F.col("y.__in_main") | (F.col("x.doc") < F.col("y.doc"))
+    return x.join(y, together & once & condition("x.", "y.")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
 def entry_links(indexed: DataFrame, sets: DataFrame, percent: int, likely: Callable[[str, str], Column] | None = None) -> DataFrame:
@@ -62,8 +72,8 @@ def entry_links(indexed: DataFrame, sets: DataFrame, percent: int, likely: Calla
     open_rows = materialise(_still_open(indexed, links).join(to_hub, "doc", "left"), "open")
 
     def possible(x: str, y: str) -> Column:
-        apart = (F.col(f"{x}part") != F.col(f"{y}part")) & _near(x, y, percent)
-        return apart & likely(x, y) if likely else apart
+        near = _near(x, y, percent)
+        return near & likely(x, y) if likely else near
 
     same_hub = lambda x, y: F.coalesce(F.col(f"{x}hub") == F.col(f"{y}hub"), F.lit(False))
     enough_inside = lambda x, y: _reaches(F.least(f"{x}in_hub", f"{y}in_hub"), x, y, percent)
