@@ -69,12 +69,14 @@ class ShardedTable:
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         files = [r.file for r in self.entries(version).select("file").collect()]
-        if not files:
-            if not self._files.exists(self._at("schema")):
-                raise ValueError("the table has no shard yet")
-            kept = self.spark.read.text(f"{self.path}/schema").first()[0]
-            return self.spark.createDataFrame([], StructType.fromJson(json.loads(kept)))
-        return self.spark.read.parquet(*files)
+        if not self._files.exists(self._at("schema")):
+            raise ValueError("the table has no shard yet")
+        schema = self.schema()
+        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+
+    def schema(self) -> StructType:
+        """The columns of the first append, which are those of all others."""
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/schema").first()[0]))
 
     def _commit(self, entries: DataFrame, base: int) -> bool:
         """Makes ``entries`` version base + 1; False if that exists already."""
@@ -100,11 +102,20 @@ class ShardedTable:
         return meta.groupBy("file").agg(F.max("bytes").alias("bytes"), F.count("*").alias("rows"))
 
     def append(self, arrivals: DataFrame, batch: str | None = None) -> int:
-        """Writes ``arrivals`` as they are partitioned, one small shard a task (with ``batch``: and value of that column), and commits them."""
+        """Writes ``arrivals`` as they are partitioned, one small shard a task (with ``batch``: and value of that column), and commits them.
+
+        Other columns, or other types, than those of the first append are an error; their order is free.
+        """
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         self._keep_schema(arrivals)
+        kept = {f.name: f.dataType for f in self.schema().fields}
+        if {f.name: f.dataType for f in arrivals.schema.fields} != kept:
+            raise ValueError(f"the table has the columns {sorted(kept)} in their types, not {sorted(arrivals.columns)}")
         if batch:
-            arrivals.withColumn("__batch", F.col(batch)).write.option("compression", "zstd").partitionBy("__batch").parquet(folder)
+            free = "__batch"
+            while free.lower() in (c.lower() for c in arrivals.columns):
+                free += "_"
+            arrivals.withColumn(free, F.col(batch)).write.option("compression", "zstd").partitionBy(free).parquet(folder)
         else:
             arrivals.write.option("compression", "zstd").parquet(folder)
         new = self._written([folder]) if self._has_files(folder) else self.spark.createDataFrame([], _ENTRIES)

@@ -21,14 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.joins import SALT, blocks_of, copied, dealt, salted_join, small, without
 from kairoscope.session import materialise
 
 #: Hashed word positions of the search: a mask, and the fewest and most words of the items that it is for (None: any more).
 SHORT = 8
 SEEDS = (((0, 1, 2, 4), SHORT + 1, None), ((0, 3, 4, 5), SHORT + 1, None), ((0,), 1, 1), ((0, 1), 2, 2), ((0, 1, 2), 3, SHORT), ((0, 1, 3), 4, SHORT), ((0, 2, 3), 4, 4))
 WINDOW, SHARE = 20, 0.75
-#: Rows below which a table is sent to all executors (24 bytes a row); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Words up to which an item has no other match than all of its words, which its seed covers.
+ALL_WORDS = 3
+#: Hits of a document beyond which they are dealt to several tasks.
+HOT_HITS = 10_000
 SPLIT = r"[\t-\r \p{Punct}]+"
 
 
@@ -48,11 +51,7 @@ def _exploded(rows: DataFrame, key: str, chosen: tuple[tuple[int, tuple[int, ...
     return rows.select(key, F.explode(F.concat(*[of(*c) for c in chosen])).alias("at")).select(key, "at.seed", "at.position")
 
 
-def _small(rows: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= most else rows
-
-
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", masks: tuple[tuple[tuple[int, ...], int, int | None], ...] = SEEDS, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", masks: tuple[tuple[tuple[int, ...], int, int | None], ...] = SEEDS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """A row for each document and item that overlap: ids, start (first word of the diagonal), window, matched, n_equal."""
     hashed = hashed_of("text")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
@@ -62,15 +61,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     used = [(i, m, least, most) for i, (m, least, most) in enumerate(masks) if any(least <= n and (most is None or n <= most) for n in sizes)]
     if not used:
         used = [(0, *masks[0])]
-    item_seeds = _small(_exploded(items, "item", tuple((i, m, (size >= least) & (size <= (most or 1 << 30))) for i, m, least, most in used)).withColumnRenamed("position", "item_position"), broadcast_rows)
-    hits = (
-        _exploded(texts.select("doc", hashed.alias("hashes")), "doc", tuple((i, m, F.lit(True)) for i, m, *_ in used))
-        .join(item_seeds, "seed")
-        .select("doc", "item", (F.col("position") - F.col("item_position")).alias("diagonal"))
-        .distinct()
-    )
+    chosen = tuple((i, m, (size >= least) & (size <= (most or 1 << 30))) for i, m, least, most in used)
+    item_seeds = _exploded(items, "item", chosen).withColumnRenamed("position", "item_position")
+    item_seeds = materialise(item_seeds.join(items.select("item", (size <= ALL_WORDS).alias("whole")), "item"), "item-seeds")
+    doc_seeds = _exploded(texts.select("doc", hashed.alias("hashes")), "doc", tuple((i, m, F.lit(True)) for i, m, *_ in used))
+    found = salted_join(doc_seeds, item_seeds, "seed", F.col("doc"), how="inner").select("doc", "item", "whole", (F.col("position") - F.col("item_position")).alias("diagonal"))
+    # All places of a short item are equally good, so that the first of a document stands for them.
+    hits = found.groupBy("doc", "item", F.when(~F.col("whole"), F.col("diagonal")).alias("at")).agg(F.min("diagonal").alias("diagonal")).drop("at")
     hits = materialise(hits, "seed-hits")  # counted, and then joined with the texts
-    pairs = texts.join(_small(hits, broadcast_rows), "doc").select("doc", "item", "diagonal", hashed.alias("doc_hashes"))
+    hot = blocks_of(hits, "doc", HOT_HITS)
+    pairs = copied(texts, hot, "doc").join(small(dealt(hits, hot, "doc", F.struct("item", "diagonal"))), ["doc", SALT]).select("doc", "item", "diagonal", hashed.alias("doc_hashes"))
     pairs = pairs.join(items.select("item", F.col("hashes").alias("item_hashes")), "item")
     n = F.size("item_hashes")
     equal = F.transform(F.col("item_hashes"), lambda h, j: F.when(F.get(F.col("doc_hashes"), j + F.col("diagonal")) == h, 1).otherwise(0))
@@ -88,9 +88,8 @@ def hashed_of(text_col: str) -> Column:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that overlap any item."""
-    found = find_overlaps(docs, benchmark, id_col, text_col=text_col).select(F.col(id_col).alias("__hit")).distinct()
-    found = materialise(found, "contaminated")
-    return docs.join(_small(found, BROADCAST_ROWS), docs[id_col] == found["__hit"], "left_anti")
+    found = find_overlaps(docs, benchmark, id_col, text_col=text_col).select(id_col).distinct()
+    return without(docs, materialise(found, "contaminated"), id_col, F.col(text_col))
 
 
 def oracle_sql(window: int = WINDOW, share: float = SHARE) -> str:

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
-from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, release, salted_join, sizes
+from kairoscope.llm.joins import salted_join
+from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, release, sizes
 from kairoscope.llm.set_links import entry_links
 from kairoscope.llm.shingles import mix, shingle_set
 from kairoscope.session import materialise

@@ -28,6 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm.joins import salted_join
 from kairoscope.llm.postings import bucket_of, from_bytes, from_steps, release, runs, steps, to_bytes
 from kairoscope.llm.shingles import mix, word_hashes
 from kairoscope.session import materialise
@@ -36,8 +37,6 @@ from kairoscope.session import materialise
 BACKOFF = 20.0
 #: Bytes of text of a group of documents, and for each bucket of counts.
 GROUP_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
-#: Target ids up to this number (16 bytes each) are sent to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
 #: The counts of a gram: in all texts and in the target; of words also at the end of a text, in all and in the target.
 _COUNTS = ("n", "t", "n_last", "t_last")
@@ -157,11 +156,9 @@ def text_losses(rows: DataFrame, backoff: float = BACKOFF) -> DataFrame:
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
     """Scores every row of ``docs``; the rows whose id is in ``target_ids`` are the target."""
-    chosen = target_ids.select(F.col(id_col).alias("chosen")).where("chosen IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
+    chosen = materialise(target_ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().withColumn("chosen", F.lit(True)), "target-ids")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(chosen, F.col("id") == F.col("chosen"), "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = salted_join(texts, chosen, "id", F.col("text")).select("id", "text", F.coalesce("chosen", F.lit(False)).alias("target"))
     return text_losses(rows, backoff).select(F.col("id").alias(id_col), "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
 from kairoscope.llm.jaccard_join import set_digest
-from kairoscope.llm.postings import id_rows, release, runs, salted_join, small
+from kairoscope.llm.joins import salted_join, small
+from kairoscope.llm.postings import id_rows, release, runs
 from kairoscope.llm.set_links import entry_links
 from kairoscope.llm.shingles import mix, shingle_set
 from kairoscope.session import materialise

@@ -17,14 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.session import materialise
-
 #: Bytes of text for each bucket of tokens; bytes and rows for each group of documents.
 BUCKET_BYTES, GROUP_BYTES, GROUP_ROWS = 6 << 20, 4 << 20, 50_000
-#: Rows, and bytes, up to which a counted table is sent to all executors.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-#: Rows of one key beyond which they are dealt to several tasks, and the most of these.
-HOT_KEY_ROWS, MOST_BLOCKS = 100_000, 1024
 _SENT = "bucket long, group long, tokens binary, n binary"
 _ANSWERED = "group long, bucket long, n binary"
 
@@ -76,45 +70,6 @@ def group_column(doc: Column, groups: int) -> Column:
     return F.pmod(doc, F.lit(groups)).cast("long")
 
 
-def row_bytes(rows: DataFrame) -> int:
-    """About the bytes of a row: fixed sizes, and 64 for each string, list or struct."""
-    return sum({"bigint": 8, "int": 4, "double": 8, "boolean": 1}.get(f.dataType.simpleString(), 64) for f in rows.schema.fields)
-
-
-def small(rows: DataFrame) -> DataFrame:
-    """``rows``, marked to be sent to all executors if they are no more than BROADCAST_ROWS and BROADCAST_BYTES."""
-    return F.broadcast(rows) if rows.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes(rows)) else rows
-
-
-def blocks_of(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """key, __parts: in how many blocks the rows of a key with more than ``most`` are dealt."""
-    counted = rows.groupBy(key).agg(F.count("*").alias("__rows")).where(F.col("__rows") > most)
-    return small(materialise(counted.select(key, F.least(F.ceil(F.col("__rows") / most), F.lit(MOST_BLOCKS)).cast("int").alias("__parts")), "hot"))
-
-
-def dealt(rows: DataFrame, blocks: DataFrame, key: str, spread: Column) -> DataFrame:
-    """``rows`` with the block (__salt) of each, by ``spread``."""
-    return rows.join(blocks, key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-
-
-def copied(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """``rows`` once for each block of their key."""
-    return rows.join(blocks, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
-
-
-def salted_join(rows: DataFrame, found: DataFrame, key: str, spread: Column, how: str = "left", most: int | None = None) -> DataFrame:
-    """``rows`` with what ``found`` has for their key, once a key.
-
-    A small ``found`` is sent to all executors. Others are joined by a shuffle, in which the rows of a hot key are
-    dealt to several tasks by ``spread``, so that none gets many more than ``most``; only hot keys of ``found`` are copied.
-    """
-    sent = small(found)
-    if sent is not found:
-        return rows.join(sent, key, how)
-    blocks = blocks_of(rows.select(key), key, most or HOT_KEY_ROWS)
-    return dealt(rows, blocks, key, spread).join(copied(found, blocks, key), [key, "__salt"], how).drop("__salt")
-
-
 def to_bytes(x: np.ndarray) -> bytes:
     """Non-negative integers, each in as few bytes as the largest needs, lowest bytes first: planes of like bytes compress well."""
     width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
-from kairoscope.llm.postings import blocks_of, copied, dealt, small
+from kairoscope.llm.joins import blocks_of, copied, dealt, small
 from kairoscope.session import materialise
 
 #: Pairs of one document, and open rows of one entry, beyond which they are dealt to several tasks.

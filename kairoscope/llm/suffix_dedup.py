@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from kairoscope.llm import shingles
 from kairoscope.llm.induced_sort import large_array, sorted_suffixes
-from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, narrow, release, runs, salted_join, sizes, wide
+from kairoscope.llm.joins import salted_join
+from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, narrow, release, runs, sizes, wide
 from kairoscope.session import materialise
 
 LENGTH, ANCHOR = 50, 20

@@ -21,7 +21,7 @@ from kairoscope.llm.shingles import mix
 
 MOST_LABELLED = 10_000
 BITS = 14
-GRAMS = (3, 4, 5)
+GRAMS = (2, 3, 4, 5)
 #: (action, host, path), as the contract of op7 states them.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: The labelled table: what people would block, and what they would keep. Fixed values, one url a word.

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairoscope.llm.postings import salted_join
+from kairoscope.llm.joins import salted_join
 from kairoscope.session import materialise, scratch_path
 
 MIN_REVISIT = 1_000

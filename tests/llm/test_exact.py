@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kairoscope.llm import bpe, compaction, components, decontaminate, induced_sort, jaccard_join, lm_score, quality_crf, suffix_dedup, url_filter, warc, winnow
+from kairoscope.llm import bpe, compaction, components, decontaminate, induced_sort, jaccard_join, joins, lm_score, quality_crf, suffix_dedup, url_filter, warc, winnow
 from kairoscope.session import scratch_path
 
 TEXTS = "doc_id long, text string, lang string, source string, n_chars long, token string, `group` int"
@@ -274,10 +274,10 @@ def test_url_model_on_hosts_left_out():
         rest = [x for i, x in enumerate(labelled) if i % 5 == k]
         for (*_, y), p in zip(rest, url_filter.score(weights, [x[0] for x in rest], [x[1] for x in rest]), strict=True):
             right[y].append((p >= 0.5) == bool(y))
-    assert np.mean(right[0]) > 0.85 and np.mean(right[1]) > 0.85
+    assert np.mean(right[0]) >= 0.9 and np.mean(right[1]) >= 0.9
 
 
-def test_decontamination_tolerates_substitutions(spark):
+def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     item = [f"q{i}" for i in range(40)]
     fourth = [w if i % 4 else "zz" for i, w in enumerate(item)]
     half = [w if i % 2 else "zz" for i, w in enumerate(item)]
@@ -288,8 +288,11 @@ def test_decontamination_tolerates_substitutions(spark):
     assert got[1, 1].start == 30 and got[1, 1].n_equal == 40 and got[2, 1].matched == 15
     kept = decontaminate.remove_contaminated(table(spark, docs), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 8]
-    wide = decontaminate.find_overlaps(table(spark, docs), bench, broadcast_rows=0)
-    assert {(r.doc_id, r.item_id) for r in wide.collect()} == set(got)
+    for module, name, value in ((joins, "BROADCAST_ROWS", 0), (joins, "HOT_KEY_ROWS", 1), (decontaminate, "HOT_HITS", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(table(spark, docs), bench).collect()} == set(got)
+    again = decontaminate.remove_contaminated(table(spark, docs), bench)
+    assert again.columns == kept.columns and sorted(r.doc_id for r in again.collect()) == [3, 4, 5, 6, 8]
 
 
 def test_lm_scores_prefer_the_target(spark):

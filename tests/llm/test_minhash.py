@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_exact import LOWER
 
-from kairoscope.llm import minhash_dedup, postings, set_links
+from kairoscope.llm import joins, minhash_dedup, set_links
 
 TEXTS = "doc_id long, text string, row long, keys string, sig int"
 
@@ -52,7 +52,7 @@ def rows():
 @pytest.mark.parametrize("forced", [False, True])
 def test_components(spark, rows, monkeypatch, forced):
     if forced:  # nothing is sent to all executors, and every key with two rows is hot
-        for module, name, value in ((postings, "BROADCAST_ROWS", 0), (postings, "HOT_KEY_ROWS", 1), (set_links, "HOT_PAIRS", 1), (set_links, "HOT_ROWS", 1)):
+        for module, name, value in ((joins, "BROADCAST_ROWS", 0), (joins, "HOT_KEY_ROWS", 1), (set_links, "HOT_PAIRS", 1), (set_links, "HOT_ROWS", 1)):
             monkeypatch.setattr(module, name, value)
     got = [tuple(x) for x in minhash_dedup.near_duplicates(table(spark, rows)).collect()]
     want = [(i, n, p, True if i is None else k) for i, n, p, k in expected(rows)]

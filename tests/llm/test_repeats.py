@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_exact import shingles
 
-from kairoscope.llm import decontaminate, jaccard_join, postings, quality_crf, set_links, suffix_dedup, warc
+from kairoscope.llm import decontaminate, jaccard_join, joins, quality_crf, set_links, suffix_dedup, warc
 
 TEXTS = "doc_id long, text string, lang string, doc long, kept string, `group` int"
 
@@ -88,7 +88,7 @@ def test_warc_of_repeated_and_missing_ids(spark, monkeypatch):
         revisit = i is not None and top is not None and top > i
         want.append((f"http://h/{n}", i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
     for most in (1_000_000, 0):
-        monkeypatch.setattr(postings, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", most)
         got = warc.archive_roundtrip(pages).select("url", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     index = warc.write_archives(warc.classify(pages))
@@ -110,8 +110,8 @@ def test_jaccard_of_repeated_and_missing_ids(spark, texts, monkeypatch):
                 if i is not None and k is not None and x and y and 100 * len(x & y) >= 75 * len(x | y):
                     part[j] = part[m] = min(part[j], part[m])
     want = [(i, len(s), None if i is None else part[k]) for k, (i, s) in enumerate(sets)]
-    monkeypatch.setattr(postings, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(postings, "HOT_KEY_ROWS", 1)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_KEY_ROWS", 1)
     monkeypatch.setattr(set_links, "HOT_PAIRS", 1)
     monkeypatch.setattr(set_links, "HOT_ROWS", 1)
     got = [tuple(r) for r in jaccard_join.near_duplicates(table(spark, rows)).collect()]
