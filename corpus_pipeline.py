@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoscope.llm import bpe, decontaminate, jaccard_join, quality_crf, suffix_dedup
+from kairoscope.llm.joins import without
 from kairoscope.session import materialise
 
 #: Documents whose quality score stays below this are rejected.
 QUALITY_THRESHOLD = 0.3
-#: Dropped ids up to this number (16 bytes each) are sent to all executors; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every component of linked documents."""
     found = jaccard_join.near_duplicates(docs)
-    dropped = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    dropped = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return without(docs, dropped, "doc_id", F.col("text"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
