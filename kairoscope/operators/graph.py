@@ -56,6 +56,79 @@ def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, dangling_to_see
     return ranks
 
 
+def capped_reach(sides: DataFrame, seeds: DataFrame, hops: int, most: int | None) -> DataFrame:
+    """query_id, project_id, node within so many undirected hops of a question's seeds, at most ``most`` nodes a question and project.
+
+    ``sides``: project_id, src, dst, weight. Where a hop finds more new nodes than the budget has room for, those with
+    the heaviest edge to the nodes before it are taken, of equal ones the first by name. Seeds always count. Of a
+    node's edges only the ``2 * most`` heaviest can matter (at most ``most`` of their ends are known, and at most
+    ``most`` are taken), so no question costs the degree of a hub. Without ``most``, everything within the hops.
+    """
+    keys = ["query_id", "project_id", "node"]
+    both = sides.select("project_id", F.col("src").alias("node"), F.col("dst").alias("next"), "weight").union(sides.select("project_id", "dst", "src", "weight"))
+    both = both.where("node <> next").groupBy("project_id", "node", "next").agg(F.max(F.round("weight", 12)).alias("weight"))
+    if most is not None:
+        order = Window.partitionBy("project_id", "node").orderBy(F.desc("weight"), "next")
+        both = both.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= 2 * most).drop("__n")
+    both = materialise(both, "adjacent")
+    seen = frontier = materialise(seeds.select(*keys).distinct(), "reach")
+    for _ in range(hops):
+        found = frontier.join(both, ["project_id", "node"]).groupBy("query_id", "project_id", F.col("next").alias("node")).agg(F.max("weight").alias("weight")).join(seen, keys, "left_anti")
+        if most is not None:
+            have = seen.groupBy("query_id", "project_id").agg(F.count("*").alias("have"))
+            place = F.row_number().over(Window.partitionBy("query_id", "project_id").orderBy(F.desc("weight"), "node"))
+            found = found.withColumn("place", place).where(F.col("place") <= most).join(have, ["query_id", "project_id"]).where(F.col("place") + F.col("have") <= most)
+        frontier = materialise(found.select(*keys), "reach")
+        seen = seen.union(frontier)
+    return seen
+
+
+def inside(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """``edges`` (project_id, subject, object, ...) once for each question that reaches both of their ends.
+
+    An edge is looked up by the end that fewer edges have, so that a hub that many questions reach is not.
+    """
+    nodes = materialise(reach.select("project_id", "node").distinct(), "nodes")
+    ends = lambda c: nodes.select("project_id", F.col("node").alias(c))
+    some = materialise(edges.join(ends("subject"), ["project_id", "subject"], "left_semi").join(ends("object"), ["project_id", "object"], "left_semi"), "inside")
+    degree = some.select("project_id", F.col("subject").alias("node")).union(some.select("project_id", "object")).groupBy("project_id", "node").agg(F.count("*").alias("degree"))
+    of = lambda c: degree.select("project_id", F.col("node").alias(c), F.col("degree").alias(f"__{c}"))
+    some = some.join(of("subject"), ["project_id", "subject"]).join(of("object"), ["project_id", "object"])
+    low = F.col("__subject") <= F.col("__object")
+    some = some.withColumns({"__by": F.when(low, F.col("subject")).otherwise(F.col("object")), "__other": F.when(low, F.col("object")).otherwise(F.col("subject"))})
+    first = some.join(reach.select("query_id", "project_id", F.col("node").alias("__by")), ["project_id", "__by"])
+    return first.join(reach.select("query_id", "project_id", F.col("node").alias("__other")), ["query_id", "project_id", "__other"]).select("query_id", *edges.columns)
+
+
+def walk_each(edges: DataFrame, seeds: DataFrame, part: list[str], restart: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``part``, node, rank: a personalised PageRank of its own for each value of ``part``, with uniform seeds (``part``, node).
+
+    ``edges``: ``part``, src, dst, weight. What a round changes is pushed along the edges of the nodes that changed; a
+    part whose changes sum to less than ``tolerance`` is settled and leaves the rounds. The mass of nodes
+    without a way out is lost; nodes that no mass reaches are left out.
+    """
+    damping = 1 - restart
+    edges = edges.groupBy(*part, "src", "dst").agg(F.sum("weight").alias("weight"))
+    out = edges.groupBy(*part, "src").agg(F.sum("weight").alias("total"))
+    steps = materialise(edges.join(out, [*part, "src"]).select(*part, "src", "dst", (F.col("weight") / F.col("total") * damping).alias("p")), "steps")
+    seeds = seeds.select(*part, "node").distinct()
+    start = materialise(seeds.join(seeds.groupBy(*part).agg(F.count("*").alias("__own")), part).select(*part, "node", (1.0 / F.col("__own")).alias("d")), "start")
+
+    def pushed(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("node", "src").join(steps, [*part, "src"]).select(*part, F.col("dst").alias("node"), (F.col("d") * F.col("p")).alias("d"))
+
+    change = pushed(start).union(start.withColumn("d", -damping * F.col("d")))
+    parts = start
+    for n in range(rounds):
+        change = materialise(change.groupBy(*part, "node").agg(F.sum("d").alias("d")), "change")
+        parts = parts.union(change)
+        open_ = materialise(change.groupBy(*part).agg(F.sum(F.abs("d")).alias("__moved")).where(F.col("__moved") >= tolerance).select(*part), "open")
+        if n + 1 == rounds or not open_.take(1):
+            break
+        change = pushed(change.join(open_, part, "left_semi"))
+    return parts.groupBy(*part, "node").agg(F.sum("d").alias("rank"))
+
+
 def blend(baseline: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
     """node, baseline, rank, combined: 0.6 of the baseline and 0.4 of the rank, each over its maximum."""
     both = ranks.join(baseline.select("node", F.col("score").alias("baseline")), "node", "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))

@@ -5,8 +5,14 @@ Ties end at the key, so every ranking is total. A limit is a top-k report.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
+from pyspark.sql.types import StructType
 
 from kairoscope.functions import text as T
 from kairoscope.functions import vector as V
@@ -26,16 +32,93 @@ def dense_topk(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
+#: Bytes of questions that are sent to all tasks; more are met in blocks of QUESTIONS with blocks of ROWS.
+ASKED_BYTES, QUESTIONS, ROWS = 64 << 20, 1_000, 50_000
+
+
+def _by_length(keys: list, vectors: list[list[float]]) -> dict[int, tuple[list, np.ndarray]]:
+    """Keys and unit vectors for each number of dimensions."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        places.setdefault(len(v), []).append(i)
+    found = {n: np.array([vectors[i] for i in at], np.float64) for n, at in places.items()}
+    return {n: ([keys[i] for i in places[n]], rows / np.linalg.norm(rows, axis=1, keepdims=True)) for n, rows in found.items()}
+
+
+def _best(keys: list, scores: np.ndarray, k: int) -> list[tuple]:
+    """score, key of the k best; equal scores by key."""
+    among = range(len(keys))
+    if len(keys) > k:
+        among = np.flatnonzero(scores >= np.partition(scores, len(keys) - k)[len(keys) - k]).tolist()
+    return sorted(((float(scores[i]), keys[i]) for i in among), key=lambda x: (-x[0], x[1]))[:k]
+
+
+class _Nearest:
+    """The k best rows of each question among those that were added."""
+
+    def __init__(self, asked: dict[int, tuple[list, np.ndarray]], k: int):
+        self.asked, self.k = asked, k
+        self.found: dict[int, list[list[tuple]]] = {n: [[] for _ in keys] for n, (keys, _) in asked.items()}
+
+    def add(self, keys: list, vectors: list[list[float]]) -> None:
+        for n, (own, rows) in _by_length(keys, vectors).items():
+            if n in self.asked:
+                scores = np.round(self.asked[n][1] @ rows.T, 9)
+                for best, score in zip(self.found[n], scores, strict=True):
+                    best += _best(own, score, self.k)
+                    if len(best) > 8 * self.k:
+                        best[:] = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
+
+    def table(self, schema: pa.Schema) -> pa.Table:
+        rows = [(q, key, score) for n, (asked, _) in self.asked.items() for q, best in zip(asked, self.found[n], strict=True) for score, key in sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]]
+        return pa.table([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(schema)], schema=schema)
+
+
 def dense_topk_each(vectors: DataFrame, queries: DataFrame, k: int, query_key: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_key, key, score, rank: for each row of ``queries`` (query_key, vector) the k nearest rows by cosine.
+    """query_key, key, score, rank: for each row of ``queries`` (query_key, vector) the k nearest rows by cosine, exactly.
 
-    The queries are a stated set that is sent to all tasks; a task keeps its k best rows of each before any is shuffled.
+    Questions of up to ASKED_BYTES are sent to all tasks, and each task keeps its k best rows of each before any is
+    shuffled; more are dealt to blocks, and each block of them meets each block of rows. Vectors that are not valid
+    never match, nor do those of another length than the question's. For fewer reads see storage.vector_index.
     """
-    asked = small(queries.select(query_key, F.col(vector).alias("__query")).where(V.is_valid(F.col("__query"))))
-    rows = vectors.where(V.is_valid(F.col(vector))).crossJoin(asked)
-    scored = rows.select(query_key, key, F.round(V.cosine(F.col(vector), F.col("__query")), 9).alias("score"))
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = materialise(queries.select(F.col(query_key).alias("__q"), F.col(vector).alias("__v")).where(V.is_valid(F.col("__v"))), "asked")
+    rows = vectors.select(F.col(key).alias("__k"), F.col(vector).alias("__v")).where(V.is_valid(F.col("__v")))
+    schema = f"__q {asked.schema['__q'].dataType.simpleString()}, __k {rows.schema['__k'].dataType.simpleString()}, score double"
+    size = asked.agg(F.coalesce(F.sum(F.size("__v") * 8 + 64), F.lit(0)), F.count("*")).first()
+    out = to_arrow_schema(asked.select("__q").schema, rows.select("__k").schema)
+    if size[0] <= ASKED_BYTES:
+        known = asked.toArrow()
+        sent = vectors.sparkSession.sparkContext.broadcast(_by_length(known["__q"].to_pylist(), known["__v"].to_pylist()))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nearest = _Nearest(sent.value, k)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 4_096):
+                    nearest.add(batch.column(0).slice(a, 4_096).to_pylist(), batch.column(1).slice(a, 4_096).to_pylist())
+            yield from nearest.table(out).to_batches()
+
+        scored = rows.mapInArrow(scan, schema)
+    else:
+        row_blocks, query_blocks = -(-rows.count() // ROWS), -(-size[1] // QUESTIONS)
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = rows.withColumn("__r", deal("__k", max(1, row_blocks))).withColumn("__b", each(query_blocks))
+        asks = asked.withColumn("__b", deal("__q", query_blocks)).withColumn("__r", each(max(1, row_blocks)))
+
+        def meet(own: pa.Table, asks: pa.Table) -> pa.Table:
+            nearest = _Nearest(_by_length(asks["__q"].to_pylist(), asks["__v"].to_pylist()), k)
+            nearest.add(own["__k"].to_pylist(), own["__v"].to_pylist())
+            return nearest.table(out)
+
+        scored = own.groupBy("__r", "__b").cogroup(asks.groupBy("__r", "__b")).applyInArrow(meet, schema)
+    order = Window.partitionBy("__q").orderBy(F.desc("score"), "__k")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select(F.col("__q").alias(query_key), F.col("__k").alias(key), "score", "rank")
+
+
+def to_arrow_schema(query: StructType, key: StructType) -> pa.Schema:
+    """__q, __k, score."""
+    return pa.schema([*(to_arrow(s).field(0) for s in (query, key)), pa.field("score", pa.float64())])
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -115,11 +198,11 @@ def seed_entities(rows: DataFrame, k: int, order: str = "position", score: str =
     return out.withColumn("weight", F.round("weight", 9)).orderBy(F.desc("weight"), "first", "key", "type").limit(k)
 
 
-def dominant_project(rows: DataFrame, project: str, score: str, position: str) -> DataFrame:
-    """The project with the largest sum of scores; the one seen first wins a tie."""
+def dominant_project(rows: DataFrame, project: str, score: str, position: str, query_key: str) -> DataFrame:
+    """query_key, project, total: for each question the project with the largest sum of scores; the one seen first wins a tie."""
     score_ = F.coalesce(F.nullif(F.col(score), F.lit(0.0)), F.lit(1.0))
-    sums = rows.where(F.col(project).isNotNull()).groupBy(project).agg(F.round(F.sum(score_), 9).alias("total"), F.min(position).alias("first"))
-    return sums.orderBy(F.desc("total"), "first").limit(1)
+    sums = rows.where(F.col(project).isNotNull()).groupBy(query_key, project).agg(F.round(F.sum(score_), 9).alias("total"), F.min(position).alias("first"))
+    return sums.groupBy(query_key).agg(F.max_by(F.struct(project, "total"), F.struct("total", (-F.col("first")).alias("f"))).alias("top")).select(query_key, f"top.{project}", "top.total")
 
 
 def as_of(rows: DataFrame, column: str, moment: str | None) -> DataFrame:

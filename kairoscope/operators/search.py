@@ -102,47 +102,36 @@ def hydrate_turns(ranked: DataFrame, turns: DataFrame, limit: int, role: str | N
     return found.withColumn("place", place).where(F.col("place") <= limit).select("query_id", "place", "session_id", "turn_index", "role", "content", "score")
 
 
-def temporal_retrieve(edges: DataFrame, seeds: DataFrame, at_us: int, max_edges: int = MAX_EDGES, max_hops: int = MAX_HOPS, alpha: float = ALPHA, half_life_hours: float = HALF_LIFE_HOURS, least_relevance: float = LEAST_RELEVANCE, rounds: int = graph.ROUNDS) -> DataFrame:
+def node_budget(max_edges: int) -> int:
+    """Nodes that a retrieval of so many edges expands to by default."""
+    return max(6 * max_edges, 32)
+
+
+def temporal_retrieve(edges: DataFrame, seeds: DataFrame, at_us: int, max_edges: int = MAX_EDGES, max_hops: int = MAX_HOPS, alpha: float = ALPHA, half_life_hours: float = HALF_LIFE_HOURS, least_relevance: float = LEAST_RELEVANCE, rounds: int = graph.ROUNDS, max_nodes: int | None = -1) -> DataFrame:
     """The best edges of each question around its seeds (query_id, project_id, node) by a walk in its project.
 
     ``edges`` have temporal.EDGE, confidence, relevance, contradictions, subject and object as nodes.
-    Only edges of enough relevance with both ends within ``max_hops`` of a seed take part; an edge
-    scores the larger rank of its ends times its share of its subject's weight. Without seeds no rows.
+    Only edges of enough relevance with both ends within ``max_hops`` of a seed take part, and of a question's
+    nodes the first ``max_nodes`` by graph.capped_reach() (None: all; by default node_budget()). An edge scores the
+    larger rank of its ends times its share of its subject's weight. Without seeds no rows.
     """
-    live = edges.where(F.col("relevance") >= least_relevance)
-    sides = live.select("project_id", F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
-    key = lambda q, p, n: F.concat_ws("|", F.col(q).cast("string"), F.col(p).cast("string"), F.col(n).cast("string"))
-    reach = _reach(sides, seeds, max_hops)
-    a, b = reach.select("query_id", "project_id", F.col("node").alias("subject")), reach.select("query_id", "project_id", F.col("node").alias("object"))
-    near = live.join(a, ["project_id", "subject"]).join(b, ["query_id", "project_id", "object"])
+    budget = node_budget(max_edges) if max_nodes == -1 else max_nodes
     away = interval.distance(F.col("valid_from"), F.col("valid_to"), F.lit(at_us))
-    near = near.withColumn("weight", interval.transition_weight(F.col("confidence"), F.col("relevance"), away, half_life_hours, F.col("contradictions")))
-    near = near.withColumn("total", F.sum("weight").over(Window.partitionBy("query_id", "project_id", "subject")))
-    near = materialise(near, "near")
-    own = seeds.groupBy("query_id", "project_id").agg(F.count("*").alias("own"))
-    walk = near.select(key("query_id", "project_id", "subject").alias("src"), key("query_id", "project_id", "object").alias("dst"), "weight")
-    start = seeds.select(key("query_id", "project_id", "node").alias("node")).distinct()
-    ranks = graph.pagerank(walk, start, 1 - alpha, False, rounds, tolerance=None)
-    # All questions walk at once: each has its share of the seeds' mass, which the number of all seeds over its own undoes.
-    times = own.crossJoin(F.broadcast(own.agg(F.sum("own").alias("all")))).select("query_id", "project_id", (F.col("all") / F.col("own")).alias("times"))  # one row
-    r = lambda n: ranks.select(F.col("node").alias(f"__{n}"), F.col("rank").alias(f"rank_{n}"))
-    scored = near.join(r("s"), key("query_id", "project_id", "subject") == F.col("__s")).join(r("o"), key("query_id", "project_id", "object") == F.col("__o")).join(times, ["query_id", "project_id"])
-    scored = scored.withColumn("score", F.round(F.greatest("rank_s", "rank_o") * F.col("times") * F.col("weight") / F.col("total"), 9))
+    weight = interval.transition_weight(F.col("confidence"), F.col("relevance"), away, half_life_hours, F.col("contradictions"))
+    live = materialise(edges.where(F.col("relevance") >= least_relevance).withColumn("weight", weight), "live")
+    sides = live.groupBy("project_id", F.col("subject").alias("src"), F.col("object").alias("dst")).agg(F.max("weight").alias("weight"))
+    near = graph.inside(live, graph.capped_reach(sides, seeds, max_hops, budget))
+    part = ["query_id", "project_id"]
+    near = materialise(near.withColumn("total", F.sum("weight").over(Window.partitionBy(*part, "subject"))), "near")
+    ranks = graph.walk_each(near.select(*part, F.col("subject").alias("src"), F.col("object").alias("dst"), "weight"), seeds, part, 1 - alpha, rounds)
+    r = lambda n: ranks.select(*part, F.col("node").alias(n), F.col("rank").alias(f"rank_{n}"))
+    scored = near.join(r("subject"), [*part, "subject"], "left").join(r("object"), [*part, "object"], "left")
+    best = F.greatest(F.coalesce("rank_subject", F.lit(0.0)), F.coalesce("rank_object", F.lit(0.0)))
+    scored = scored.withColumn("score", F.round(best * F.col("weight") / F.col("total"), 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "subject", "object", "predicate", "valid_from", F.asc_nulls_last("valid_to"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_edges).select("query_id", "rank", *temporal.EDGE, "confidence", "relevance", "score")
 
 
-def _reach(sides: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """query_id, project_id, node within so many undirected hops of a question's seeds."""
-    both = sides.select("project_id", F.col("src").alias("node"), F.col("dst").alias("next")).union(sides.select("project_id", "dst", "src"))
-    seen = seeds.select("query_id", "project_id", "node").distinct()
-    frontier = seen
-    for _ in range(hops):
-        frontier = materialise(frontier.join(both, ["project_id", "node"]).select("query_id", "project_id", F.col("next").alias("node")).distinct().join(seen, ["query_id", "project_id", "node"], "left_anti"), "reach")
-        seen = seen.union(frontier)
-    return seen
-
-
 def seeds_of_hits(hits: DataFrame, most: int = MAX_SEEDS) -> DataFrame:
     """query_id, name, kind: the entities of ranked hits (query_id, rank, score, entities) by score over position, summed."""
     score = F.when(F.coalesce("score", F.lit(0.0)) == 0, 1.0).otherwise(F.col("score"))
@@ -217,11 +206,12 @@ def conversation_tiers(temporal_hits: DataFrame, dense_hits: DataFrame, text_hit
     return rows.join(best, ["query_id", "tier"]).where(F.col("place") <= limit).drop("tier")
 
 
-def code_search(baseline: DataFrame, edges: DataFrame, limit: int, policy: str = "auto", ppr: bool = False) -> DataFrame:
+def code_search(baseline: DataFrame, edges: DataFrame, limit: int, policy: str = "auto", ppr: bool = False, max_nodes: int | None = None) -> DataFrame:
     """query_id, source_id, score, baseline_score, mode, rank: semantic hits, or these blended with a walk from them over structural edges.
 
     ``baseline``: query_id, node, score, rank, with ``candidate_limit`` rows a question. ``policy`` is one of POLICIES;
     auto takes the graph where ``ppr`` is set. A question none of whose hits is a node of the graph falls back.
+    ``max_nodes``: the budget of a question's expansion (graph.capped_reach()); none: all within MAX_HOPS.
     """
     chosen = normalise_policy(policy, allow_auto=True)
     if chosen is None:
@@ -229,18 +219,14 @@ def code_search(baseline: DataFrame, edges: DataFrame, limit: int, policy: str =
     plain = baseline.select("query_id", F.col("node").alias("source_id"), "score", F.col("score").alias("baseline_score"), "rank")
     if chosen == "safe" or (chosen == "auto" and not ppr):
         return plain.where(F.col("rank") <= limit).withColumn("mode", F.lit("semantic_only"))
-    key = lambda n: F.concat_ws("|", F.col("query_id").cast("string"), F.col(n))
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
-    known = both.select(F.col("src").alias("node")).distinct()
-    seeds = baseline.join(known, "node", "left_semi")
-    sides = edges.select(F.lit(0).alias("project_id"), "src", "dst").distinct()
-    near = _reach(sides, seeds.select("query_id", F.lit(0).alias("project_id"), "node"), MAX_HOPS).select("query_id", "node")
-    walk = both.join(near.withColumnRenamed("node", "src"), "src").join(near.withColumnRenamed("node", "dst"), ["query_id", "dst"])
-    own = seeds.groupBy("query_id").agg(F.count("*").alias("own"))
-    ranks = graph.pagerank(walk.select(key("src").alias("src"), key("dst").alias("dst"), "weight"), seeds.select(key("node").alias("node")), 0.2, False, tolerance=None)
-    times = own.crossJoin(F.broadcast(own.agg(F.sum("own").alias("all")))).select("query_id", (F.col("all") / F.col("own")).alias("times"))  # one row
-    scored = near.join(ranks.withColumnRenamed("node", "__key"), key("node") == F.col("__key")).join(times, "query_id")
-    scored = scored.select("query_id", "node", (F.col("rank") * F.col("times")).alias("ppr"))
+    both = edges.select(F.lit(0).alias("project_id"), F.col("src").alias("subject"), F.col("dst").alias("object"), "weight")
+    both = both.union(both.select("project_id", "object", "subject", "weight"))
+    seeds = baseline.join(both.select(F.col("subject").alias("node")).distinct(), "node", "left_semi").select("query_id", F.lit(0).alias("project_id"), "node")
+    near = graph.capped_reach(edges.select(F.lit(0).alias("project_id"), "src", "dst", "weight"), seeds, MAX_HOPS, max_nodes)
+    walk = graph.inside(both, near).select("query_id", F.col("subject").alias("src"), F.col("object").alias("dst"), "weight")
+    own = seeds.select("query_id").distinct()
+    ranks = graph.walk_each(walk, seeds, ["query_id"], 0.2)
+    scored = near.join(ranks, ["query_id", "node"], "left").select("query_id", "node", F.coalesce("rank", F.lit(0.0)).alias("ppr"))
     joined = scored.join(baseline.select("query_id", "node", F.col("score").alias("baseline_score")), ["query_id", "node"], "left").withColumn("baseline_score", F.coalesce("baseline_score", F.lit(0.0)))
     top = Window.partitionBy("query_id")
     over = lambda c: F.when(F.max(c).over(top) > 0, F.col(c) / F.max(c).over(top)).otherwise(0.0)

@@ -15,7 +15,7 @@ from kairoscope.streaming import turns
 
 def queries() -> dict[str, Query]:
     """All registered queries; those of the other modules of this package too."""
-    from kairoscope.plans import code, records, search, store  # noqa: F401  they register on import
+    from kairoscope.plans import code, records, search, store, stored  # noqa: F401  they register on import
 
     return dict(QUERIES)
 
@@ -33,7 +33,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 _COSINE = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
-_DENSE = f"dense AS (SELECT vec_id, label, round({_COSINE}, 9) AS score FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0))"
 _EACH = f"each AS (SELECT item_id, vec_id, round({_COSINE}, 9) AS score FROM embeddings, (SELECT item_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id)), near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS rank FROM each)"
 BM25_SQL = """terms AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS term FROM benchmark),
 docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2) AS w FROM documents),
@@ -45,22 +44,29 @@ bm AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
 
 
+#: Every vector whose number is divisible by twenty asks.
+ASKED_SQL = f"""asked AS (SELECT vec_id AS query_id, label AS own, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+dense AS (SELECT query_id, own, vec_id, label, round({_COSINE}, 9) AS score FROM embeddings, asked),
+dense_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense)"""
+
+
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     e = M.table(spark, sf_dir, "embeddings")
-    return retrieval.dense_topk(e, e.where("vec_id = 0"), k)
+    return retrieval.dense_topk_each(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k, "query_id")
 
 
-@query(f"WITH {_DENSE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM dense ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {ASKED_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dense_ranked WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_DENSE}, top AS (SELECT * FROM dense ORDER BY score DESC, vec_id LIMIT 80) SELECT vec_id, label, round(score, 6) AS score FROM top WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)")
+@query(f"WITH {ASKED_SQL} SELECT query_id, vec_id, label, round(score, 6) AS score FROM dense_ranked WHERE rank <= 80 AND label = own")
 def dense_topk_postfilter(spark, sf_dir):
-    e = M.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    own = e.where("vec_id = 0").select(F.col("label").alias("own"))
-    top = _dense(spark, sf_dir, 80).join(e, "vec_id").crossJoin(F.broadcast(own))  # one row
-    return top.where("label = own").select("vec_id", "label", F.round("score", 6).alias("score"))
+    """Of the 80 best rows of each question those of its own label."""
+    e = M.table(spark, sf_dir, "embeddings")
+    own = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    top = _dense(spark, sf_dir, 80).join(e.select("vec_id", "label"), "vec_id").join(own, "query_id")
+    return top.where("label = own").select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= 5")
@@ -126,12 +132,11 @@ def seed_entities(spark, sf_dir):
     return retrieval.seed_entities(docs, 5).select("name", "type", "weight")
 
 
-@query(f"WITH {_DENSE} SELECT label, round(sum(CASE WHEN score = 0 THEN 1 ELSE score END), 6) AS total FROM dense GROUP BY label ORDER BY round(sum(score), 9) DESC, min(vec_id) LIMIT 1")
+@query(f"WITH {ASKED_SQL}, t AS (SELECT query_id, label, round(sum(CASE WHEN score = 0 THEN 1 ELSE score END), 9) AS total, min(rank) AS first FROM dense_ranked WHERE rank <= 80 GROUP BY query_id, label) SELECT query_id, arg_max(label, total * 1000 - first / 1000000) AS label, round(max(total), 6) AS total FROM t GROUP BY query_id")
 def dominant_project(spark, sf_dir):
-    e = M.table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    rows = e.crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))  # one row
-    return retrieval.dominant_project(rows, "label", "score", "vec_id").select("label", F.round("total", 6).alias("total"))
+    """The label with the largest sum of scores among the 80 best rows of each question."""
+    rows = _dense(spark, sf_dir, 80).join(M.table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.dominant_project(rows, "label", "score", "rank", "query_id").select("query_id", "label", F.round("total", 6).alias("total"))
 
 
 # Conversation
@@ -326,6 +331,24 @@ def temporal_neighborhood(spark, sf_dir):
     return graph.neighbourhood(_walk(edges), _walk_seeds(edges), 2)
 
 
+def walk_sql(edges: str, seeds: str, restart: float = 0.15, rounds: int = 12, tolerance: float = 1e-6) -> str:
+    """The rounds of a walk for each part, and rr: its ranks after the first round that changes less than the tolerance."""
+    parts = [
+        f"pe AS MATERIALIZED (SELECT part, src, dst, sum(weight) AS w FROM ({edges}) GROUP BY ALL)",
+        "ps AS MATERIALIZED (SELECT part, src, dst, w / sum(w) OVER (PARTITION BY part, src) AS p FROM pe)",
+        f"sd AS MATERIALIZED (SELECT part, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY part) AS share FROM (SELECT DISTINCT part, node FROM ({seeds})))",
+        "nd AS MATERIALIZED (SELECT x.part, x.node, coalesce(share, 0) AS s FROM (SELECT part, src AS node FROM ps UNION SELECT part, dst FROM ps UNION SELECT part, node FROM sd) x LEFT JOIN sd USING (part, node))",
+        "r0 AS MATERIALIZED (SELECT part, node, s AS rank FROM nd)",
+    ]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT nd.part, nd.node, {restart} * s + (1 - {restart}) * coalesce(f, 0) AS rank FROM nd LEFT JOIN (SELECT ps.part, dst, sum(rank * p) AS f FROM ps JOIN r{i} ON r{i}.part = ps.part AND node = src GROUP BY ALL) x ON x.part = nd.part AND x.dst = nd.node)")
+    moved = " UNION ALL ".join(f"SELECT part, {i + 1} AS n, sum(abs(y.rank - x.rank)) AS moved FROM r{i} x JOIN r{i + 1} y USING (part, node) GROUP BY part" for i in range(rounds))
+    every = " UNION ALL ".join(f"SELECT part, node, rank, {i + 1} AS n FROM r{i + 1}" for i in range(rounds))
+    parts.append(f"ends AS (SELECT part, coalesce(min(n) FILTER (moved < {tolerance}), {rounds}) AS n FROM ({moved}) GROUP BY part)")
+    parts.append(f"rr AS MATERIALIZED (SELECT part, node, rank FROM ({every}) JOIN ends USING (part, n))")
+    return ", ".join(parts)
+
+
 def ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int) -> str:
     """The rounds of personalised PageRank, one after the other; seeds: node, and the part that its restart belongs to."""
     parts = [
@@ -341,27 +364,24 @@ def ppr_sql(edges: str, seeds: str, restart: float, dangling: bool, rounds: int)
     return ", ".join(parts)
 
 
-_PROJECT_EDGES = "SELECT project_id || ':s' || subject AS src, project_id || ':o' || object AS dst, weight FROM w"
-_PROJECT_SEEDS = "SELECT project_id || ':s' || subject AS node, project_id AS part FROM e"
+_PROJECT_EDGES = "SELECT project_id AS part, 's' || subject AS src, 'o' || object AS dst, weight FROM w"
+_PROJECT_SEEDS = "SELECT project_id AS part, 's' || subject AS node FROM e"
 
 
-@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {ppr_sql(_PROJECT_EDGES, _PROJECT_SEEDS, 0.15, False, 12)},
-sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN r12 a ON a.node = project_id || ':s' || subject JOIN r12 b ON b.node = project_id || ':o' || object),
+@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_WEIGHTED}, {walk_sql(_PROJECT_EDGES, _PROJECT_SEEDS)},
+sc AS (SELECT x.*, round(greatest(a.rank, b.rank) * weight / total, 12) AS score FROM x JOIN rr a ON a.part = project_id AND a.node = 's' || subject JOIN rr b ON b.part = project_id AND b.node = 'o' || object),
 tp AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, subject, object, predicate, valid_from, valid_to NULLS LAST) AS place FROM sc)
 SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(score, 9) AS score FROM tp WHERE place <= 50""")
 def temporal_ppr(spark, sf_dir):
     """The 50 best edges of each project by a walk in that project."""
     rows = _weighted(spark, sf_dir)
-    walk = _walk(rows)
-    seeds = rows.select("project_id", _node("s", "subject").alias("node")).distinct()
-    ranks = graph.pagerank(walk, seeds.select("node"), 0.15, False, tolerance=None)
-    a = ranks.select(F.col("node").alias("an"), F.col("rank").alias("ar"))
-    b = ranks.select(F.col("node").alias("bn"), F.col("rank").alias("br"))
-    # The walks do not meet, so that a project's ranks are those of a walk of its own but for its share of all seeds.
-    own = seeds.groupBy("project_id").agg(F.count("*").alias("own"))
-    shares = own.crossJoin(own.agg(F.sum("own").alias("all"))).select("project_id", (F.col("all") / F.col("own")).alias("times"))
-    scored = rows.join(a, _node("s", "subject") == F.col("an")).join(b, _node("o", "object") == F.col("bn")).join(shares, "project_id")
-    scored = scored.withColumn("score", F.round(F.greatest("ar", "br") * F.col("times") * F.col("weight") / F.col("total"), 12))
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    walk = rows.select("project_id", name("s", "subject").alias("src"), name("o", "object").alias("dst"), "weight")
+    ranks = graph.walk_each(walk, rows.select("project_id", name("s", "subject").alias("node")), ["project_id"], 0.15)
+    a = ranks.select("project_id", F.col("node").alias("an"), F.col("rank").alias("ar"))
+    b = ranks.select("project_id", F.col("node").alias("bn"), F.col("rank").alias("br"))
+    scored = rows.withColumns({"an": name("s", "subject"), "bn": name("o", "object")}).join(a, ["project_id", "an"]).join(b, ["project_id", "bn"])
+    scored = scored.withColumn("score", F.round(F.greatest("ar", "br") * F.col("weight") / F.col("total"), 12))
     order = Window.partitionBy("project_id").orderBy(F.desc("score"), "subject", "object", "predicate", "valid_from", F.asc_nulls_last("valid_to"))
     top = scored.withColumn("place", F.row_number().over(order)).where("place <= 50")
     return top.select("project_id", "subject", "predicate", "object", "valid_from", F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("score", 9).alias("score"))

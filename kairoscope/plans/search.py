@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kairoscope.operators import retrieval, search, temporal
+from kairoscope.operators import graph, retrieval, search, temporal
 from kairoscope.plans import mapping as M
 from kairoscope.plans.catalog import query
-from kairoscope.plans.registry import BM25_SQL, ppr_sql
+from kairoscope.plans.registry import BM25_SQL, ppr_sql, walk_sql
 
 # Nodes and edges
 
@@ -32,19 +32,27 @@ found AS (SELECT query_id, a.project_id, n, asked, node, asked IS NULL OR kind =
 seeds AS (SELECT DISTINCT query_id, project_id, node FROM (SELECT *, max(exact::INT) OVER (PARTITION BY query_id, project_id, n, asked) AS most FROM found) WHERE exact::INT = most)"""
 
 
+_LIVE_SQL = f"""l AS (SELECT project_id, 's' || subject AS subject, predicate, 'o' || object AS object, valid_from, valid_to, confidence, relevance,
+  greatest(1e-9, confidence * relevance * pow(2, -greatest(valid_from - {M.NOW_US}, {M.NOW_US} - coalesce(valid_to, {M.NOW_US}), 0) / (24 * 3.6e9))) AS weight FROM e WHERE relevance >= 0.05),
+b AS MATERIALIZED (SELECT project_id, node, next, max(w) AS w FROM (SELECT project_id, subject AS node, object AS next, round(weight, 12) AS w FROM l UNION ALL SELECT project_id, object, subject, round(weight, 12) FROM l) GROUP BY ALL)"""
+
+
+def reach_sql(most: int) -> str:
+    """From seeds to h2: the nodes within two hops, the budget's heaviest edges first."""
+    hop = lambda n: f"""c{n} AS (SELECT query_id, project_id, next AS node, max(w) AS w FROM h{n - 1} JOIN b USING (project_id, node) WHERE (query_id, project_id, next) NOT IN (SELECT (query_id, project_id, node) FROM h{n - 1}) GROUP BY ALL),
+h{n} AS MATERIALIZED (SELECT * FROM h{n - 1} UNION ALL SELECT query_id, project_id, node FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project_id ORDER BY w DESC, node) AS place FROM c{n}) JOIN (SELECT query_id, project_id, count(*) AS have FROM h{n - 1} GROUP BY ALL) USING (query_id, project_id) WHERE place + have <= {most})"""
+    return f"h0 AS (SELECT DISTINCT query_id, project_id, node FROM seeds), {hop(1)}, {hop(2)}"
+
+
 def _retrieved_sql(max_edges: int) -> str:
     """From seeds (query_id, project_id, node) to the best edges of each question, as search.temporal_retrieve finds them."""
-    key = lambda n: f"query_id || '|' || project_id || '|' || {n}"
-    return f"""{M.FINE_SQL}, {M.EDGES_SQL}, l AS (SELECT project_id, 's' || subject AS subject, predicate, 'o' || object AS object, valid_from, valid_to, confidence, relevance FROM e WHERE relevance >= 0.05),
-b AS (SELECT DISTINCT project_id, subject AS node, object AS next FROM l UNION SELECT DISTINCT project_id, object, subject FROM l),
-h1 AS (SELECT query_id, project_id, node FROM seeds UNION SELECT query_id, project_id, next FROM seeds JOIN b USING (project_id, node)),
-h2 AS (SELECT query_id, project_id, node FROM h1 UNION SELECT query_id, project_id, next FROM h1 JOIN b USING (project_id, node)),
-n AS (SELECT a.query_id, l.*, greatest(1e-9, confidence * relevance * pow(2, -greatest(valid_from - {M.NOW_US}, {M.NOW_US} - coalesce(valid_to, {M.NOW_US}), 0) / (24 * 3.6e9))) AS weight
-  FROM l JOIN h2 a ON a.project_id = l.project_id AND a.node = subject JOIN h2 z ON z.query_id = a.query_id AND z.project_id = l.project_id AND z.node = object),
-t AS (SELECT *, sum(weight) OVER (PARTITION BY query_id, project_id, subject) AS total FROM n),
-{ppr_sql(f"SELECT {key('subject')} AS src, {key('object')} AS dst, weight FROM n", f"SELECT {key('node')} AS node, query_id || '|' || project_id AS part FROM seeds", 0.15, False, 12)},
-sc AS (SELECT t.*, round(greatest(a.rank, z.rank) * weight / total, 9) AS score FROM t JOIN r12 a ON a.node = {key('subject')} JOIN r12 z ON z.node = {key('object')}),
-found_edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, subject, object, predicate, valid_from, valid_to NULLS LAST) AS rank FROM sc) WHERE rank <= {max_edges})"""
+    part = "query_id || '|' || project_id"
+    return f"""{M.FINE_SQL}, {M.EDGES_SQL}, {_LIVE_SQL}, {reach_sql(search.node_budget(max_edges))},
+n AS (SELECT a.query_id, l.* FROM l JOIN h2 a ON a.project_id = l.project_id AND a.node = subject JOIN h2 z ON z.query_id = a.query_id AND z.project_id = l.project_id AND z.node = object),
+t AS (SELECT *, {part} AS part, sum(weight) OVER (PARTITION BY query_id, project_id, subject) AS total FROM n),
+{walk_sql("SELECT part, subject AS src, object AS dst, weight FROM t", f"SELECT {part} AS part, node FROM seeds")},
+sc AS (SELECT t.*, round(greatest(a.rank, z.rank) * weight / total, 9) AS score FROM t JOIN rr a ON a.part = t.part AND a.node = subject JOIN rr z ON z.part = t.part AND z.node = object),
+found_edges AS (SELECT * EXCLUDE (part) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, subject, object, predicate, valid_from, valid_to NULLS LAST) AS rank FROM sc) WHERE rank <= {max_edges})"""
 
 
 @query(f"""WITH {_NODES_SQL}, requests AS (SELECT c_custkey AS query_id, c_nationkey AS project_id, '  ' || upper(c_name) || ' ' AS name, CASE c_custkey % 4 WHEN 0 THEN 'customer' WHEN 1 THEN 'nobody' WHEN 2 THEN 'account' END AS kind FROM customer),
@@ -69,6 +77,16 @@ def temporal_retrieve(spark, sf_dir):
     return rows.select("query_id", "rank", *temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {M.FINE_SQL}, {M.EDGES_SQL}, {_LIVE_SQL}, seeds AS (SELECT c_custkey AS query_id, c_nationkey AS project_id, 's' || c_custkey AS node FROM customer), {reach_sql(32)}
+SELECT query_id, project_id, node FROM h2""")
+def temporal_neighborhood_capped(spark, sf_dir):
+    """For every customer the 32 nodes of its project that its heaviest edges lead to within two hops."""
+    c = M.table(spark, sf_dir, "customer")
+    seeds = c.select(F.col("c_custkey").alias("query_id"), F.col("c_nationkey").alias("project_id"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("node"))
+    live = temporal.weighted(_edges(spark, sf_dir), M.NOW_US, search.HALF_LIFE_HOURS, search.LEAST_RELEVANCE)
+    return graph.capped_reach(live.select("project_id", F.col("subject").alias("src"), F.col("object").alias("dst"), "weight"), seeds, 2, 32)
+
+
 # Hydration
 
 
@@ -116,7 +134,9 @@ def conversation_search(spark, sf_dir):
     graph_hits = search.hydrate_turns(_ranked_turns(spark, sf_dir), turns, 8, role="user").where("query_id < 3")
     dense = turns.withColumn("query_id", F.col("session_id").cast("long") % 7).where("query_id BETWEEN 2 AND 4").withColumn("score", F.lit(0.5))
     dense = dense.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("turn_index"), F.col("session_id").cast("long"))))
-    found = turns.where(F.contains(F.lower("content"), F.lit("the"))).withColumns({"score": F.lit(1.0), "place": F.row_number().over(Window.orderBy(F.col("session_id").cast("long"), "turn_index"))}).where("place <= 6")
+    order = [F.col("session_id").cast("long"), F.col("turn_index")]
+    found = turns.where(F.contains(F.lower("content"), F.lit("the"))).orderBy(*order).limit(6)  # so that the window has six rows
+    found = found.withColumns({"score": F.lit(1.0), "place": F.row_number().over(Window.orderBy(*order))})
     questions = spark.range(8).withColumnRenamed("id", "query_id")
     text = found.crossJoin(F.broadcast(questions))  # eight rows
     rows = search.conversation_tiers(graph_hits, dense, text, 6)

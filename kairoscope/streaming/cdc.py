@@ -4,48 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def latest(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last change of each key; ``op`` delete leaves a row with deleted = true."""
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return changes.withColumn("__r", r).where("__r = 1").drop("__r").withColumn("deleted", F.col("op") == "delete")
-
-
-def apply_changes(table: DataFrame | None, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The table after a batch of changes. Changes that it has seen, or older ones, alter nothing."""
-    rows = changes if table is None else table.drop("deleted").unionByName(changes)
-    return latest(rows, keys, order)
+from kairoscope.storage import keyed_table
+from kairoscope.storage.keyed_table import KeyedTable
 
 
 class ChangeSink:
-    """A foreachBatch function that folds change rows into a table of Parquet versions, ``path``/v<batch number>.
+    """A foreachBatch function that folds change rows (with ``op``) into a keyed table, of which each batch rewrites only what it touches.
 
-    A version counts once it is written whole, so a batch that is delivered again changes nothing, also
-    after a restart: table and progress are read from ``path``, not kept by the driver.
+    Table and progress are read from ``path``, not kept by the driver, so a batch that is delivered again changes
+    nothing, also after a restart. Every ``vacuum_after`` batches old versions are removed.
     """
 
-    def __init__(self, keys: list[str], order: str, path: str):
-        self.keys, self.order, self.path = keys, order, path.rstrip("/")
+    def __init__(self, keys: list[str], order: str, path: str, buckets: int = keyed_table.BUCKETS, horizon: int | None = None, vacuum_after: int = 100):
+        self.keys, self.order, self.path, self.buckets, self.horizon, self.vacuum_after = keys, order, path.rstrip("/"), buckets, horizon, vacuum_after
+
+    def stored(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.path, self.keys, self.order, self.buckets, self.horizon)
 
     def last(self, spark: SparkSession) -> int:
-        """The number of the last whole version; -1 before the first."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")) or []
-        return max([-1, *(int(f.getPath().getParent().getName()[1:]) for f in found)])
+        """The number of the last batch that is in the table; -1 before the first."""
+        return self.stored(spark).batch()
 
     def table(self, spark: SparkSession) -> DataFrame | None:
-        """The table as of the last version; none before the first."""
-        last = self.last(spark)
-        return None if last < 0 else spark.read.parquet(f"{self.path}/v{last}")
+        """All rows, deleted ones marked; none before the first batch."""
+        return self.stored(spark).rows()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number > self.last(spark):
-            apply_changes(self.table(spark), batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        stored = self.stored(batch.sparkSession)
+        if stored.merge(batch, number) and (number + 1) % self.vacuum_after == 0:
+            stored.vacuum()
 
 
 def distinct_changes(stream: DataFrame, scope: str, keys: list[str], payload: list[str], ts: str, keep: str) -> DataFrame:
