@@ -5,31 +5,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairoscope.operators.retrieval import small
+
+
+#: Stretches of time, in windows, that the rows of one key are dealt to.
+STRETCH = 64
+
+
+def _interval(micros: int) -> str:
+    return f"{micros // 1_000_000} seconds {micros % 1_000_000} microseconds"
+
 
 def latest_burst(events: DataFrame, key: str, ts: str, idle_seconds: float) -> DataFrame:
-    """Of each key the newest events whose gaps are at most ``idle_seconds``."""
-    newest = Window.partitionBy(key).orderBy(F.desc(ts), F.desc("event_id"))
-    gap = (F.lag(ts).over(newest).cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")) > idle_seconds
-    rows = events.withColumn("__gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    rows = rows.withColumn("__gaps", F.sum("__gap").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where("__gaps = 0").drop("__gap", "__gaps")
+    """Of each key the newest events whose gaps are at most ``idle_seconds``; events without a time are in none.
+
+    Session windows merge bursts in partial aggregates, so that a key's events need not meet in one sort.
+    """
+    longer = _interval(int(idle_seconds * 1e6) + 1)  # a gap of exactly the idle time still joins
+    bursts = events.groupBy(key, F.session_window(F.col(ts), longer).alias("__burst")).agg(F.count("*").alias("__n"))
+    # The count is used, as an aggregation without functions below another one is taken for redundant, windows or not.
+    last = small(bursts.groupBy(key).agg(F.max(F.struct(F.col("__burst.start").alias("start"), "__n")).alias("__last")).select(key, F.col("__last.start").alias("__start")))
+    return events.join(last, key).where(F.col(ts) >= F.col("__start")).drop("__start").select(*events.columns)
 
 
 def debounce(events: DataFrame, keys: list[str], ts: str, wait_seconds: float) -> DataFrame:
     """The events that are ``wait_seconds`` or more after the last accepted one of their key.
 
     A gap of that length makes the next event accepted whatever came before, so each key splits into
-    runs between such gaps, and runs are dealt out one by one: a hot key is one task's only while it
-    never pauses. A task reads its sorted runs as a stream and remembers one moment.
+    runs between such gaps. Session windows find the runs in partial aggregates; events are joined with them by
+    stretches of time, and runs are dealt out one by one: a hot key is one task's only while it never pauses.
+    A task reads its sorted runs as a stream and remembers one moment. Events without a time are not accepted.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, "event_id")
-    wait = int(wait_seconds * 1e6)
-    rows = events.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("__new", F.coalesce(F.col("__us") - F.lag("__us").over(order) >= wait, F.lit(True)).cast("int"))
-    rows = rows.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wait = max(1, int(wait_seconds * 1e6))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    stretch = STRETCH * wait
+    runs = events.groupBy(*keys, F.session_window(F.col(ts), _interval(wait)).alias("w")).agg(F.count("*").alias("n"))
+    runs = runs.select(*keys, micros("w.start").alias("__run"), (micros("w.end") - wait).alias("__last"))
+    place = lambda c: F.floor(F.col(c) / F.lit(stretch)).cast("long")
+    runs = runs.withColumn("__stretch", F.explode(F.sequence(place("__run"), place("__last"))))
+    rows = events.withColumn("__us", micros(ts)).withColumn("__stretch", place("__us"))
+    rows = rows.join(runs, [*keys, "__stretch"]).where("__us BETWEEN __run AND __last").select(*events.columns, "__us", "__run")
     rows = rows.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", "__us", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,14 +60,28 @@ def debounce(events: DataFrame, keys: list[str], ts: str, wait_seconds: float) -
                 keep.append(ok)
             yield batch[keep]
 
-    return rows.mapInPandas(run, rows.schema).drop("__us", "__new", "__run")
+    return rows.mapInPandas(run, rows.schema).drop("__us", "__run")
+
+
+def _in_stretches(events: DataFrame, key: str, ts: str, seconds: int, sums: dict[str, Column]) -> DataFrame:
+    """``events`` with windowed ``sums`` over the events of their key in the seconds up to and with them.
+
+    A key's events are dealt to stretches of time; those whose window reaches into the stretch after theirs are
+    copied to it, to be counted and left out.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    reach, stretch = seconds * 1_000_000, STRETCH * seconds * 1_000_000
+    own = F.floor(us / F.lit(stretch)).cast("long")
+    both = F.array(F.struct(own.alias("at"), F.lit(True).alias("own")), F.struct((own + 1).alias("at"), F.lit(False).alias("own")))
+    near = F.when(us + reach >= (own + 1) * stretch, both).otherwise(F.slice(both, 1, 1))
+    rows = events.withColumn("__us", us).withColumn("__p", F.explode(near))
+    window = Window.partitionBy(key, "__p.at").orderBy("__us").rangeBetween(-reach, 0)
+    return rows.withColumns({name: of.over(window) for name, of in sums.items()}).where("__p.own").drop("__us", "__p")
 
 
 def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """``events`` with the number of events of their key in the seconds up to and with them."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("calls", F.count("*").over(window))
+    return _in_stretches(events, key, ts, seconds, {"calls": F.count("*")})
 
 
 def trailing_debounce(events: DataFrame, keys: list[str], ts: str, gap: str, event_id: str) -> DataFrame:
@@ -63,9 +95,8 @@ def trailing_debounce(events: DataFrame, keys: list[str], ts: str, gap: str, eve
 
 def quota(events: DataFrame, key: str, ts: str, tokens: str, seconds: int, most_requests: int, most_tokens: float) -> DataFrame:
     """``events`` with the requests and tokens of their key in the seconds up to and with them, and whether both stay within the quota."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(us).rangeBetween(-seconds * 1_000_000, 0)
-    rows = events.withColumns({"requests": F.count("*").over(window), "tokens": F.round(F.sum(tokens).over(window), 6)})
+    rows = _in_stretches(events, key, ts, seconds, {"requests": F.count("*"), "__tokens": F.sum(tokens)})
+    rows = rows.withColumn("tokens", F.round("__tokens", 6)).drop("__tokens")
     return rows.withColumn("admitted", (F.col("requests") <= most_requests) & (F.col("tokens") <= most_tokens))
 
 

@@ -65,15 +65,16 @@ def contradiction_counts(edges: DataFrame, bucket_us: int = BUCKET_US) -> DataFr
     The intervals that meet one are those that start by its end less those that end before its start;
     both come from running counts over the sorted ends, for all edges of the group and for those of
     the same object. A count runs within a stretch of time; what came before it is added from the
-    counts of whole stretches, so that a large group is many tasks.
+    counts of whole stretches, so that a large group is many tasks. Open ends are in no stretch.
     """
     edges = materialise(edges, "edges")  # read by every count, made once
 
     def meeting(keys: list[str]) -> DataFrame:
         k = [F.col(c) for c in keys]
         starts = edges.select(*k, F.col("valid_from").alias("t"), F.lit(0).alias("o"), F.lit(1).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("id"))
-        ends = edges.select(*k, F.coalesce("valid_to", F.lit(I.FOREVER)), F.lit(2), F.lit(0), F.lit(1), F.lit(None).cast("long"))
-        ask_end = edges.select(*k, F.coalesce("valid_to", F.lit(I.FOREVER)), F.lit(1), F.lit(0), F.lit(0), F.col("edge_id"))
+        closed = edges.where("valid_to IS NOT NULL")
+        ends = closed.select(*k, "valid_to", F.lit(2), F.lit(0), F.lit(1), F.lit(None).cast("long"))
+        ask_end = closed.select(*k, "valid_to", F.lit(1), F.lit(0), F.lit(0), F.col("edge_id"))
         ask_start = edges.select(*k, F.col("valid_from"), F.lit(-1), F.lit(0), F.lit(0), F.col("edge_id"))
         rows = starts.union(ends).union(ask_end).union(ask_start).withColumn("bucket", F.floor(F.col("t") / bucket_us).cast("long"))
         ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,6 +84,11 @@ def contradiction_counts(edges: DataFrame, bucket_us: int = BUCKET_US) -> DataFr
         same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*keys, "bucket")]
         counted = rows.select("*", F.sum("s").over(run).alias("begun"), F.sum("e").over(run).alias("over")).where("id IS NOT NULL")
         counted = counted.alias("r").join(whole.alias("w"), same).select("id", "o", (F.col("begun") + F.col("s_before")).alias("begun"), (F.col("over") + F.col("e_before")).alias("over"))
+        # By an open end everything has begun.
+        totals = edges.groupBy(*keys).agg(F.count("*").alias("begun"))
+        alike = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in keys]
+        open_ = edges.where("valid_to IS NULL").alias("r").join(totals.alias("w"), alike).select(F.col("edge_id").alias("id"), F.lit(1).alias("o"), "begun", F.lit(0).cast("long").alias("over"))
+        counted = counted.union(open_)
         return counted.groupBy("id").agg((F.max(F.when(F.col("o") == 1, F.col("begun"))) - F.max(F.when(F.col("o") == -1, F.col("over")))).alias("n"))
 
     all_ = meeting(FAMILY[:3]).withColumnRenamed("n", "n_all")
@@ -128,17 +134,22 @@ def mdl_prune(edges: DataFrame, observations: DataFrame) -> DataFrame:
     rounds = stats.groupBy(*FAMILY[:3]).agg(F.count("*").alias("rounds"))
     rows = edges.join(rounds, FAMILY[:3], "left").withColumns({"rounds": F.coalesce("rounds", F.lit(0)), "archived": F.lit(False)})
     rows = materialise(rows, "prune")
+    settled, rows = [rows.where("rounds = 0")], rows.where("rounds > 0")  # groups whose rounds are over are not written again
     end = F.coalesce("valid_to", F.lit(I.FOREVER))
     for n in range(1, (rows.agg(F.max("rounds")).first()[0] or 0) + 1):
         order = F.struct((-F.col("support") * F.col("confidence") * F.col("relevance")).alias("w"), "object", "valid_from", end.alias("end"))
-        live = (F.col("rounds") >= n) & ~F.col("archived")
-        tops = rows.where(live).groupBy(*FAMILY[:3]).agg(F.min(order).alias("top"), F.count("*").alias("live")).where("live > 1").drop("live")
-        hit = live & F.col("top").isNotNull() & ((F.col("object") != F.col("top.object")) | (F.col("valid_from") != F.col("top.valid_from")) | (end != F.col("top.end")))
+        tops = rows.where(~F.col("archived")).groupBy(*FAMILY[:3]).agg(F.min(order).alias("top"), F.count("*").alias("live")).where("live > 1").drop("live")
+        hit = ~F.col("archived") & F.col("top").isNotNull() & ((F.col("object") != F.col("top.object")) | (F.col("valid_from") != F.col("top.valid_from")) | (end != F.col("top.end")))
         half = F.when(hit, F.col("relevance") * 0.5).otherwise(F.col("relevance"))
         rows = rows.join(tops, FAMILY[:3], "left").withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("relevance", half)
         gone = F.col("archived") | (F.col("hit") & ((F.col("relevance") < PRUNE_RELEVANCE) | (F.col("contradictions") > 0)))
         rows = materialise(rows.withColumn("archived", gone).drop("top", "hit"), "prune")
-    return rows.select(*EDGE, "relevance", "archived")
+        settled.append(rows.where(F.col("rounds") == n))
+        rows = rows.where(F.col("rounds") > n)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.select(*EDGE, "relevance", "archived")
 
 
 def weighted(edges: DataFrame, at_us: int, half_life_hours: float, least_relevance: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.functions import text as T
+from kairoscope.session import materialise
 
 #: The character between the fields of an exported commit.
 FIELD = "\x1f"
@@ -41,17 +42,58 @@ def commits(rows: DataFrame, text: str = "value") -> DataFrame:
     return rows.select(p[0].alias("sha"), parents.alias("parents"), p[2].alias("author"), F.lower(p[3]).alias("email"), F.try_to_timestamp(p[4]).alias("time"), message["subject"].alias("subject"), message["body"].alias("body"), (F.size(parents) > 1).alias("is_merge"))
 
 
+class History:
+    """Ancestors in a table of commits (sha, parents), without a round for each generation.
+
+    ``jumps[k]`` names of each commit the one 2**k first parents behind it. What is reached from some commits by first
+    parents alone follows from one join with each of them, whatever the depth; further parents of what was reached
+    begin the next pass, so that there are as many passes as side branches lie inside one another.
+    """
+
+    def __init__(self, commits: DataFrame):
+        self.edges = materialise(commits.select("sha", F.posexplode("parents").alias("place", "parent")), "parents")
+        step = self.edges.where("place = 0").select("sha", F.col("parent").alias("to"))
+        self.jumps = [materialise(step, "jumps")]
+        while True:
+            last = self.jumps[-1]
+            twice = materialise(last.join(last.select(F.col("sha").alias("to"), F.col("to").alias("next")), "to").select("sha", F.col("next").alias("to")), "jumps")
+            if not twice.take(1):
+                break
+            self.jumps.append(twice)
+
+    def ancestors(self, commits: DataFrame) -> DataFrame:
+        """sha of the given commits and all before them; parents that are not in the table too."""
+        found = new = materialise(commits.select("sha").distinct(), "ancestors")
+        while new.take(1):
+            for n, jump in enumerate(self.jumps):
+                further = new.join(jump, "sha").select(F.col("to").alias("sha"))
+                new = new.union(further).distinct()
+                if n % 6 == 5:
+                    new = materialise(new, "ancestors")
+            found = materialise(found.union(new).distinct(), "ancestors")
+            new = materialise(self.edges.where("place > 0").join(new, "sha", "left_semi").select(F.col("parent").alias("sha")).distinct().join(found, "sha", "left_anti"), "ancestors")
+        return found
+
+
 def commits_since(all_: DataFrame, checkpoint: DataFrame | None) -> DataFrame:
     """Commits that are no ancestor of the checkpoint (column sha); all if there is none or it is unknown."""
-    from kairoscope.session import materialise
-
     if checkpoint is None:
         return all_
-    known = materialise(all_.join(checkpoint, "sha", "left_semi").select("sha"), "known")
-    frontier = known
-    edges = all_.select("sha", F.explode("parents").alias("parent"))
-    while frontier.limit(1).count():
-        frontier = edges.join(frontier, "sha").select(F.col("parent").alias("sha")).distinct().join(known, "sha", "left_anti")
-        frontier = materialise(frontier, "ancestors")
-        known = materialise(known.union(frontier), "known")
-    return all_.join(known, "sha", "left_anti")
+    known = all_.select("sha").join(checkpoint.select("sha"), "sha", "left_semi")
+    return all_.join(History(all_).ancestors(known), "sha", "left_anti")
+
+
+def commit_range(all_: DataFrame, head: str | None, checkpoint: str | None) -> tuple[DataFrame, bool]:
+    """The commits that lead to ``head`` and not to ``checkpoint``, and whether the checkpoint was not valid.
+
+    A checkpoint that is no commit, or no ancestor of the head, leaves all that leads to the head. Without a head nothing.
+    """
+    if head is None:
+        return all_.limit(0), False
+    history = History(all_)
+    reached = history.ancestors(all_.where(F.col("sha") == head).select("sha"))
+    if checkpoint is not None:
+        last = reached.where(F.col("sha") == checkpoint)
+        if last.take(1):
+            return all_.join(reached, "sha", "left_semi").join(history.ancestors(last), "sha", "left_anti"), False
+    return all_.join(reached, "sha", "left_semi"), checkpoint is not None
