@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kairoscope.operators import paths, retrieval
+from kairoscope.operators import paths, retrieval, temporal
 from kairoscope.plans import mapping as M
 from kairoscope.plans.catalog import query
 from kairoscope.plans.registry import ASKED_SQL, BM25_SQL
 from kairoscope.session import materialise, scratch_path
 from kairoscope.sources import git_log
-from kairoscope.storage import keyed_table, snapshot, text_index, vector_index
+from kairoscope.storage import keyed_table, ledger, maintenance, snapshot, text_index, vector_index
 
 # Vector index
 
@@ -148,3 +148,21 @@ def commit_range(spark, sf_dir):
     lost = e.where("i % 100 = 50").select(F.concat(F.lit("d"), F.col("i").cast("string")).alias("sha"), F.array(name(F.col("i"))).alias("parents"))
     head = e.agg(F.max("i")).first()[0]
     return git_log.commit_range(e.select(name(F.col("i")).alias("sha"), before.alias("parents")).union(lost), f"c{head}", f"c{head // 40 * 30}")[0].select("sha")
+
+
+# Maintenance
+
+
+@query(f"""WITH {M.COARSE_SQL}, {M.EDGES_SQL}, d AS (SELECT *, least(1, greatest(0, relevance * pow(2, -greatest(({M.NOW_US} - last_seen) / 3.6e9, 0) / 168))) AS new FROM e)
+SELECT project_id, subject, predicate, object, valid_from, coalesce(valid_to, -1) AS valid_to, round(CASE WHEN abs(new - relevance) < 1e-6 THEN relevance ELSE new END, 9) AS relevance, coalesce(valid_to < {M.NOW_US}, false) AS archived FROM d""")
+def maintenance_state(spark, sf_dir):
+    """Edges after a night's decay and archiving, which two drivers ask for and one does."""
+    path = scratch_path(spark, "maintained")
+    edges = temporal.upsert_edges(M.coarse_observations(spark, sf_dir)).withColumns({"seq": F.lit(0).cast("long"), "op": F.lit("insert")})
+    maintenance.edge_tables(spark, f"{path}/tables", 4).merge({"edges": edges}, 0)
+    for _ in range(2):
+        tables, jobs = maintenance.edge_tables(spark, f"{path}/tables", 4), ledger.JobLedger(spark, f"{path}/jobs")
+        jobs.run_due(maintenance.jobs(tables, M.NOW_US, kinds=maintenance.JOBS[:2]), M.NOW_US)
+    found = tables.snapshot()
+    both = found["edges"].select(*temporal.EDGE, "relevance", F.lit(False).alias("archived")).union(found["archive"].select(*temporal.EDGE, "relevance", F.lit(True)))
+    return both.select(*temporal.EDGE[:5], F.coalesce("valid_to", F.lit(-1)).alias("valid_to"), F.round("relevance", 9).alias("relevance"), "archived")

@@ -20,10 +20,13 @@ class TableSet:
         self.manifest = Manifest(spark, path)
         self.tables = {name: KeyedTable(spark, f"{path.rstrip('/')}/{name}", own, order, buckets) for name, own in keys.items()}
 
+    def batch(self) -> int:
+        """The number of the last batch that the set has; -1 before the first."""
+        return (self.manifest.state() or {"batch": -1})["batch"]
+
     def merge(self, changes: dict[str, DataFrame], batch: int) -> bool:
         """Folds changes (with ``op``) into the named tables; false where the batch is in the set already."""
-        state = self.manifest.state()
-        if state is not None and batch <= state["batch"]:
+        if batch <= self.batch():
             return False
         for name, rows in changes.items():
             self.tables[name].merge(rows, batch)
