@@ -21,6 +21,12 @@ def micros_of_text(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(text))
 
 
+def micros_of_text_strict(text: Column) -> Column:
+    """Microseconds of ISO text, null for null; an error for any other text."""
+    us = micros_of_text(text)
+    return F.when(text.isNull() | us.isNotNull(), us).otherwise(F.raise_error(F.concat(F.lit("no ISO time: "), text)).cast("long"))
+
+
 def iso_of_micros(us: Column) -> Column:
     return F.date_format(F.timestamp_millis(F.floor(us / 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

@@ -15,7 +15,7 @@ from kairoscope.streaming import turns
 
 def queries() -> dict[str, Query]:
     """All registered queries; those of the other modules of this package too."""
-    from kairoscope.plans import code, records, search, store, stored  # noqa: F401  they register on import
+    from kairoscope.plans import code, lookups, records, search, store, stored  # noqa: F401  they register on import
 
     return dict(QUERIES)
 

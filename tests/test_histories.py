@@ -123,3 +123,59 @@ def test_counts_with_open_ends(spark):
     end = lambda x: 1 << 62 if x[5] is None else x[5]
     for x in set(rows):
         assert got[x] == sum(y[:3] == x[:3] and y[3] != x[3] and y[4] <= end(x) and x[4] <= end(y) for y in set(rows))
+
+
+def test_watched_tree_ends_as_a_whole_parse(spark, tmp_path):
+    import os
+
+    from kairoscope.sources import code, files
+    from kairoscope.streaming.watch import Watcher
+
+    root = tmp_path / "tree"
+    (root / "pkg" / "node_modules").mkdir(parents=True)
+    write = lambda name, text, at: ((root / name).write_text(text), os.utime(root / name, (at, at)))
+    write("a.py", "def one():\n    two()\n\ndef two():\n    pass\n", 1_000)
+    write("pkg/b.js", "function three() { four(); }\n", 1_000)
+    write("pkg/node_modules/c.js", "function hidden() {}\n", 1_000)
+    write("notes.txt", "no code", 1_000)
+
+    def same(watcher):
+        whole = code.parse_files(files.scan(spark, str(root), "r", [".py", ".js"]))
+        stored = watcher.tables.snapshot()["items"].select(*whole.columns)
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, whole.collect()))
+
+    watch = lambda: Watcher(spark, str(tmp_path / "state"), str(root), "r")
+    poll = lambda at: {(x.path, x.change) for x in watch().poll(at * 1_000_000).collect()}
+    assert poll(1_000) == set()  # written just now
+    assert poll(2_000) == {("a.py", "added"), ("pkg/b.js", "added")}
+    same(watch())
+    assert poll(2_001) == set()
+    write("a.py", "def two():\n    return 1\n", 2_010)
+    write("new.py", "class C:\n    def m(self):\n        pass\n", 2_010)
+    (root / "pkg" / "b.js").unlink()
+    assert poll(2_010) == {("pkg/b.js", "deleted")}  # the others wait
+    assert poll(2_020) == {("a.py", "changed"), ("new.py", "added")}
+    same(watch())
+    query = watch().follow(lambda: 9_000 * 1_000_000)
+    try:
+        write("late.py", "def late():\n    pass\n", 3_000)
+        for _ in range(60):
+            if any(x.path == "late.py" for x in watch().tables.snapshot()["files"].collect()):
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    same(watch())
+
+
+def test_lookups(spark):
+    from kairoscope.functions import interval
+    from kairoscope.operators import lookups
+
+    nodes = spark.createDataFrame([("r", ["A", "B"], {"x": "1"}), ("r", ["A"], {"x": "1"}), ("s", ["A", "B"], {"x": "1"}), ("r", ["A", "B"], {}), ("r", None, None)], "repo_id string, labels array<string>, properties map<string,string>")
+    assert lookups.label_scan(nodes, ["A", "B"], {"x": 1}, "r").count() == 1 and lookups.label_scan(nodes, []).count() == 5
+    assert lookups.scoped(nodes, ["s"]).count() == 1 and lookups.scoped(nodes, None).count() == 5
+    times = spark.createDataFrame([("2024-01-02T03:04:05.000006Z",), (None,), ("1970-01-01T00:00:00",)], "t string")
+    assert [x[0] for x in times.select(interval.micros_of_text_strict(F.col("t"))).collect()] == [1_704_164_645_000_006, None, 0]
+    with pytest.raises(Exception, match="no ISO time"):
+        spark.createDataFrame([("yesterday",)], "t string").select(interval.micros_of_text_strict(F.col("t"))).collect()
