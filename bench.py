@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from kairoscope.plans import registry  # noqa: E402
 from kairoscope.session import get_session  # noqa: E402
 
-HEADLINE = ["hybrid_rrf", "lexical_bm25_topk", "temporal_edge_upsert", "contradiction_counts", "edge_stats_mdl", "transition_weights", "archive_expired", "turn_ingest_final_state", "chunk_windows", "burst_latest", "rate_limit_counts", "commit_context", "symbol_resolution", "memory_graph_read"]
+HEADLINE = ["hybrid_rrf", "lexical_bm25_topk", "temporal_edge_upsert", "contradiction_counts", "edge_stats_mdl", "transition_weights", "archive_expired", "turn_ingest_final_state", "chunk_windows", "burst_latest", "rate_limit_counts", "commit_context", "symbol_resolution", "memory_graph_read", "temporal_retrieve", "research_search", "report_ingest", "vector_index_exact", "text_index_topk"]
 
 
 def main() -> None:
@@ -22,6 +22,7 @@ def main() -> None:
     spark = get_session("bench", f"local[{cpus}]", cpus)
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
+    registry.queries()  # those of all modules
     seconds = {}
     for name in HEADLINE:
         began = time.perf_counter()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions import ids
 from kairoscope.functions import text as T
+from kairoscope.operators import writes
 
 EMBEDDED_ROLES = ("user", "assistant")
 
@@ -50,3 +51,28 @@ def rejected(turns: DataFrame) -> DataFrame:
         .when(F.col("turn_index").isNull() | (F.col("turn_index") < 0), "turn_index is invalid")
     )
     return turns.withColumn("reject_reason", reason)
+
+
+def turn_links(turns: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """type, source, target, place and what writes.temporal_links() keeps: each session has its turns in their order, and each turn is part of its session.
+
+    ``turns``: session_id, turn_index, seq, valid_from, confidence. A turn is known by the hash of its session and index;
+    place is null for the way back. ``existing`` is an earlier result.
+    """
+    turn = F.sha2(F.concat_ws(":", "session_id", F.col("turn_index").cast("string")).cast("binary"), 256)
+    same = ["seq", "valid_from", "confidence"]
+    there = turns.select(F.lit("HAS_TURN").alias("type"), F.col("session_id").alias("source"), turn.alias("target"), F.col("turn_index").alias("place"), *same)
+    back = turns.select(F.lit("PART_OF").alias("type"), turn.alias("source"), F.col("session_id").alias("target"), F.lit(None).cast("int").alias("place"), *same)
+    return writes.temporal_links(there.union(back), ["type", "source", "target", "place"], existing=existing)
+
+
+def shadow_claims(turns: DataFrame, predicate: str = "MENTIONS", excerpt: int = 500) -> DataFrame:
+    """The claims that a turn's entities (an array of structs of name and type) make of it: subject, object, interval, and the turn as evidence.
+
+    ``turns``: project_id, session_id, turn_index, content, captured_us, entities. Entities without a name and turns
+    without a time make none: a shadow never stops the write that it follows.
+    """
+    each = turns.select("project_id", F.concat_ws(":", "session_id", F.col("turn_index").cast("string")).alias("turn"), "content", "captured_us", F.explode("entities").alias("e"))
+    each = each.where(F.col("captured_us").isNotNull() & (F.trim("e.name") != ""))
+    kind = F.lit("conversation_turn")
+    return each.select("project_id", kind.alias("subject_kind"), F.col("turn").alias("subject"), F.lit(predicate).alias("predicate"), F.coalesce("e.type", F.lit("unknown")).alias("object_kind"), F.col("e.name").alias("object"), F.col("captured_us").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.lit(1.0).alias("confidence"), kind.alias("source_kind"), F.col("turn").alias("source_id"), F.substring("content", 1, excerpt).alias("excerpt"))

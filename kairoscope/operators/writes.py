@@ -26,9 +26,11 @@ def upsert(deliveries: DataFrame, keys: list[str], latest: list[str] | None = No
     if existing is not None:
         rows = existing.unionByName(rows, allowMissingColumns=True)
     fixed = [c for c in rows.columns if c not in (*keys, *latest, "last_seq")]
-    found = [F.min_by(F.struct(*fixed), F.col("seq")).alias("first"), F.max("last_seq").alias("last_seq")]
+    # Of deliveries with one seq, content decides, so that ties have one result.
+    at = lambda seq, columns: F.when(F.col(seq).isNotNull(), F.struct(seq, F.xxhash64(*columns)))
+    found = [F.min_by(F.struct(*fixed), at("seq", fixed)).alias("first"), F.max("last_seq").alias("last_seq")]
     if latest:
-        found.append(F.max_by(F.struct(*latest), F.col("last_seq")).alias("last"))
+        found.append(F.max_by(F.struct(*latest), at("last_seq", latest)).alias("last"))
     out = rows.groupBy(*keys).agg(*found)
     return out.select(*keys, "first.*", *(["last.*"] if latest else []), "last_seq")
 

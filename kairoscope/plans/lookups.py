@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairoscope.functions import interval
-from kairoscope.operators import lookups
+from kairoscope.operators import conversation, lookups
 from kairoscope.plans import mapping as M
 from kairoscope.plans.catalog import query
 from kairoscope.plans.registry import _EACH, BM25_SQL
@@ -69,3 +69,26 @@ def file_parts(spark, sf_dir):
     rows = lambda df, path, name: df.select(F.lit("r").alias("repo_id"), path.alias("path"), name.alias("name"))
     found = lookups.file_parts(rows(p, F.col("p_brand"), F.col("p_name")), rows(p.where("p_size > 10"), F.col("p_brand"), F.col("p_type")), rows(s, F.concat(F.lit("Brand#"), F.col("s_nationkey").cast("string")), F.col("s_suppkey").cast("string")))
     return found.select("path", *[F.array_join(c, ",").alias(c) for c in ("functions", "classes", "imports")])
+
+
+# Turns
+
+
+@query(f"""WITH {M.DELIVERIES_SQL}, k AS (SELECT session_id, sha256(session_id || ':' || turn_index) AS turn, turn_index, min(ingested_at) AS valid_from, count(*) AS support, max(CASE ingested_at WHEN 2 THEN 0.9 ELSE 0.8 END)::DOUBLE AS confidence FROM d GROUP BY session_id, turn_index)
+SELECT 'HAS_TURN' AS type, session_id AS source, turn AS target, turn_index AS place, valid_from, support, confidence FROM k UNION ALL SELECT 'PART_OF', turn, session_id, -1, valid_from, support, confidence FROM k""")
+def turn_links(spark, sf_dir):
+    """Turns that are delivered twice, the second time with more confidence."""
+    d = M.deliveries(spark, sf_dir)
+    rows = d.select("session_id", "turn_index", F.col("ingested_at").alias("seq"), F.col("ingested_at").alias("valid_from"), F.when(F.col("ingested_at") == 2, 0.9).otherwise(0.8).alias("confidence"))
+    first = conversation.turn_links(rows.where("seq = 1"))
+    out = conversation.turn_links(rows.where("seq = 2"), first)
+    return out.select("type", "source", "target", F.coalesce("place", F.lit(-1)).alias("place"), "valid_from", "support", "confidence")
+
+
+@query(f"WITH {M.TURNS_SQL}, x AS (SELECT *, unnest(list_filter(string_split(content, ' ')[1:3], lambda n: n <> '')) AS name FROM t) SELECT project_id, session_id || ':' || turn_index AS subject, 'MENTIONS' AS predicate, name AS object, count(*) AS n, min(length(content[1:500]))::INT AS excerpt FROM x GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY project_id, session_id, turn_index, name"))
+def shadow_claims(spark, sf_dir):
+    """Every turn mentions its first three words."""
+    t = M.turns(spark, sf_dir)
+    names = F.transform(F.slice(F.split("content", " "), 1, 3), lambda n: F.struct(n.alias("name"), F.lit("word").alias("type")))
+    rows = conversation.shadow_claims(t.select("project_id", "session_id", "turn_index", "content", F.col("ingested_at").alias("captured_us"), names.alias("entities")))
+    return rows.groupBy("project_id", "subject", "predicate", "object").agg(F.count("*").alias("n"), F.min(F.length("excerpt")).alias("excerpt"))

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.sources.script import parse_script
+
 ITEM = "array<struct<kind string, name string, qualified_name string, parent string, line int, column int, calls array<string>>>"
-_SCRIPT_IMPORT = re.compile(r"""(?:import\s+(?:[^'"]*?\s+from\s+)?|export\s+[^'"]*?\s+from\s+|require\(\s*|import\(\s*)['"]([^'"]+)['"]""")
-_SCRIPT_FUNCTION = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)|^[ \t]*(?:export\s+)?const\s+(\w+)(?:\s*:[^=\n]+)?\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=\n]+)?=>", re.M)
-_SCRIPT_CLASS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", re.M)
 
 
 def _calls(node: ast.AST) -> list[str]:
@@ -60,20 +58,6 @@ def parse_python(content: str) -> list[tuple]:
     return rows
 
 
-def parse_script(content: str) -> list[tuple]:
-    """As parse_python(), for JavaScript and TypeScript, by patterns."""
-    line = lambda at: content.count("\n", 0, at) + 1
-    rows = [("import", m[1], m[1], "", line(m.start()), 0, []) for m in _SCRIPT_IMPORT.finditer(content)]
-    rows += [("class", m[1], m[1], "", line(m.start(1)), 0, []) for m in _SCRIPT_CLASS.finditer(content)]
-    heads = list(_SCRIPT_FUNCTION.finditer(content))
-    for m, after in zip(heads, [*heads[1:], None], strict=True):
-        name = m[1] or m[2]
-        body = content[m.end() : after.start() if after else len(content)]
-        calls = list(dict.fromkeys(c for c in re.findall(r"\b(\w+)\s*\(", body) if c not in ("if", "for", "while", "switch", "catch", "return", "function", name)))
-        rows.append(("function", name, name, "", line(m.start(1) if m[1] else m.start(2)), 0, calls))
-    return rows
-
-
 def parse_files(files: DataFrame) -> DataFrame:
     """repo_id, path and an item a row for (repo_id, path, content)."""
 
