@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
-from kairoscope.llm.joins import salted_join
+from kairoscope.llm.joins import release_shuffles, salted_join
 from kairoscope.llm.postings import answers_in_order, count_tokens, group_column, group_tokens, id_rows, release, sizes
 from kairoscope.llm.set_links import entry_links
 from kairoscope.llm.shingles import mix, shingle_set
@@ -174,10 +174,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = rows.withColumn("group", group_column(F.col("doc"), groups))
     counted = count_tokens(dealt, shingle_set, buckets)
     found = materialise(_candidates(dealt, counted, heads.withColumn("group", group), percent), "candidates")
+    release_shuffles(docs.sparkSession)
     sets = found.select("doc", "n", "tokens")
     entries = found.select("doc", "n", F.size("tokens").alias("s"), F.explode("entries").alias("entry"))
     often = entries.groupBy("entry").agg(F.count("*").alias("members")).where("members > 1").select("entry")
     indexed = materialise(entries.join(often, "entry"), "entries")
+    release_shuffles(docs.sparkSession)
     indexed = indexed.withColumn("central", F.col("s") / F.col("n"))  # the least of it is unshared
     return members, heads.select("node", "head"), entry_links(indexed, sets, percent)
 

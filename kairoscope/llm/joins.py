@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairoscope.session import materialise
@@ -14,6 +16,13 @@ HOT_KEY_ROWS, MOST_BLOCKS = 100_000, 1024
 SALT, PARTS = "__salt", "__parts"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the driver collect plans that nothing refers to any more; the files of their shuffles go with them, not when its memory is short."""
+    spark.range(1).count()  # the last plan that ran is still referred to
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_bytes(rows: DataFrame) -> int:
     """About the bytes of a row: fixed sizes, and 64 for each string, list or struct."""
     return sum({"bigint": 8, "int": 4, "double": 8, "boolean": 1}.get(f.dataType.simpleString(), 64) for f in rows.schema.fields)

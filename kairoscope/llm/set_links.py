@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm.components import connected_components
-from kairoscope.llm.joins import blocks_of, copied, dealt, small
+from kairoscope.llm.joins import blocks_of, copied, dealt, release_shuffles, small
 from kairoscope.session import materialise
 
 #: Pairs of one document, and open rows of one entry, beyond which they are dealt to several tasks.
@@ -65,6 +65,7 @@ def entry_links(indexed: DataFrame, sets: DataFrame, percent: int, likely: Calla
     stars = stars.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     stars = materialise(overlaps(materialise(stars, "stars"), sets), "overlaps")
     links = materialise(stars.where(is_link(percent)).select("a", "b"), "links")
+    release_shuffles(indexed.sparkSession)
     # Only entries that still hold several components have more to tell, and of them only pairs that their
     # overlaps with a common centre do not rule out.
     fans = stars.groupBy("a").agg(F.count("*").alias("fans"))
