@@ -2,7 +2,9 @@
 
 import random
 
-from kairoscope.operators import temporal
+from pyspark.sql import functions as F
+
+from kairoscope.operators import code_store, temporal
 
 
 def test_rivals_of_open_edges_far_apart(spark):
@@ -15,3 +17,14 @@ def test_rivals_of_open_edges_far_apart(spark):
     for most, width in ((100, 1), (5, 10**11)):
         got = {(int(x.subject), x.object, x.valid_from, x.valid_to): (x.rivals, x.first_rival and tuple(x.first_rival)) for x in temporal.rivals(edges, width, most).collect()}
         assert got == {e: (len(met(*e)), (met(*e) or [None])[0]) for e in spans}
+
+
+def test_trace_context_counts(spark):
+    """Counts are the lengths of the lists, signatures of several files too."""
+    r = random.Random(2)
+    functions = spark.createDataFrame([("r", f"f{r.randrange(5)}", f"s{r.randrange(30)}") for _ in range(60)], "repo_id string, path string, signature string").distinct()
+    classes = spark.createDataFrame([("r", "f0", "A"), ("r", "f1", "B"), ("r", "f9", "C")], "repo_id string, path string, name string")
+    imports = spark.createDataFrame([("r", f"f{r.randrange(5)}", f"f{r.randrange(7)}") for _ in range(8)], "repo_id string, path string, target string")
+    lists = {tuple(x) for x in code_store.trace_context(functions, classes, imports).select("path", "signature", "imports", "imported_by", "classes", F.size("siblings"), F.size("candidates")).toPandas().map(lambda c: tuple(c) if hasattr(c, "__len__") and not isinstance(c, str) else c).itertuples(index=False)}
+    counts = {tuple(x) for x in code_store.trace_context(functions, classes, imports, counted=True).select("path", "signature", "imports", "imported_by", "classes", "siblings", "candidates").toPandas().map(lambda c: tuple(c) if hasattr(c, "__len__") and not isinstance(c, str) else c).itertuples(index=False)}
+    assert lists == counts and len(lists) == functions.count()
