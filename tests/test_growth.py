@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kairoscope.operators import code_store, temporal
+from kairoscope.plans import registry
 
 
 def test_rivals_of_open_edges_far_apart(spark):
@@ -28,3 +29,12 @@ def test_trace_context_counts(spark):
     lists = {tuple(x) for x in code_store.trace_context(functions, classes, imports).select("path", "signature", "imports", "imported_by", "classes", F.size("siblings"), F.size("candidates")).toPandas().map(lambda c: tuple(c) if hasattr(c, "__len__") and not isinstance(c, str) else c).itertuples(index=False)}
     counts = {tuple(x) for x in code_store.trace_context(functions, classes, imports, counted=True).select("path", "signature", "imports", "imported_by", "classes", "siblings", "candidates").toPandas().map(lambda c: tuple(c) if hasattr(c, "__len__") and not isinstance(c, str) else c).itertuples(index=False)}
     assert lists == counts and len(lists) == functions.count()
+
+
+def test_retrieval_around_a_customer_of_many_parts(spark, tmp_path):
+    """The query expands to every node: each of a hundred equal edges has a hundredth of its subject's weight; with a budget of 60 nodes it would have more."""
+    spark.sql("SELECT 7L AS c_custkey, 0 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, 7L AS o_custkey, 'O' AS o_orderstatus, timestamp'1999-12-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, id AS l_partkey, 0.5D AS l_discount, timestamp'2000-01-02 00:00:00' AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = registry.queries()["temporal_retrieve"](spark, str(tmp_path)).collect()
+    assert [x.score for x in rows] == [0.0015] * 10
