@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kairoscope.operators import code_store, temporal
+from kairoscope.operators import code_store, retrieval, temporal
 from kairoscope.plans import registry
 
 
@@ -38,3 +40,24 @@ def test_retrieval_around_a_customer_of_many_parts(spark, tmp_path):
     spark.sql("SELECT 1L AS l_orderkey, id AS l_partkey, 0.5D AS l_discount, timestamp'2000-01-02 00:00:00' AS l_shipdate FROM range(100)").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = registry.queries()["temporal_retrieve"](spark, str(tmp_path)).collect()
     assert [x.score for x in rows] == [0.0015] * 10
+
+
+def test_nearest_holds_arrays_of_the_best(monkeypatch):
+    """A task holds k results a question, whatever it reads; ties end at the key, also over parts and for texts."""
+    monkeypatch.setattr(retrieval, "AT_ONCE", (3, 16))
+    r = np.random.default_rng(4)
+    rows = r.integers(-2, 3, (200, 3)).astype(np.float64)
+    rows[~rows.any(axis=1)] = 1
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for keys in (r.permutation(200), np.array([f"k{i:03}" for i in r.permutation(200)], object)):
+        asked = retrieval._by_length(pa.array(np.arange(8)), pa.array(rows[:8].tolist()))
+        nearest = retrieval._Nearest(asked, 5)
+        for a in range(0, 200, 70):
+            nearest.add(pa.array(keys[a : a + 70]), pa.array(rows[a : a + 70].tolist()))
+        assert {n: [x.shape for x in both] for n, both in nearest.found.items()} == {3: [(8, 5), (8, 5)]}
+        kind = pa.string() if keys.dtype == object else pa.int64()
+        got = nearest.table(pa.schema([("q", pa.int64()), ("k", kind), ("s", pa.float64())])).to_pylist()
+        for q in range(8):
+            scores = np.round(unit @ unit[q], 9)
+            best = sorted(zip(-scores, keys.tolist(), strict=True))[:5]
+            assert [x["k"] for x in got if x["q"] == q] == [k for _, k in best]
