@@ -61,3 +61,13 @@ def test_nearest_holds_arrays_of_the_best(monkeypatch):
             scores = np.round(unit @ unit[q], 9)
             best = sorted(zip(-scores, keys.tolist(), strict=True))[:5]
             assert [x["k"] for x in got if x["q"] == q] == [k for _, k in best]
+
+
+def test_seed_entities_by_sums_first(spark):
+    """Sums are hashed, not sorted; the spelling is that of the first place, and of the first position in it."""
+    rows = spark.createDataFrame([(2, 1.0, [("B", None), ("a", "x")]), (1, 0.0, [("A ", "x"), ("a", "x"), ("b", None)]), (3, 0.5, [("A", "x")])], "position int, score double, entities array<struct<name string, type string>>")
+    found = retrieval.seed_entities(rows, 2)
+    assert [(x.name, x.type, x.weight, x["first"]) for x in found.collect()] == [("A", "x", 2.5, 1), ("b", "unknown", 1.333333333, 1)]
+    texts = spark.range(4).selectExpr("id AS position", "1.0D AS score", "array(struct('n' AS name, 't' AS type)) AS entities")
+    plan = retrieval.seed_entities(texts, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Parquet" in plan  # the sums are made already; the spelling is joined to them
