@@ -1,6 +1,7 @@
 """Steps whose cost has to grow no faster than their input, against plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +72,13 @@ def test_seed_entities_by_sums_first(spark):
     texts = spark.range(4).selectExpr("id AS position", "1.0D AS score", "array(struct('n' AS name, 't' AS type)) AS entities")
     plan = retrieval.seed_entities(texts, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Parquet" in plan  # the sums are made already; the spelling is joined to them
+
+
+def test_lexical_candidates_shuffle_no_pairs(spark):
+    """A document is dealt once; its pairs with the queries are not shuffled for their sums."""
+    docs = spark.createDataFrame([(1, "Other sets"), (2, "the other"), (3, None), (4, "xx the")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "the other"), (8, "set thes"), (9, "")], "item_id long, text string")
+    found = retrieval.lexical_candidates(docs, asked, 2)
+    assert sorted(tuple(x) for x in found.collect()) == [(7, 1, 2, 1), (7, 2, 2, 2), (8, 1, 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(item_id#\w+, doc_id", plan)
