@@ -82,3 +82,12 @@ def test_lexical_candidates_shuffle_no_pairs(spark):
     assert sorted(tuple(x) for x in found.collect()) == [(7, 1, 2, 1), (7, 2, 2, 2), (8, 1, 1, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(item_id#\w+, doc_id", plan)
+
+
+def test_bm25_shuffles_no_pairs(spark):
+    """A document's terms are dealt together; its pairs with the queries are not shuffled for their sums."""
+    docs = spark.createDataFrame([(i, "one two three " * (i % 3) + "four") for i in range(9)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "one two"), (8, "four five")], "item_id long, text string")
+    found = retrieval.bm25(docs, asked, 2)
+    assert sorted((x.item_id, x.doc_id) for x in found.collect()) == [(7, 2), (7, 5), (8, 0), (8, 3)]
+    assert not re.search(r"hashpartitioning\(item_id#\w+, doc_id", found._jdf.queryExecution().executedPlan().toString())
