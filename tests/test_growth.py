@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from kairoscope.operators import code_store, retrieval, temporal
+from kairoscope.operators import code_store, paths, retrieval, temporal
 from kairoscope.plans import registry
 
 
@@ -91,3 +91,20 @@ def test_bm25_shuffles_no_pairs(spark):
     found = retrieval.bm25(docs, asked, 2)
     assert sorted((x.item_id, x.doc_id) for x in found.collect()) == [(7, 2), (7, 5), (8, 0), (8, 3)]
     assert not re.search(r"hashpartitioning\(item_id#\w+, doc_id", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_calls_by_short_names_shuffle_no_pairs(spark):
+    """However many names lead to a pair, it is made once, in the task that has it; nulls call nothing, stretches of any size."""
+    r = random.Random(6)
+    some = lambda xs, p=0.05: None if r.random() < p else r.choice(xs)
+    make = lambda n: [(some("ab"), some("uvwxyz"), some([f"n{i}" for i in range(8)])) for _ in range(n)]
+    calls, functions = make(80), make(60)
+    want = {(a, x, y) for a, x, n in calls for b, y, m in functions if None not in (a, x, y, n) and (a, n) == (b, m) and x != y}
+    one, two = spark.createDataFrame(calls, "repo_id string, caller string, name string"), spark.createDataFrame(functions, "repo_id string, signature string, name string")
+    for cell in (1, 7, 1000):
+        found = paths.short_name_calls(one, two, cell)
+        rows = [tuple(x) for x in found.select("repo_id", "caller", "callee").collect()]
+        assert set(rows) == want and len(rows) == len(want)
+    plan = paths.short_name_calls(one, two)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    assert paths.short_name_calls(one.limit(0), two).count() == 0
