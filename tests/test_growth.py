@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from kairoscope import session
 from kairoscope.operators import code_store, paths, retrieval, temporal
 from kairoscope.plans import registry
 
@@ -108,3 +109,12 @@ def test_calls_by_short_names_shuffle_no_pairs(spark):
     plan = paths.short_name_calls(one, two)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")]
     assert paths.short_name_calls(one.limit(0), two).count() == 0
+
+
+def test_tasks_of_file_history_follow_the_rows(spark, monkeypatch):
+    """Twice the bound halves the tasks, whatever the session's number of shuffle partitions is."""
+    plan = registry.queries()["file_history"]
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for most in (100, 200):
+        monkeypatch.setattr(session, "TASK_ROWS", most)
+        assert plan(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // most)
