@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kairoscope import session
 from kairoscope.operators import code_store, paths, retrieval, temporal
 from kairoscope.plans import registry
+from kairoscope.storage import keyed_table
 
 
 def test_rivals_of_open_edges_far_apart(spark):
@@ -118,3 +119,15 @@ def test_tasks_of_file_history_follow_the_rows(spark, monkeypatch):
     for most in (100, 200):
         monkeypatch.setattr(session, "TASK_ROWS", most)
         assert plan(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // most)
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """No task takes all of a bucket, however many rows it has, and each key is in it once."""
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    table = keyed_table.KeyedTable(spark, str(tmp_path / "t"), ["key"], "seq", buckets=2)
+    rows = spark.range(1000).select(F.col("id").alias("key"), F.lit(0).alias("seq"), F.lit("insert").alias("op"))
+    table.merge(rows, 0)
+    table.merge(rows.where("key % 3 = 0").withColumns({"seq": F.lit(1), "op": F.when(F.col("key") % 2 == 0, "delete").otherwise("update")}), 1)
+    assert sorted(map(tuple, table.table().collect())) == [(k, int(k % 3 == 0)) for k in range(1000) if k % 6]
+    for bucket in range(2):
+        assert table.rows(buckets=[bucket]).withColumn("f", F.input_file_name()).groupBy("f").count().agg(F.max("count")).first()[0] < 400
