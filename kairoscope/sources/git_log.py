@@ -10,6 +10,8 @@ from kairoscope.session import materialise
 
 #: The character between the fields of an exported commit.
 FIELD = "\x1f"
+#: Commits up to which their lines are followed by jumps of doubled length.
+LEFT = 200_000
 
 
 def numstat(rows: DataFrame, text: str = "numstat", keys: list[str] | None = None) -> DataFrame:
@@ -45,15 +47,27 @@ def commits(rows: DataFrame, text: str = "value") -> DataFrame:
 class History:
     """Ancestors in a table of commits (sha, parents), without a round for each generation.
 
-    ``jumps[k]`` names of each commit the one 2**k first parents behind it. What is reached from some commits by first
-    parents alone follows from one join with each of them, whatever the depth; further parents of what was reached
-    begin the next pass, so that there are as many passes as side branches lie inside one another.
+    First parents make a forest. Each round of a contraction takes about a quarter of its commits out: those that a coin
+    chooses and whose parent it does not, so that a child of one goes on to that parent. ``rounds`` have what was taken
+    out (sha, to) and by which child it is reached (sha, out), so that all rounds together have a few rows for each
+    commit. Of the at most ``most`` commits that are left, ``jumps[k]`` names the one 2**k links behind. What is reached by
+    first parents alone goes down the rounds, along the jumps and up again, whatever the depth; further parents of what
+    was reached begin the next pass, so that there are as many passes as side branches lie inside one another.
     """
 
-    def __init__(self, commits: DataFrame):
-        self.edges = materialise(commits.select("sha", F.posexplode("parents").alias("place", "parent")), "parents")
-        step = self.edges.where("place = 0").select("sha", F.col("parent").alias("to"))
-        self.jumps = [materialise(step, "jumps")]
+    def __init__(self, commits: DataFrame, most: int = LEFT):
+        once = commits.groupBy("sha").agg(F.array_distinct(F.flatten(F.collect_list("parents"))).alias("parents"))
+        self.edges = materialise(once.select("sha", F.posexplode("parents").alias("place", "parent")), "parents")
+        self.first = self.edges.where("place = 0").select("sha", F.col("parent").alias("to"))
+        rows, self.rounds = self.first, []
+        while rows.count() > most:
+            chosen = lambda c, n=len(self.rounds): F.xxhash64(F.lit(n), c) % 2 == 0
+            out = materialise(rows.where(chosen("sha") & ~chosen("to")), "out")
+            near = rows.where(chosen("to")).withColumnRenamed("to", "out").join(out.select(F.col("sha").alias("out"), "to"), "out", "left")
+            near = materialise(near, "near")
+            self.rounds.append((out, near.where("to IS NOT NULL").select("sha", "out")))
+            rows = materialise(rows.where(~chosen("sha") & ~chosen("to")).union(near.select("sha", F.coalesce("to", "out"))), "links")
+        self.jumps = [materialise(rows, "jumps")]
         while True:
             last = self.jumps[-1]
             twice = materialise(last.join(last.select(F.col("sha").alias("to"), F.col("to").alias("next")), "to").select("sha", F.col("next").alias("to")), "jumps")
@@ -61,18 +75,38 @@ class History:
                 break
             self.jumps.append(twice)
 
+    def _line(self, new: DataFrame) -> DataFrame:
+        """sha of the given commits and of what first parents lead to from them, once each."""
+        begun = []
+        for out, _ in self.rounds:
+            left = materialise(new.join(out, "sha", "left"), "down")  # what was taken out goes on to its parent
+            begun.append(left.where("to IS NOT NULL").select("sha"))
+            new = left.select(F.coalesce("to", "sha").alias("sha")).distinct()
+        for n, jump in enumerate(self.jumps):
+            new = new.union(new.join(jump, "sha").select(F.col("to").alias("sha"))).distinct()
+            if n % 6 == 5:
+                new = materialise(new, "ancestors")
+        found = materialise(new, "ancestors")
+        for (_, near), own in zip(reversed(self.rounds), reversed(begun)):
+            found = found.union(materialise(near.join(found, "sha", "left_semi").select(F.col("out").alias("sha")).union(own).distinct(), "up"))
+        return found
+
     def ancestors(self, commits: DataFrame) -> DataFrame:
         """sha of the given commits and all before them; parents that are not in the table too."""
-        found = new = materialise(commits.select("sha").distinct(), "ancestors")
+        new = materialise(commits.select("sha").distinct(), "ancestors")
+        found = None
         while new.take(1):
-            for n, jump in enumerate(self.jumps):
-                further = new.join(jump, "sha").select(F.col("to").alias("sha"))
-                new = new.union(further).distinct()
-                if n % 6 == 5:
-                    new = materialise(new, "ancestors")
-            found = materialise(found.union(new).distinct(), "ancestors")
+            if found is None:
+                found = new = self._line(new)
+            else:
+                # A branch off what was found is itself alone; only others are followed.
+                ended = materialise(new.join(self.first.join(found.withColumnRenamed("sha", "to"), "to", "left_semi"), "sha", "left_semi"), "ended")
+                on = materialise(new.join(ended, "sha", "left_anti"), "on")
+                if on.take(1):
+                    new = materialise(self._line(on).union(ended).distinct().join(found, "sha", "left_anti"), "ancestors")
+                found = found.union(new)
             new = materialise(self.edges.where("place > 0").join(new, "sha", "left_semi").select(F.col("parent").alias("sha")).distinct().join(found, "sha", "left_anti"), "ancestors")
-        return found
+        return new if found is None else found
 
 
 def commits_since(all_: DataFrame, checkpoint: DataFrame | None) -> DataFrame:

@@ -55,6 +55,18 @@ def test_a_long_line_of_commits_takes_few_rounds(spark):
     assert found.count() == 99_991
 
 
+def test_lines_are_contracted_before_jumps(spark):
+    """Commits taken out in rounds are reached again, and all rounds have a few rows for each commit; a commit that comes twice counts once."""
+    r = random.Random(4)
+    parents = {f"c{i}": [f"c{r.randrange(max(0, i - 9), i)}" for _ in range(r.choice([1, 1, 2]))] if i else [] for i in range(150)} | {"x": ["gone"]}
+    table = spark.createDataFrame([*parents.items(), ("c149", parents["c149"])], "sha string, parents array<string>")
+    history = git_log.History(table, most=20)
+    assert len(history.jumps) <= 6 and sum(out.count() + near.count() for out, near in history.rounds) <= 3 * len(parents)
+    for start in (["c149"], ["c90", "x"]):
+        got = [x.sha for x in history.ancestors(spark.createDataFrame([(s,) for s in start], "sha string")).collect()]
+        assert set(got) == brute_ancestors(parents, start) and len(got) == len(set(got))
+
+
 def test_snapshots_have_all_of_a_change(spark, tmp_path):
     schema = "key long, seq long, op string"
     tables = snapshot.TableSet(spark, str(tmp_path / "set"), {"a": ["key"], "b": ["key"]}, "seq", buckets=2)
