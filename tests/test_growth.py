@@ -131,3 +131,9 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert sorted(map(tuple, table.table().collect())) == [(k, int(k % 3 == 0)) for k in range(1000) if k % 6]
     for bucket in range(2):
         assert table.rows(buckets=[bucket]).withColumn("f", F.input_file_name()).groupBy("f").count().agg(F.max("count")).first()[0] < 400
+
+
+def test_claims_delivered_twice_are_read_once(spark):
+    """Edges, evidence and links each read the line items once, so that both deliveries of a claim are folded where they are read."""
+    plan = registry.queries()["claim_ingest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_orderkey") == 3
