@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions import text as T
-from kairoscope.operators.retrieval import K1, B
-from kairoscope.session import materialise
+from kairoscope.operators.retrieval import K1, B, small
+from kairoscope.session import materialise, tasks
 from kairoscope.storage.manifest import Manifest
 
 #: Documents of a block, folders of terms, and blocks that a search reads first.
@@ -43,14 +43,17 @@ class TextIndex:
     def append(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Indexes more documents."""
         state = self.manifest.state() or {"batches": [], "documents": 0, "length": 0, "key": docs.schema[key].dataType.simpleString()}
-        rows = materialise(docs.select(F.col(key).alias("key"), terms_of(F.col(text)).alias("terms")).select("key", F.size("terms").cast("long").alias("length"), "terms"), "terms")
-        count, length = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        rows = docs.select(F.col(key).alias("key"), terms_of(F.col(text)).alias("terms")).select("key", F.size("terms").cast("long").alias("length"), "terms")
         # Documents of a block are of about one length, so that its shortest one tells of all.
-        size = F.floor(4 * F.log2(F.col("length") + 1)).cast("int")
-        blocks = rows.groupBy(size.alias("__size")).agg(F.ceil(F.count("*") / self.block).alias("__blocks"))
-        rows = rows.withColumn("__size", size).join(F.broadcast(blocks), "__size")  # a row a size class: 4 for each power of two
+        rows = rows.withColumn("__size", F.floor(4 * F.log2(F.col("length") + 1)).cast("int"))
+        sizes = materialise(rows.groupBy("__size").agg(F.count("*").alias("__documents"), F.sum("length").alias("__length")), "sizes")
+        count, length = sizes.agg(F.coalesce(F.sum("__documents"), F.lit(0)), F.coalesce(F.sum("__length"), F.lit(0))).first()
+        blocks = sizes.select("__size", F.ceil(F.col("__documents") / self.block).alias("__blocks"))
+        rows = rows.join(F.broadcast(blocks), "__size")  # a row a size class: 4 for each power of two
         number = F.lit(len(state["batches"]) << 48) + F.col("__size").cast("long") * (1 << 40) + F.pmod(F.xxhash64("key"), F.col("__blocks"))
-        each = rows.select("key", "length", number.alias("block"), F.explode("terms").alias("term")).groupBy("term", "block", "key", "length").agg(F.count("*").alias("tf"))
+        # The documents of a block come to one task once, which then counts and collects its terms without another shuffle.
+        rows = rows.select("key", "length", number.alias("block"), "terms").repartition(tasks(length), "block")
+        each = rows.select("key", "length", "block", F.explode("terms").alias("term")).groupBy("term", "block", "key", "length").agg(F.count("*").alias("tf"))
         # A block bounds what is collected.
         blocks = each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("key", "tf", "length")).alias("postings"))
         batch = uuid.uuid4().hex
@@ -86,10 +89,17 @@ class TextIndex:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("most"), "block"))
         most = materialise(most.withColumn("place", place), "bounds")
 
+        of_term = small(asked.groupBy("term", "df").agg(F.collect_list("query").alias("asking")))
+
         def scored(blocks: DataFrame) -> DataFrame:
-            found = self._postings(["term", "block", "postings"], folders).join(blocks.join(asked, "query"), ["term", "block"])
-            each = found.select("query", "df", F.explode("postings").alias("p")).select("query", "df", "p.*")
-            return each.withColumn("w", weight(F.col("tf"), F.col("length"))).groupBy("query", "key").agg(F.round(F.sum("w"), 9).alias("score"))
+            # A block's postings come to one task once and are summed there for every query that reads it: no pair of them is shuffled.
+            of_block = blocks.groupBy("block").agg(F.collect_list("query").alias("reading"))
+            found = self._postings(["term", "block", "postings"], folders).join(of_term, "term").join(small(of_block), "block")
+            found = found.withColumn("queries", F.array_intersect("asking", "reading")).where(F.size("queries") > 0)
+            found = found.select("block", "df", "postings", "queries").repartition("block")
+            each = found.select("block", "df", "queries", F.explode("postings").alias("p")).select("block", "p.key", "queries", weight(F.col("p.tf"), F.col("p.length")).alias("w"))
+            sums = each.select("block", "key", "w", F.explode("queries").alias("query")).groupBy("block", "query", "key").agg(F.round(F.sum("w"), 9).alias("score"))
+            return sums.select("query", "key", "score")
 
         first = most.where(F.col("place") <= FIRST).select("query", "block")
         sure = materialise(scored(first), "scored")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kairoscope import session
 from kairoscope.operators import code_store, paths, retrieval, temporal
 from kairoscope.plans import registry
-from kairoscope.storage import keyed_table
+from kairoscope.storage import keyed_table, text_index
 
 
 def test_rivals_of_open_edges_far_apart(spark):
@@ -137,3 +137,14 @@ def test_claims_delivered_twice_are_read_once(spark):
     """Edges, evidence and links each read the line items once, so that both deliveries of a claim are folded where they are read."""
     plan = registry.queries()["claim_ingest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_orderkey") == 3
+
+
+def test_text_index_shuffles_no_pairs(spark, tmp_path):
+    """A block's postings come to one task; their pairs with the queries are not shuffled for their sums."""
+    docs = spark.createDataFrame([(i, "one two three " * (i % 3) + "four") for i in range(9)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "one two"), (8, "four five")], "item_id long, text string")
+    index = text_index.TextIndex(spark, str(tmp_path / "texts"), block=2)
+    index.append(docs)
+    found = index.topk(asked, 2, "item_id")[0]
+    assert sorted((x.item_id, x.key) for x in found.collect()) == [(7, 2), (7, 5), (8, 0), (8, 3)]
+    assert not re.search(r"hashpartitioning\(query#\w+, key", found._jdf.queryExecution().executedPlan().toString())
