@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kairoscope import session
-from kairoscope.operators import code_store, paths, retrieval, temporal
+from kairoscope.operators import code_store, graph, paths, retrieval, temporal
 from kairoscope.plans import registry
 from kairoscope.storage import keyed_table, text_index
 
@@ -148,3 +148,15 @@ def test_text_index_shuffles_no_pairs(spark, tmp_path):
     found = index.topk(asked, 2, "item_id")[0]
     assert sorted((x.item_id, x.key) for x in found.collect()) == [(7, 2), (7, 5), (8, 0), (8, 3)]
     assert not re.search(r"hashpartitioning\(query#\w+, key", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_full_budgets_ask_no_more(spark, monkeypatch):
+    """A question whose budget is full is not in the next hop's expansion."""
+    edges = spark.createDataFrame([("p", "a", f"n{i}", 1.0) for i in range(6)] + [("p", "z", "y", 1.0), ("p", "y", "x", 1.0)], "project_id string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([(1, "p", "a"), (2, "p", "z")], "query_id int, project_id string, node string")
+    kept = {}
+    monkeypatch.setattr(graph, "materialise", lambda rows, name: kept.setdefault(name, []).append(r := session.materialise(rows, name)) or r)
+    got = {(x.query_id, x.node) for x in graph.capped_reach(edges, seeds, 2, 4).collect()}
+    assert got == {(1, "a"), (1, "n0"), (1, "n1"), (1, "n2"), (2, "z"), (2, "y"), (2, "x")}
+    assert [x.query_id for x in kept["room"][1].collect()] == [2]
+    assert kept["adjacent"][0].where("node = 'a'").count() == 4
