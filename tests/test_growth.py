@@ -160,3 +160,9 @@ def test_full_budgets_ask_no_more(spark, monkeypatch):
     assert got == {(1, "a"), (1, "n0"), (1, "n1"), (1, "n2"), (2, "z"), (2, "y"), (2, "x")}
     assert [x.query_id for x in kept["room"][1].collect()] == [2]
     assert kept["adjacent"][0].where("node = 'a'").count() == 4
+
+
+def test_weighted_edges_are_shuffled_once_for_a_subject(spark):
+    """Edges and the totals of their subjects share the shuffle that brings a subject's claims to one task."""
+    plan = registry._weighted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*valid_from", plan)
