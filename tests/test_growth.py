@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kairoscope import session
@@ -162,6 +163,26 @@ def test_full_budgets_ask_no_more(spark, monkeypatch):
     assert kept["adjacent"][0].where("node = 'a'").count() == 4
 
 
+@pytest.mark.parametrize("hub", [0, 2, 64])
+def test_rounds_of_a_walk_shuffle_no_steps(spark, monkeypatch, hub):
+    """Steps are dealt once: a round's join finds them where they lie, with hubs or without, and its ranks are those of loops."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(3)
+    edges = {(r.randrange(12), r.randrange(12)): r.random() + 0.1 for _ in range(50)}
+    rows = spark.createDataFrame([(*e, w) for e, w in edges.items()], "src int, dst int, weight double")
+    rank = {n: 1.0 if n == 3 else 0.0 for n in {x for e in edges for x in e} | {3}}
+    out = {n: sum(w for (a, _), w in edges.items() if a == n) for n in rank}
+    for _ in range(4):
+        rank = {n: 0.2 * (n == 3) + 0.8 * sum(rank[a] * w / out[a] for (a, b), w in edges.items() if b == n) for n in rank}
+    got = {x.node: x["rank"] for x in graph.pagerank(rows, spark.createDataFrame([(3,)], "node int"), 0.2, False, rounds=4, tolerance=None).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-12 for n in rank)
+    steps = graph._Steps(rows, [])
+    plan = steps.pushed(spark.createDataFrame([(3, 1.0)], "node int, d double").hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    steps.release()
+    assert "InMemoryTableScan" in plan
+    assert not re.search(r"Exchange[^\n]*\n([^\n]*Filter[^\n]*\n)?[^\n]*InMemoryTableScan", plan)
+
+
 def test_weighted_edges_are_shuffled_once_for_a_subject(spark):
     """Edges and the totals of their subjects share the shuffle that brings a subject's claims to one task."""
     plan = registry._weighted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
