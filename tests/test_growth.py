@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoscope import session
-from kairoscope.operators import code_store, graph, paths, retrieval, temporal
+from kairoscope.operators import code_store, graph, paths, retrieval, search, temporal
 from kairoscope.plans import registry
 from kairoscope.storage import keyed_table, text_index
 
@@ -187,3 +187,56 @@ def test_weighted_edges_are_shuffled_once_for_a_subject(spark):
     """Edges and the totals of their subjects share the shuffle that brings a subject's claims to one task."""
     plan = registry._weighted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*valid_from", plan)
+
+
+@pytest.mark.parametrize(("hub", "hops", "tolerance"), [(0, 2, 1e-6), (3, 2, 0.05), (64, 1, 1e-6), (64, 3, 1e-6)])
+def test_walks_known_by_their_hubs(spark, monkeypatch, hub, hops, tolerance):
+    """Every node within the hops and its rank, as loops find them: hits in hubs and in low nodes, edges twice, loops, islands; each question ends by itself."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(8)
+    edges = [(f"n{r.randrange(40):02}", f"n{min(r.randrange(40), r.randrange(40)):02}", r.random() + 0.1) for _ in range(70)] + [("x", "y", 1.0), ("x", "x", 0.5), ("y", "x", 2.0)]
+    hits = {(q, f"n{r.randrange(40):02}") for q in range(5) for _ in range(2)} | {(5, "x"), (6, "none"), (5, "none")}
+    known = {n for a, b, _ in edges for n in (a, b)}
+    want = {}
+    for q in range(7):
+        own = {n for x, n in hits if x == q} & known
+        seen = set(own)
+        for _ in range(hops):
+            seen |= {b for a, b, _ in edges if a in seen} | {a for a, b, _ in edges if b in seen}
+        names = sorted(seen)
+        step = np.zeros((len(names), len(names)))
+        for a, b, w in edges:
+            if a in seen and b in seen:
+                step[names.index(b), names.index(a)] += w
+                step[names.index(a), names.index(b)] += w
+        step /= np.maximum(step.sum(axis=0), 1e-300)
+        rank = seed = np.array([1 / len(own) if n in own else 0 for n in names])
+        for _ in range(12):
+            new = 0.2 * seed + 0.8 * step @ rank
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < tolerance:
+                break
+        want |= {(q, n): x for n, x in zip(names, rank, strict=True)}
+    rows = spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(list(hits), "query_id int, node string")
+    got = [((x.query_id, x.node), x["rank"] or 0.0) for x in graph.walk_within(*rows, hops, 0.2, tolerance=tolerance).collect()]
+    assert len(got) == len(want) and dict(got).keys() == want.keys()
+    assert all(abs(x - want[n]) < 1e-12 for n, x in got)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 3)
+    assert graph.walk_within(*rows, hops, 0.2) is None
+
+
+def test_code_search_shuffles_no_edge_in_its_rounds(spark, monkeypatch):
+    """Bytes that are shuffled for an edge: it is dealt once, and rounds send sums for hubs alone. The other way has the same hits."""
+    edges = spark.range(40_000).select(F.concat(F.lit("s"), (F.col("id") % 40).cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("id") / 40).cast("int").cast("string")).alias("dst"), (1 + F.col("id") % 7).cast("double").alias("weight"))
+    baseline = spark.createDataFrame([(1, "s3", 1.0, 1), (1, "p7", 0.5, 2), (2, "none", 1.0, 1)], "query_id int, node string, score double, rank int")
+    context = spark.sparkContext._jsc.sc()
+
+    def sent() -> int:
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = sent()
+    found = sorted(map(tuple, search.code_search(baseline, edges, 5, "graph_reranked").collect()))
+    assert sent() - before < 30 * 40_000
+    monkeypatch.setattr(graph, "walk_within", lambda *_: None)
+    assert sorted(map(tuple, search.code_search(baseline, edges, 5, "graph_reranked").collect())) == found and len(found) == 6
