@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kairoscope import session
 from kairoscope.operators import code_store, graph, paths, retrieval, search, temporal
-from kairoscope.plans import registry
+from kairoscope.plans import mapping, registry
 from kairoscope.storage import keyed_table, text_index
 
 
@@ -240,3 +241,42 @@ def test_code_search_shuffles_no_edge_in_its_rounds(spark, monkeypatch):
     assert sent() - before < 30 * 40_000
     monkeypatch.setattr(graph, "walk_within", lambda *_: None)
     assert sorted(map(tuple, search.code_search(baseline, edges, 5, "graph_reranked").collect())) == found and len(found) == 6
+
+
+def test_neighbourhood_makes_no_claims_it_is_not_asked_for(spark, tmp_path):
+    """Bytes that are shuffled for a line item: hops look up what they ask for where it lies, so they do not follow the items."""
+    spark.sql("SELECT id AS c_custkey, cast(id % 5 AS int) AS c_nationkey FROM range(4000)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, id % 4000 AS o_custkey, 'O' AS o_orderstatus, timestamp'1999-12-01 00:00:00' AS o_orderdate FROM range(20000)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id % 20000 AS l_orderkey, id * 7 % 9001 AS l_partkey, 0.5D AS l_discount, timestamp'2000-01-02 00:00:00' AS l_shipdate FROM range(80000)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    context = spark.sparkContext._jsc.sc()
+
+    def sent() -> int:
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = sent()
+    rows = registry.queries()["temporal_neighborhood"](spark, str(tmp_path)).collect()
+    assert sent() - before < 2 * 80_000
+    assert sorted({x.hop for x in rows}) == [0, 1, 2] and len(rows) == len({x.node for x in rows}) > 100
+
+
+@pytest.mark.parametrize(("first", "most"), [(1, 1_000_000), (3, 0)])
+def test_neighbourhood_of_odd_claims(spark, tmp_path, monkeypatch, first, most):
+    """As its SQL: first customers without claims, keys that repeat or are null, a project without a number, one without claims; sent to all tasks or shuffled."""
+    monkeypatch.setattr(mapping, "ASKED_FIRST", first)
+    for module in (mapping, graph):
+        monkeypatch.setattr(module, "small", lambda rows: retrieval.small(rows, most))
+    r = random.Random(first)
+    some = lambda n, p=0.05: None if r.random() < p else r.randrange(n)
+    customers = [(some(60), some(5)) for _ in range(70)] + [(90, 9), (None, 9)]
+    orders = [(some(150), some(60) if r.random() < 0.2 else r.randrange(20, 60)) for _ in range(120)]
+    items = [(some(150), some(40)) for _ in range(160)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").selectExpr("*", "'O' AS o_orderstatus", "timestamp'1999-12-01 00:00:00' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").selectExpr("*", "0.5D AS l_discount", "timestamp'2000-01-02 00:00:00' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["temporal_neighborhood"]).fetchall()
+    got = registry.queries()["temporal_neighborhood"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len({h for _, h in want}) == 3
